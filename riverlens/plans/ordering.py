@@ -74,3 +74,23 @@ def carry_max(df: DataFrame, value: str, key: str = "station_id") -> DataFrame:
     per_block = df.groupBy(key, BLOCK).agg(F.max(value).alias("_blk_max"))
     w = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     return per_block.select(key, BLOCK, F.max("_blk_max").over(w).alias(f"{value}_carry"))
+
+
+def weighted_prefix(df: DataFrame, keys: list[str], order: str, weight: str,
+                    partitions: int | None = None) -> DataFrame:
+    """Add ``cum_before``: sum of ``weight`` over rows of the same keys with a smaller ``order``.
+
+    Range partitioning spreads a hot key over many tasks; each task sums its
+    own slice, and a table with one row per (partition, key) supplies the
+    offsets of the earlier slices.
+    """
+    ranged = (df.repartitionByRange(*([partitions] if partitions else []), *keys, order)
+                .withColumn("_pid", F.spark_partition_id()))
+    local = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    slices = ranged.groupBy("_pid", *keys).agg(F.sum(weight).alias("_slice"))
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select("_pid", *keys, F.coalesce(F.sum("_slice").over(earlier), F.lit(0)).alias("_off"))
+    return (ranged.withColumn("_local", F.coalesce(F.sum(weight).over(local), F.lit(0)))
+                  .join(offsets, ["_pid", *keys])
+                  .withColumn("cum_before", F.col("_local") + F.col("_off"))
+                  .drop("_pid", "_local", "_off"))
