@@ -28,3 +28,8 @@ def stars(p: Column | str) -> Column:
     col = F.col(p) if isinstance(p, str) else p
     return (F.when(col < 0.001, "***").when(col < 0.01, "**")
              .when(col < 0.05, "*").otherwise("ns"))
+
+
+def display_round(x: Column | str, decimals: int) -> Column:
+    """Python ``round(x, n)`` on a float: nearest multiple, ties to even on the exact binary value."""
+    return fixed(x, decimals).cast("double")

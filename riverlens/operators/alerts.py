@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import levels as L
-from ..functions.text import fixed
+from ..functions.text import display_round, fixed
 from ..plans.ordering import BLOCK, DEFAULT_BLOCK_ROWS, SEQ, carry_max, sequence_index
 from ..schema import (ALL_NORMAL_TEXT, LAYER_LEVELS, LEVELS, REASON_SEPARATOR, SENSORS,
                       THRESHOLD_TABLE)
@@ -115,8 +115,8 @@ def active_alerts(alerts: DataFrame, layer: str = "level_layer2") -> DataFrame:
         cond = cond | F.col(layer).isin("AMARILLO", "ROJO")
     cols = ["station_id", "reading_id",
             F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
-            *[F.round(v, 2).alias(v) for v in SENSORS],
-            F.round("wqi", 1).alias("wqi"), "level_global"]
+            *[display_round(v, 2).alias(v) for v in SENSORS],
+            display_round("wqi", 1).alias("wqi"), "level_global"]
     if layer in alerts.columns:
         cols.append(layer)
     cols.append("vars_in_alert")
@@ -205,3 +205,20 @@ def with_status(df: DataFrame, layer: str = "level_layer1") -> DataFrame:
     """Class status colour and layer level number."""
     return (df.withColumn("class_status", L.class_status("quality_class"))
               .withColumn("layer_number", L.layer_number(layer)))
+
+
+def run_summary(alerts: DataFrame, label: str = "anomaly") -> DataFrame:
+    """Record count, global and layer-2 level counts, recall of both layers, one row."""
+    aggs = [F.count(F.lit(1)).alias("n_records")]
+    aggs += [F.count_if(F.col("level_global") == lv).alias(f"global_{_plain(lv)}") for lv in LEVELS]
+    aggs += [F.count_if(F.col("level_layer2") == lv).alias(f"layer2_{_plain(lv)}") for lv in LAYER_LEVELS]
+    n_pos = F.sum(label)
+    for i, lay in ((1, "level_layer1"), (2, "level_layer2")):
+        hit = F.count_if((F.col(label) == 1) & F.col(lay).isin("AMARILLO", "ROJO"))
+        aggs.append(F.round(F.try_divide(hit.cast("double") * 100, n_pos), 6).alias(f"recall_layer{i}_pct"))
+    return alerts.agg(*aggs)
+
+
+def write_run_summary(summary: DataFrame, path: str, run_id: str) -> None:
+    """S7 sink: append the run's summary as JSON, keyed by run id."""
+    summary.withColumn("run_id", F.lit(run_id)).write.mode("append").json(path)

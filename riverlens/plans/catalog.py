@@ -26,4 +26,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_alerts, queries_quality  # noqa: F401
+    from . import queries_alerts, queries_features, queries_quality  # noqa: F401

@@ -142,3 +142,36 @@ def distribution_sql(source: str, columns: list[str], levels: list[str]) -> str:
     return (f"WITH src AS ({source}), long AS ({unions}), "
             f"w AS (SELECT variable, {counts}, CAST(count(*) AS BIGINT) AS n_total FROM long GROUP BY variable) "
             f"SELECT *, {pcts} FROM w")
+
+
+REASON_ALL_SQL = {
+    "ph": ("level_ph", "'pH=' || printf('%.2f', ph) || ", [
+        ("CRÍTICO", "' fuera de rango (6.5–8.5)'"), ("BUENA", "' en rango óptimo'"),
+        ("MALA", "' en zona de advertencia'"), ("NORMAL", "' normal'")]),
+    "dissolved_oxygen": ("level_do", "'OD=' || printf('%.2f', dissolved_oxygen) || ", [
+        ("CRÍTICO", "' mg/L bajo mínimo vital (5.0)'"), ("MALA", "' mg/L en zona de estrés'"),
+        ("BUENA", "' mg/L aceptable'"), ("NORMAL", "' mg/L óptimo'")]),
+    "turbidity": ("level_turbidity", "'Turbidez=' || printf('%.2f', turbidity) || ", [
+        ("CRÍTICO", "' NTU sobre límite (50)'"), ("MALA", "' NTU alta'"),
+        ("BUENA", "' NTU moderada'"), ("NORMAL", "' NTU clara'")]),
+    "temperature": ("level_temperature", "'Temp=' || printf('%.2f', temperature) || ", [
+        ("CRÍTICO", "'°C fuera de rango (5–35°C)'"), ("MALA", "'°C en estrés térmico'"),
+        ("BUENA", "'°C admisible'"), ("NORMAL", "'°C óptima'")]),
+}
+
+
+def reason_columns_sql() -> list[str]:
+    out = []
+    for var, (col, head, cases) in REASON_ALL_SQL.items():
+        whens = " ".join(f"WHEN {col} = '{lv}' THEN {head}{tail}" for lv, tail in cases)
+        out.append(f"CASE {whens} END AS reason_{var}")
+    return out
+
+
+def scored_sql(dropna: bool = True) -> str:
+    """Features + rule-based probability and min-max anomaly score (no model)."""
+    f = features_sql(dropna)
+    raw = "abs(ph - 7.5) + abs(dissolved_oxygen - 9.0) / 3"
+    return (f"SELECT f.*, least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), (85 - wqi) / 20)) AS prob_rule, "
+            f"{raw} AS raw_score, ({raw} - min({raw}) OVER ()) / (max({raw}) OVER () - min({raw}) OVER () + 1e-9) "
+            f"AS anomaly_score FROM ({f}) f")
