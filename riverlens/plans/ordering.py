@@ -76,7 +76,7 @@ def carry_max(df: DataFrame, value: str, key: str = "station_id") -> DataFrame:
     return per_block.select(key, BLOCK, F.max("_blk_max").over(w).alias(f"{value}_carry"))
 
 
-def weighted_prefix(df: DataFrame, keys: list[str], order: str, weight: str,
+def weighted_prefix(df: DataFrame, keys: list[str], order: str, weight,
                     partitions: int | None = None) -> DataFrame:
     """Add ``cum_before``: sum of ``weight`` over rows of the same keys with a smaller ``order``.
 
@@ -84,13 +84,16 @@ def weighted_prefix(df: DataFrame, keys: list[str], order: str, weight: str,
     own slice, and a table with one row per (partition, key) supplies the
     offsets of the earlier slices.
     """
+    weights = [weight] if isinstance(weight, str) else list(weight)
+    outs = ["cum_before"] if isinstance(weight, str) else [f"cum_before_{w}" for w in weights]
     ranged = (df.repartitionByRange(*([partitions] if partitions else []), *keys, order)
                 .withColumn("_pid", F.spark_partition_id()))
     local = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    slices = ranged.groupBy("_pid", *keys).agg(F.sum(weight).alias("_slice"))
+    slices = ranged.groupBy("_pid", *keys).agg(*[F.sum(w).alias(f"_slice{i}") for i, w in enumerate(weights)])
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select("_pid", *keys, F.coalesce(F.sum("_slice").over(earlier), F.lit(0)).alias("_off"))
-    return (ranged.withColumn("_local", F.coalesce(F.sum(weight).over(local), F.lit(0)))
-                  .join(offsets, ["_pid", *keys])
-                  .withColumn("cum_before", F.col("_local") + F.col("_off"))
-                  .drop("_pid", "_local", "_off"))
+    offsets = slices.select("_pid", *keys, *[F.coalesce(F.sum(f"_slice{i}").over(earlier), F.lit(0)).alias(f"_off{i}")
+                                             for i in range(len(weights))])
+    out = ranged.select("*", *[F.coalesce(F.sum(w).over(local), F.lit(0)).alias(f"_local{i}")
+                               for i, w in enumerate(weights)]).join(offsets, ["_pid", *keys])
+    out = out.select("*", *[(F.col(f"_local{i}") + F.col(f"_off{i}")).alias(o) for i, o in enumerate(outs)])
+    return out.drop("_pid", *[f"_local{i}" for i in range(len(weights))], *[f"_off{i}" for i in range(len(weights))])

@@ -175,3 +175,36 @@ def scored_sql(dropna: bool = True) -> str:
     return (f"SELECT f.*, least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), (85 - wqi) / 20)) AS prob_rule, "
             f"{raw} AS raw_score, ({raw} - min({raw}) OVER ()) / (max({raw}) OVER () - min({raw}) OVER () + 1e-9) "
             f"AS anomaly_score FROM ({f}) f")
+
+
+PREDICTIONS = f"""
+WITH r AS ({READINGS}), b AS (SELECT *, CAST(round(turbidity * 1000) AS BIGINT) AS t_milli FROM r)
+SELECT 'm1' AS model, reading_id AS row_id, CAST(reading_id % 5 AS INT) AS fold, quality_class AS y_class,
+  CASE WHEN wqi + 2 >= 90 THEN 'EXCELENTE' WHEN wqi + 2 >= 80 THEN 'BUENA' ELSE 'ACEPTABLE' END AS pred_class,
+  wqi + 2 AS shifted, CAST(turbidity > 5.0 AS INT) AS y_bin,
+  CAST(((reading_id * 37) % 1000) // 20 + least(50, t_milli // 100) AS DOUBLE) / 100 AS score,
+  wqi AS y_reg, wqi + CAST((reading_id % 13) - 6 AS DOUBLE) / 4 AS p_reg FROM b
+UNION ALL
+SELECT 'm2', reading_id, CAST(reading_id % 5 AS INT), quality_class,
+  CASE WHEN wqi - 2 >= 90 THEN 'EXCELENTE' WHEN wqi - 2 >= 80 THEN 'BUENA' ELSE 'ACEPTABLE' END,
+  wqi - 2, CAST(turbidity > 5.0 AS INT),
+  CAST(((reading_id * 53) % 1000) // 25 + least(60, t_milli // 80) AS DOUBLE) / 100,
+  wqi, wqi - CAST((reading_id % 7) - 3 AS DOUBLE) / 2 FROM b
+"""
+
+
+def f1_ctes(src: str, g: list[str]) -> str:
+    """CTEs ``pc`` (per-class precision/recall/f1/support) over ``src`` (g..., y, pred)."""
+    gs = ", ".join(g)
+    gsel = (gs + ", ") if g else ""
+    using = ", ".join([*g, "label"])
+    return f"""cm AS (SELECT {gsel}y, pred, count(*) AS n FROM {src} GROUP BY ALL),
+lab AS (SELECT DISTINCT {gsel}y AS label FROM cm UNION SELECT DISTINCT {gsel}pred FROM cm),
+tpc AS (SELECT {gsel}y AS label, n AS tp FROM cm WHERE y = pred),
+sup AS (SELECT {gsel}y AS label, sum(n) AS support FROM cm GROUP BY ALL),
+npr AS (SELECT {gsel}pred AS label, sum(n) AS n_pred FROM cm GROUP BY ALL),
+pc0 AS (SELECT lab.*, coalesce(tp, 0) AS tp, coalesce(support, 0) AS support, coalesce(n_pred, 0) AS n_pred
+  FROM lab LEFT JOIN tpc USING ({using}) LEFT JOIN sup USING ({using}) LEFT JOIN npr USING ({using})),
+pc1 AS (SELECT *, CASE WHEN n_pred > 0 THEN CAST(tp AS DOUBLE) / n_pred ELSE 0 END AS precision,
+  CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0 END AS recall FROM pc0),
+pc AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM pc1)"""

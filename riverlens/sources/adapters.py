@@ -79,24 +79,28 @@ def survey_from_orders(orders: DataFrame) -> DataFrame:
 
 
 def predictions_from_readings(readings: DataFrame) -> DataFrame:
-    """Prediction fixture for the metric operators: two models per row.
+    """Prediction fixture for the metric operators: two rule "models" per reading.
 
-    Columns: model, row_id, fold, y_class, pred_class, y_bin, score, y_reg, p_reg.
+    Columns: model, row_id, fold, y_class, pred_class, shifted, y_bin, score, y_reg, p_reg.
+    Scores are built from integers (hundredths), so every engine sees the
+    same ties.
     """
     eid = F.col("reading_id")
     wqi = F.col("wqi")
-    base = F.pmod(eid * 37, 1000).cast("double") / 1000
-    turb = F.least(_d(1), F.col("turbidity") / 10)
+    t_milli = F.round(F.col("turbidity") * 1000).cast("long")
+
+    def idiv(a: Column, b: int) -> Column:
+        return (a / b).cast("long")
 
     def cls(x: Column) -> Column:
         return F.when(x >= 90, "EXCELENTE").when(x >= 80, "BUENA").otherwise("ACEPTABLE")
 
+    s1 = (idiv((eid * 37) % 1000, 20) + F.least(F.lit(50), idiv(t_milli, 100))).cast("double") / 100
+    s2 = (idiv((eid * 53) % 1000, 25) + F.least(F.lit(60), idiv(t_milli, 80))).cast("double") / 100
     models = F.explode(F.array(
-        F.struct(F.lit("m1").alias("model"), (wqi + 2).alias("shifted"),
-                 F.round(base * 0.5 + turb * 0.5, 2).alias("score"),
+        F.struct(F.lit("m1").alias("model"), (wqi + 2).alias("shifted"), s1.alias("score"),
                  (wqi + ((eid % 13) - 6).cast("double") / 4).alias("p_reg")),
-        F.struct(F.lit("m2").alias("model"), (wqi - 2).alias("shifted"),
-                 F.round(base * 0.3 + turb * 0.7, 2).alias("score"),
+        F.struct(F.lit("m2").alias("model"), (wqi - 2).alias("shifted"), s2.alias("score"),
                  (wqi - ((eid % 7) - 3).cast("double") / 2).alias("p_reg")),
     )).alias("m")
     return (readings
@@ -107,6 +111,7 @@ def predictions_from_readings(readings: DataFrame) -> DataFrame:
                 (eid % 5).cast("int").alias("fold"),
                 F.col("quality_class").alias("y_class"),
                 cls(F.col("m.shifted")).alias("pred_class"),
+                F.col("m.shifted").alias("shifted"),
                 (F.col("turbidity") > 5.0).cast("int").alias("y_bin"),
                 F.col("m.score").alias("score"),
                 wqi.alias("y_reg"),
@@ -114,6 +119,23 @@ def predictions_from_readings(readings: DataFrame) -> DataFrame:
             ))
 
 
+def class_scores(preds: DataFrame) -> DataFrame:
+    """Per-class scores for one-vs-rest AUC: (model, row_id, label, is_class, score)."""
+    x = F.col("shifted")
+
+    def clamp(c: Column) -> Column:
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+
+    per = F.explode(F.array(
+        F.struct(F.lit("EXCELENTE").alias("label"), clamp((x - 70) / 30).alias("score")),
+        F.struct(F.lit("BUENA").alias("label"), clamp(1 - F.abs(x - 85) / 15).alias("score")),
+        F.struct(F.lit("ACEPTABLE").alias("label"), clamp((90 - x) / 30).alias("score")),
+    )).alias("c")
+    return preds.select("model", "row_id", "y_class", per).select(
+        "model", "row_id", F.col("c.label").alias("label"),
+        (F.col("y_class") == F.col("c.label")).cast("int").alias("is_class"), F.col("c.score").alias("score"))
+
+
 def load_readings(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return readings_from_events(spark.read.parquet(table_path(sf_dir, "events")), **kw)
 
