@@ -25,6 +25,9 @@ def get_session(master: str | None = None, app: str = "riverlens",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the whole cluster
+            builder = builder.config("spark.driver.memory", conf.pop("driver_memory", "12g"))
     for key, value in {**DEFAULT_CONF, **conf}.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
