@@ -29,6 +29,12 @@ def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.build_features(load_readings(spark, sf_dir))
 
 
+def model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table, checkpointed: model fitting runs many jobs over it, and
+    a cut lineage keeps each job from re-planning and recomputing the windows."""
+    return feature_frame(spark, sf_dir).drop(SEQ, "block").checkpoint()
+
+
 # ----------------------------------------------------------------------- splits
 @register("split_stratified", sql=f"""
 WITH f AS ({FEAT_SQL}), c AS (SELECT quality_class, count(*) AS n FROM f GROUP BY quality_class)
@@ -160,8 +166,8 @@ def split_normal_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------------------------- models
 def _classifier_run(spark: SparkSession, sf_dir: str):
     feats = features_full()
-    df = P.class_weights(P.stratified_split(feature_frame(spark, sf_dir).drop(SEQ), "quality_class"),
-                         "quality_class").persist()
+    df = P.class_weights(P.stratified_split(model_input(spark, sf_dir), "quality_class"),
+                         "quality_class").checkpoint()
     train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
     specs = {"random_forest": ML.make_classifier("random_forest", **SMALL_RF),
              "boosted": ML.make_classifier("boosted", weight_col=None, **SMALL_GBT),
@@ -179,14 +185,13 @@ def _classifier_run(spark: SparkSession, sf_dir: str):
                      *[f"p_{c}" for c in labels])
         fitted[name] = model
         preds = p if preds is None else preds.unionByName(p)
-    return fitted, preds, labels
+    return fitted, preds.checkpoint(), labels
 
 
 @register("model_classifier_comparison")
 def model_classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classifier comparison with the best marked."""
     _, preds, labels = _classifier_run(spark, sf_dir)
-    preds = preds.persist()
     summ = M.classification_summary(preds, ["model"], "y", "pred")
     long = preds.select("model", "reading_id", "y", F.explode(F.array(*[
         F.struct(F.lit(c).alias("label"), F.col(f"p_{c}").alias("score")) for c in labels])).alias("c"))
@@ -215,7 +220,7 @@ def model_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _regression_run(spark: SparkSession, sf_dir: str):
     feats = features_full()
-    df = P.chronological_split(feature_frame(spark, sf_dir).drop(SEQ)).withColumn("target", F.col("wqi")).persist()
+    df = P.chronological_split(model_input(spark, sf_dir)).withColumn("target", F.col("wqi")).checkpoint()
     train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
     specs = {"random_forest": ML.make_regressor("random_forest", **SMALL_RF),
              "boosted": ML.make_regressor("boosted", **SMALL_GBT),
@@ -226,7 +231,7 @@ def _regression_run(spark: SparkSession, sf_dir: str):
         p = p.select(F.lit(name).alias("model"), "reading_id", "station_id", "ts", F.col("target").alias("y"),
                      F.col("prediction").alias("p"))
         preds = p if preds is None else preds.unionByName(p)
-    return preds
+    return preds.checkpoint()
 
 
 @register("model_regressor_comparison")
@@ -246,9 +251,9 @@ def model_prediction_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _anomaly_run(spark: SparkSession, sf_dir: str, n_trees: int = 25):
     feats = features_no_leak()
-    s = P.chronological_split(feature_frame(spark, sf_dir).drop(SEQ))
+    s = P.chronological_split(model_input(spark, sf_dir))
     stats = P.fit_standardizer(s.filter(F.col("split") == "train"), feats)
-    scaled = P.apply_standardizer(s, stats, feats).persist()
+    scaled = P.apply_standardizer(s, stats, feats).checkpoint()
     train, test = scaled.filter(F.col("split") == "train"), scaled.filter(F.col("split") == "test")
     cont = train.agg(F.avg(F.col("anomaly").cast("double"))).first()[0] or 0.01
     trees = ML.fit_isolation_forest(train, feats, n_trees=n_trees, sample_size=256)
@@ -274,13 +279,13 @@ def _anomaly_run(spark: SparkSession, sf_dir: str, n_trees: int = 25):
     ocp = A.with_min_max_score(ocp.withColumn("pred", (F.col("ocsvm_score") > 0).cast("int")), "ocsvm_score", "score")
     ocp = ocp.select(F.lit("one_class").alias("model"), "reading_id", "ts", "turbidity", "wqi", "quality_class",
                      F.col("anomaly").alias("y"), "pred", "score")
-    return iso.unionByName(rfp).unionByName(ocp)
+    return iso.unionByName(rfp).unionByName(ocp).checkpoint()
 
 
 @register("model_anomaly_comparison")
 def model_anomaly_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anomaly detectors with AP, AUC, F1 and TP/FP/FN/TN."""
-    preds = _anomaly_run(spark, sf_dir).persist()
+    preds = _anomaly_run(spark, sf_dir)
     counts = M.binary_counts(preds, ["model"], "y", "pred")
     f1 = counts.select("model", (2 * F.col("tp") / F.greatest(F.lit(1), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
                        .alias("f1"))
@@ -304,7 +309,7 @@ def model_anomaly_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_alert_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M11 + A8/A9/A13/A14: both alert layers driven by a fitted classifier and forest."""
     feats, anom = features_full(), features_no_leak()
-    df = P.class_weights(feature_frame(spark, sf_dir).drop(SEQ), "quality_class").persist()
+    df = P.class_weights(model_input(spark, sf_dir), "quality_class").checkpoint()
     clf = ML.classification_pipeline(ML.make_classifier("random_forest", **SMALL_RF), feats, "quality_class").fit(df)
     scored = ML.class_probability(clf.transform(df), clf, "ACEPTABLE", "quality_class", "prob_aceptable")
     stats = P.fit_standardizer(df, anom)
@@ -325,8 +330,8 @@ def model_alert_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stratified 5-fold F1-macro of the forest with train-test gap and verdict."""
     feats = features_full()
-    df = P.class_weights(P.stratified_folds(feature_frame(spark, sf_dir).drop(SEQ), "quality_class"),
-                         "quality_class").persist()
+    df = P.class_weights(P.stratified_folds(model_input(spark, sf_dir), "quality_class"),
+                         "quality_class").checkpoint()
     rows = None
     for k in range(5):
         train, test = df.filter(F.col("fold") != k), df.filter(F.col("fold") == k)
@@ -348,7 +353,7 @@ def validation_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expanding time folds (true time order), mean/std and consistency."""
     feats = features_full()
-    tf = P.time_folds(feature_frame(spark, sf_dir).drop(SEQ)).persist()
+    tf = P.time_folds(model_input(spark, sf_dir)).checkpoint()
     rows = None
     for k in range(5):
         part = tf.filter(F.col("time_fold") == k)
@@ -368,9 +373,9 @@ def validation_time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 of the forest as Gaussian noise grows on the scaled inputs; robustness verdict."""
     feats = features_no_leak()
-    s = P.class_weights(P.stratified_split(feature_frame(spark, sf_dir).drop(SEQ), "quality_class"), "quality_class")
+    s = P.class_weights(P.stratified_split(model_input(spark, sf_dir), "quality_class"), "quality_class")
     stats = P.fit_standardizer(s.filter(F.col("split") == "train"), feats)
-    scaled = P.apply_standardizer(s, stats, feats).persist()
+    scaled = P.apply_standardizer(s, stats, feats).checkpoint()
     train, test = scaled.filter(F.col("split") == "train"), scaled.filter(F.col("split") == "test")
     model = ML.classification_pipeline(ML.make_classifier("random_forest", **SMALL_RF), feats, "quality_class").fit(train)
     labels = model.stages[0].labels
@@ -389,7 +394,7 @@ def validation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learning curve over nested training fractions (3 folds)."""
     feats = features_full()
-    df = P.stratified_folds(feature_frame(spark, sf_dir).drop(SEQ), "quality_class", k=3).persist()
+    df = P.stratified_folds(model_input(spark, sf_dir), "quality_class", k=3).checkpoint()
     rows = None
     for k in range(3):
         train_all, val = df.filter(F.col("fold") != k), df.filter(F.col("fold") == k)
