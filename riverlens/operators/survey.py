@@ -352,7 +352,7 @@ def average_ranks(df: DataFrame, items: list[str]) -> DataFrame:
 
 def with_rank_columns(df: DataFrame, items: list[str]) -> DataFrame:
     """Replace each item by its average rank, looked up from the value histogram."""
-    ranks = average_ranks(df, items)
+    ranks = average_ranks(df, items).persist()  # one row per distinct (item, value)
     n_entries = ranks.count()
     if n_entries <= MAP_RANK_LIMIT:
         # One row of maps, size checked above: broadcast to every task.
