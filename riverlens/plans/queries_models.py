@@ -22,7 +22,7 @@ from .catalog import register
 
 FEAT_SQL = S.features_sql(True)
 SMALL_RF = dict(numTrees=12, maxDepth=6)
-SMALL_GBT = dict(maxIter=8, maxDepth=3)
+SMALL_GBT = dict(maxIter=4, maxDepth=3)
 
 
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,3 +413,23 @@ def validation_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = M.classification_summary(rows, ["model", "fraction", "cv_fold", "role"], "y", "pred")
     cm = s.groupBy("model", "fraction", "cv_fold").pivot("role", ["test", "train"]).agg(F.first("f1_macro"))
     return M.learning_curve(cm, ["model"], "fraction", "train", "test")
+
+
+@register("model_persist_roundtrip")
+def model_persist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit, save to the shared checkpoint folder, load and batch-score all rows."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.io import load_model, save_model
+    feats = features_full()
+    df = P.class_weights(model_input(spark, sf_dir), "quality_class")
+    model = ML.classification_pipeline(ML.make_classifier("random_forest", **SMALL_RF), feats,
+                                       "quality_class").fit(df)
+    path = f"{ensure_checkpoint_dir(spark)}/models/rf-{uuid.uuid4().hex[:8]}"
+    save_model(model, path)
+    loaded = load_model(path)
+    labels = loaded.stages[0].labels
+    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
+    scored = loaded.transform(df).select("quality_class", lab.alias("predicted_class"))
+    return scored.groupBy("quality_class", "predicted_class").agg(F.count(F.lit(1)).alias("n"))

@@ -64,3 +64,22 @@ def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: stateful lags/differences/rolling features; equal to the batch features."""
     out = _run(T.feature_stream(T.readings_stream(spark, sf_dir)), "t5")
     return out.select("reading_id", "station_id", *[F.round(c, 6).alias(c) for c in T.FEATURE_COLS])
+
+
+@register("stream_scoring")
+def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted pipeline scores the reading stream; min-max uses frozen batch bounds."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from ..schema import SENSORS
+    from ..sources.adapters import load_readings
+    batch = load_readings(spark, sf_dir)
+    model = Pipeline(stages=[VectorAssembler(inputCols=SENSORS, outputCol="features"),
+                             RandomForestRegressor(featuresCol="features", labelCol="wqi", numTrees=10,
+                                                   maxDepth=5, seed=42)]).fit(batch)
+    lo, hi = model.transform(batch).agg(F.min("prediction"), F.max("prediction")).first()
+    scored = T.scoring_stream(T.readings_stream(spark, sf_dir), model, "prediction", (lo, hi))
+    out = _run(scored.select("reading_id", "station_id", "prediction", "anomaly_score"), "t6")
+    return out
