@@ -18,6 +18,7 @@ from ..plans.ordering import SEQ
 from ..schema import SENSORS, features_full, features_no_leak
 from ..sources.adapters import load_readings
 from . import sql as S
+from ..session import materialize
 from .catalog import register
 
 FEAT_SQL = S.features_sql(True)
@@ -32,7 +33,7 @@ def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table, checkpointed: model fitting runs many jobs over it, and
     a cut lineage keeps each job from re-planning and recomputing the windows."""
-    return feature_frame(spark, sf_dir).drop(SEQ, "block").checkpoint()
+    return materialize(feature_frame(spark, sf_dir).drop(SEQ, "block"), "features")
 
 
 # ----------------------------------------------------------------------- splits

@@ -58,3 +58,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing ``df`` as parquet under the shared checkpoint folder and
+    reading it back (a written table: survives executor loss, re-plans nothing)."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
