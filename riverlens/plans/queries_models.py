@@ -395,24 +395,30 @@ def validation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learning curve over nested training fractions (3 folds)."""
     feats = features_full()
-    df = P.stratified_folds(model_input(spark, sf_dir), "quality_class", k=3).checkpoint()
-    rows = None
+    fractions = [0.5, 1.0]
+    df = materialize(P.stratified_folds(model_input(spark, sf_dir), "quality_class", k=3), "folds")
+    parts = []
     for k in range(3):
         train_all, val = df.filter(F.col("fold") != k), df.filter(F.col("fold") == k)
-        subs = P.learning_subsets(train_all, [0.25, 0.5, 1.0], seed=k)
-        for frac in [0.25, 0.5, 1.0]:
+        subs = materialize(P.learning_subsets(train_all, fractions, seed=k), "subsets")
+        for frac in fractions:
             tr = subs.filter(F.col("fraction") == frac).drop("fraction")
             model = ML.classification_pipeline(ML.make_classifier("random_forest", weight_col=None, **SMALL_RF),
                                                feats, "quality_class").fit(tr)
             labels = model.stages[0].labels
             lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
             for role, part in (("test", val), ("train", tr)):
-                p = model.transform(part).select(F.lit("random_forest").alias("model"), F.lit(frac).alias("fraction"),
-                                                 F.lit(k).alias("cv_fold"), F.lit(role).alias("role"),
-                                                 F.col("quality_class").alias("y"), lab.alias("pred"))
-                rows = p if rows is None else rows.unionByName(p)
-    s = M.classification_summary(rows, ["model", "fraction", "cv_fold", "role"], "y", "pred")
-    cm = s.groupBy("model", "fraction", "cv_fold").pivot("role", ["test", "train"]).agg(F.first("f1_macro"))
+                p = model.transform(part).select(F.col("quality_class").alias("y"), lab.alias("pred"))
+                # one small metric row per (fold, fraction, role)
+                parts.append(M.classification_summary(p.withColumn("model", F.lit("random_forest")), ["model"],
+                                                      "y", "pred")
+                             .select("model", F.lit(frac).alias("fraction"), F.lit(k).alias("cv_fold"),
+                                     F.lit(role).alias("role"), "f1_macro"))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    cm = materialize(rows, "curve").groupBy("model", "fraction", "cv_fold").pivot("role", ["test", "train"]) \
+        .agg(F.first("f1_macro"))
     return M.learning_curve(cm, ["model"], "fraction", "train", "test")
 
 
