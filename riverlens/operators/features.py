@@ -42,9 +42,14 @@ def _delta_columns(w: Window) -> list[Column]:
 
 
 def _full(agg: Column, n: int, w: Window) -> Column:
-    """Rolling aggregate that is null until the frame holds ``n`` rows (min_periods = n)."""
+    """Rolling aggregate that is null until the frame holds ``n`` rows (min_periods = n).
+
+    ``seq`` is the row's position in its station, so the frame is full exactly
+    when seq >= n - 1 (block frames see the previous block through the halo);
+    no extra counting window is needed.
+    """
     frame = w.rowsBetween(-(n - 1), 0)
-    return F.when(F.count(F.lit(1)).over(frame) == n, agg.over(frame))
+    return F.when(F.col(SEQ) >= n - 1, agg.over(frame))
 
 
 def _rolling_columns(w: Window) -> list[Column]:
