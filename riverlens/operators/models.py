@@ -220,7 +220,8 @@ def knn_exact(points: DataFrame, features: list[str], k: int, key: str = "pid",
     """Exact k nearest neighbours (excluding self): (key, nb, rank, dist).
 
     Round 1 pairs each point with the points of its own projection slab and
-    the two adjacent ones, giving an upper bound r on its k-th distance.
+    the two adjacent ones (slabs hold equal counts), giving an upper bound r
+    on its k-th distance.
     Round 2 pairs it with every slab its projection +- r touches; any true
     neighbour lies there (|projection difference| <= distance). Only slab
     neighbourhoods are joined, never all pairs.
@@ -233,10 +234,19 @@ def knn_exact(points: DataFrame, features: list[str], k: int, key: str = "pid",
                        F.lit(0.0), lambda acc, v: acc + v)
     # Read several times below: cut the lineage once (a reliable checkpoint).
     pts = points.select(F.col(key).alias("q"), vec.alias("v")).withColumn("p", proj.alias("p")).checkpoint()
-    bounds = pts.agg(F.min("p").alias("lo"), F.max("p").alias("hi")).first()
-    lo, hi = float(bounds["lo"] or 0.0), float(bounds["hi"] or 0.0)
-    width = (hi - lo) / slabs or 1.0
-    pts = pts.withColumn("s", F.floor((F.col("p") - lo) / width).cast("long"))
+    stats = pts.agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count(F.lit(1)).alias("m")).first()
+    lo, hi, m = float(stats["lo"] or 0.0), float(stats["hi"] or 0.0), int(stats["m"])
+    # Equal-count slabs: cut points are approximate quantiles of the projection,
+    # so no slab holds more than about m / slabs points even when the data bunch up.
+    slabs = max(slabs, min(4096, m // 512))
+    cuts = sorted(set(pts.approxQuantile("p", [i / slabs for i in range(1, slabs)], 0.5 / slabs))) or [hi + 1.0]
+    cut_arr = F.array(*[F.lit(float(c)) for c in cuts])
+
+    def slab_of(x):
+        return F.aggregate(cut_arr, F.lit(0).cast("long"),
+                           lambda acc, c: acc + F.when(c <= x, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+
+    pts = pts.withColumn("s", slab_of(F.col("p")))
     other = pts.select(F.col("q").alias("nb"), F.col("v").alias("nv"), F.col("s").alias("ns"))
     dist = F.sqrt(F.aggregate(F.zip_with("v", "nv", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
                               lambda acc, x: acc + x))
@@ -253,8 +263,7 @@ def knn_exact(points: DataFrame, features: list[str], k: int, key: str = "pid",
                      .select("q", F.col("dist").alias("r")))
     # points with fewer than k candidates in round 1 search the whole projection range
     far = pts.join(r1, "q", "left").withColumn("r", F.coalesce("r", F.lit(hi - lo + 1.0)))
-    span = far.withColumn("slabs", F.sequence(F.floor((F.col("p") - F.col("r") - lo) / width).cast("long"),
-                                              F.floor((F.col("p") + F.col("r") - lo) / width).cast("long")))
+    span = far.withColumn("slabs", F.sequence(slab_of(F.col("p") - F.col("r")), slab_of(F.col("p") + F.col("r"))))
     r2 = pairs(span).withColumn("rank", F.row_number().over(w_rank)).filter(F.col("rank") <= k)
     return r2.select(F.col("q").alias(key), "nb", "rank", "dist")
 
