@@ -50,3 +50,12 @@ def test_feature_plan_has_one_ordering_exchange_and_no_python(spark):
     plan = FE.build_features(load_readings(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "rangepartitioning" in plan.lower()
+
+
+def test_episode_counts_match_fixture_measurement(spark):
+    """FIXTURES.md measured 1,916 layer-1 episodes over 4,070 non-green readings at sf0.01."""
+    from conftest import MEDIUM
+    r = load_readings(spark, MEDIUM)
+    al = A.with_alerts(FE.build_features(r, dropna=False).withColumn("prob_aceptable", F.lit(0.0)))
+    ep = A.episodes(al, "level_layer1").agg(F.count(F.lit(1)).alias("n"), F.sum("n_readings").alias("rows")).first()
+    assert ep["n"] == 1916 and ep["rows"] == 4070
