@@ -41,3 +41,18 @@ def test_all_pairs_reads_survey_once(spark):
     plan = V.pair_contingency(load_survey(spark, SMALL), V.all_pairs(["SEX", "L1", "L2", "L3"])) \
         ._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+
+
+def test_alert_rules_stay_in_the_jvm(spark):
+    al = A.with_alerts(FE.build_features(load_readings(spark, SMALL)).withColumn("prob_aceptable", F.lit(0.0)))
+    plan = al._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_top_pairs_is_a_top_k(spark):
+    from riverlens.operators import survey as V
+    from riverlens.sources.adapters import load_survey
+    sv = load_survey(spark, SMALL)
+    cont = V.cramers_v(V.chi_square(V.pair_contingency(sv, V.all_pairs(["L1", "L2", "L3", "L4"]))))
+    plan = V.top_pairs(cont, "v_plain", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
