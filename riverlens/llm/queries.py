@@ -12,6 +12,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, read(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_toxicity import op4_toxicity as run
+    return run(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op5_line_dedup import op5_line_dedup as run
+    return run(spark, read(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op6_pii import op6_pii as run
     return run(spark, read(spark, sf_dir, "documents"))
@@ -27,10 +37,16 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, read(spark, sf_dir, "documents"))
 
 
+def op9_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_line_crf import op9_quality_lines as run
+    return run(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op10_archives import op10_warc as run
     return run(spark, read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_pii, op7_packing, op8_source_mixing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_toxicity, op5_line_dedup, op6_pii, op7_packing, op8_source_mixing,
+                                   op9_quality_lines, op10_warc)}
 ORACLES: dict[str, str] = {}
