@@ -11,8 +11,9 @@
 
 Files go through Spark's writers and readers into the shared checkpoint
 folder. The text sink writes raw bytes with a chosen record end, which gives
-valid files: LF after an ARC record, CR LF CR LF after a WARC record. An
-archive holds about ``ARCHIVE_BYTES``, so a task holds a few archives at a time.
+valid files (compressed whole): LF after an ARC record, CR LF CR LF after a
+WARC record. An archive holds about ``ARCHIVE_BYTES``, so a task holds a few
+archives at a time.
 
 Nulls, ties, odd input: a null html is an empty payload; a null url gets a
 placeholder URI; a null page_id stays null and counts as the smallest of its
@@ -25,11 +26,14 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,43 +56,64 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 # -------------------------------------------------------------------- writing
+def arc_header(url: str, length: int, version: int, archive: int, kind: str = "text/html") -> bytes:
+    """Header line of a record; blanks and control characters of a url would end its field, so they are encoded."""
+    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) or "-"
+    middle = [] if version == 1 else ["200", "-", "-", "0", f"{archive}.arc"]
+    return " ".join([url, "0.0.0.0", CAPTURED, kind, *middle, str(length)]).encode() + b"\n"
+
+
+def arc_file(archive: int, version: int, bodies: list[tuple[str, bytes]]) -> bytes:
+    """An ARC file without its last line feed: a version block, then one record per (url, body)."""
+    block = f"{version} 0 riverlens\n{ARC_FIELDS[version]}\n".encode()
+    first = arc_header(f"filedesc://{archive}.arc", len(block), version, archive, "text/plain") + block
+    return b"\n".join([first, *(arc_header(url, len(body), version, archive) + body for url, body in bodies)])
+
+
 def write_arc(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> str:
-    """Write pages as ARC files, one folder per archive; returns their folder."""
-    spark = pages.sparkSession
-    path = _folder(spark, "arc")
-    html = F.coalesce("html", F.lit(""))
-    url = F.coalesce(F.col("url"), F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))))
-    # header lines are split at blanks, so blanks and control characters of a url are encoded
-    url = F.regexp_replace(F.regexp_replace(url, r"[\x00-\x1f\x7f]", "%00"), " ", "%20")
-    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"),
-                    F.coalesce(F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")),
-                    F.lit("Content-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
-    rows = pages.select("page_id", F.when(F.length(url) == 0, F.lit("-")).otherwise(url).alias("url"), F.concat(head, html).alias("body"))
-    total = pages.select(F.sum(F.octet_length(html)), F.count(F.lit(1))).first()
-    n = max(1, -(-((total[0] or 0) + 400 * total[1]) // archive_bytes))
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", F.xxhash64("body")), F.lit(n)))
-    rows = rows.withColumn("version", (F.col("archive") % 2 + 1))
-    length = F.octet_length("body").cast("string")
-    line = F.when(F.col("version") == 1, F.concat_ws(" ", "url", F.lit("0.0.0.0"), F.lit(CAPTURED), F.lit("text/html"), length)) \
-            .otherwise(F.concat_ws(" ", "url", F.lit("0.0.0.0"), F.lit(CAPTURED), F.lit("text/html"), F.lit("200"), F.lit("-"), F.lit("-"),
-                                   F.lit("0"), F.concat(F.col("archive").cast("string"), F.lit(".arc")), length))
-    records = rows.select("archive", F.lit(1).alias("seq"), F.concat(line, F.lit("\n"), F.col("body")).alias("value"))
-    # each archive starts with its version block, whose declared length covers its own two lines
-    ids = spark.range(n).select(F.col("id").alias("archive"), (F.col("id") % 2 + 1).alias("version"))
-    two = F.concat(F.col("version").cast("string"), F.lit(" 0 riverlens\n"),
-                   F.when(F.col("version") == 1, ARC_FIELDS[1]).otherwise(ARC_FIELDS[2]), F.lit("\n"))
-    blocks = ids.select("archive", F.lit(0).alias("seq"),
-                        F.concat(F.lit("filedesc://"), F.col("archive").cast("string"), F.lit(f".arc 0.0.0.0 {CAPTURED} text/plain "),
-                                 F.when(F.col("version") == 2, "200 - - 0 - ").otherwise(""),
-                                 F.octet_length(two).cast("string"), F.lit("\n"), two).alias("value"))
-    (blocks.unionByName(records).repartition("archive").sortWithinPartitions("archive", "seq")
-           .select("archive", "value").write.partitionBy("archive").option("lineSep", "\n").text(path))
+    """Write pages as ARC files, versions 1 and 2 in turn; returns their folder.
+
+    Each task fills archives from the rows that it reads, so nothing is
+    shuffled; an archive's number is its task's partition and a count.
+    """
+    path = _folder(pages.sparkSession, "arc")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count, size, bodies = 0, 0, []
+
+        def full() -> pd.DataFrame:
+            archive = TaskContext.get().partitionId() * 1_000_000 + count
+            return pd.DataFrame({"archive": [archive], "value": [arc_file(archive, count % 2 + 1, bodies)]})
+        for batch in batches:
+            for page, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
+                payload = (html or "").encode()
+                head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"X-Page-Id: {page}\r\n" if page else "")
+                body = f"{head}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
+                bodies.append((f"urn:x-page:{page or 'none'}" if url is None else url, body))
+                size += len(body) + 200
+                if size >= archive_bytes:
+                    yield full()
+                    count, size, bodies = count + 1, 0, []
+        if bodies:
+            yield full()
+
+    # the id travels as a string, so a null among long ids stays exact
+    files = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(run, "archive long, value binary")
+    _write_files(files, path, "\n")
     return path
 
 
+def _write_files(files: DataFrame, path: str, end: str) -> None:
+    """One compressed file per row (archive, value): the text sink writes the bytes as they are, then ``end``."""
+    (files.select("archive", F.col("value").cast("string").alias("value"))
+          .write.partitionBy("archive").option("lineSep", end).option("compression", "gzip").text(path))
+
+
 def _archives(spark: SparkSession, path: str) -> DataFrame:
     """(archive, content): one row per archive file, a file being one unit of work."""
-    return spark.read.format("binaryFile").option("basePath", path).load(f"{path}/archive=*").select(F.col("archive").cast("long").alias("archive"), "content")
+    if not spark.read.format("binaryFile").load(path).columns.count("archive"):
+        return spark.createDataFrame([], "archive long, content binary")    # no page, no archive
+    return spark.read.format("binaryFile").load(path).select(F.col("archive").cast("long").alias("archive"), "content")
 
 
 # -------------------------------------------------------------------- reading
@@ -120,7 +145,7 @@ def payload_digest(payload: bytes) -> str:
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for archive, data in zip(batch["archive"], batch["content"], strict=True):
+        for archive, data in zip(batch["archive"], map(gzip.decompress, batch["content"]), strict=True):
             rows = [(archive, r["offset"], r["page_id"], payload_digest(r["payload"]), len(r["payload"])) for r in arc_records(data)]
             out = pd.DataFrame(rows, columns=["archive", "offset", "page_id", "digest", "bytes"])
             yield out.astype({"page_id": "Int64"})
@@ -147,7 +172,7 @@ def _warc(fields: list[tuple[str, str]], block: bytes) -> bytes:
 
 def _to_warc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for archive, data, keep in zip(batch["archive"], batch["content"], batch["best"], strict=True):
+        for archive, data, keep in zip(batch["archive"], map(gzip.decompress, batch["content"]), batch["best"], strict=True):
             best = {} if keep is None else {int(x["offset"]): x["best"] for x in keep}
             out = [_warc([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("info", archive)), ("WARC-Date", _iso(CAPTURED.encode())),
                           ("Content-Type", "application/warc-fields")], b"software: riverlens\r\nformat: WARC File Format 1.1\r\n")]
@@ -174,8 +199,7 @@ def convert(spark: SparkSession, arc_path: str, min_payload: int = MIN_PAYLOAD)
     # one row per archive, as large as the archive's own record count
     by_archive = revisits.groupBy("archive").agg(F.collect_list(F.struct("offset", "best")).alias("best"))
     warc = _archives(spark, arc_path).join(by_archive, "archive", "left").mapInPandas(_to_warc, "archive long, value binary")
-    (warc.select("archive", F.col("value").cast("string").alias("value"))
-         .write.partitionBy("archive").option("lineSep", "\r\n\r\n").text(path))
+    _write_files(warc, path, "\r\n\r\n")
     return path
 
 
@@ -194,7 +218,7 @@ def warc_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers"]
     for batch in batches:
-        for data in batch["content"]:
+        for data in map(gzip.decompress, batch["content"]):
             rows = []
             for fields, block in warc_records(data):
                 if fields["WARC-Type"] == "warcinfo":
