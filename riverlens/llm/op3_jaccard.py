@@ -135,16 +135,17 @@ def set_postings(s: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------- classes
 def document_sets(documents: DataFrame) -> DataFrame:
-    """Written table (doc_id, n, cls): set size and class of every document row (cls is null for empty sets)."""
+    """Written table (doc_id, h, n, cls): text hash, set size and class of every document row (cls is null for empty sets)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for d, t in zip(batch["doc_id"], batch["text"], strict=True):
+            for d, h, t in zip(batch["doc_id"], batch["h"], batch["text"], strict=True):
                 s = shingle_set(t)
-                rows.append((d, len(s), set_hash(s) if len(s) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "cls"]).astype({"cls": "Int64"})
+                rows.append((d, h, len(s), set_hash(s) if len(s) else None))
+            yield pd.DataFrame(rows, columns=["doc_id", "h", "n", "cls"]).astype({"cls": "Int64"})
     kind = documents.schema["doc_id"].dataType.simpleString()
-    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, "doc_id string, n long, cls long")
+    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("h"), text_or_empty().alias("text")) \
+        .mapInPandas(run, "doc_id string, h long, n long, cls long")
     return materialize(out.withColumn("doc_id", F.col("doc_id").cast(kind)), "shingle-sets")
 
 
@@ -289,7 +290,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def jaccard_groups(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document row."""
+    """(doc_id, n_shingles, component_id) of every document row, with its text hash h and its component's root class."""
     sets = document_sets(documents)
     total = sets.agg(F.sum("n")).first()[0] or 0
     bits = max(0, (total // FRAGMENT_POSTINGS).bit_length())
@@ -315,11 +316,11 @@ def jaccard_groups(documents: DataFrame) -> DataFrame:
     classes = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
     names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(names, "root").select("cls", "component_id")
+    named = classes.join(names, "root").select("cls", "root", "component_id")
     return sets.join(named, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h", "root")
 
 
 def op3_ngram_jaccard(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """The op3 contract over ``documents``."""
-    return jaccard_groups(documents)
+    return jaccard_groups(documents).select("doc_id", "n_shingles", "component_id")

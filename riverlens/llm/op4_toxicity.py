@@ -371,20 +371,18 @@ class Scorer:
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every document row."""
+    """``documents`` with a column __score; the other columns stay in the JVM."""
     shared = documents.sparkSession.sparkContext.broadcast(model)   # bounded by the training sample, a few MB
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scorer.scores(list(batch["text"]))})
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, "doc_id string, score double")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+        for texts in batches:
+            yield pd.Series(scorer.scores(list(texts)))
+    return documents.withColumn("__score", score(text_or_empty()))
 
 
 def op4_toxicity(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The op4 contract over ``documents``."""
-    scored = score_documents(documents, train(documents, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    scored = score_documents(documents.select("doc_id", "text"), train(documents, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= CUT).cast("int").alias("predicted"))

@@ -12,6 +12,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, read(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op2_topk import op2_topk as run
+    return run(spark, read(spark, sf_dir, "embeddings"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_jaccard import op3_ngram_jaccard as run
+    return run(spark, read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op4_toxicity import op4_toxicity as run
     return run(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -47,6 +57,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_toxicity, op5_line_dedup, op6_pii, op7_packing, op8_source_mixing,
-                                   op9_quality_lines, op10_warc)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after the other."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_topk, op3_ngram_jaccard, op4_toxicity, op5_line_dedup, op6_pii, op7_packing,
+                                   op8_source_mixing, op9_quality_lines, op10_warc, pipeline)}
 ORACLES: dict[str, str] = {}
