@@ -108,7 +108,8 @@ def repeat_documents(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     copies = F.ceil(F.col("__share") / F.greatest("__size", F.lit(1))).cast("int")
     rows = rows.filter("__share > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
     left = (F.col("__share") - (F.col("__copy") - 1) * F.col("__size")).cast("int")
-    cut = F.regexp_extract("text", F.concat(F.lit(rf"^(?:[{BLANK}]*+{WORD}+){{"), left.cast("string"), F.lit("}+")), F.lit(0))
+    first_words = F.concat(F.lit(rf"^(?:[{BLANK}]*+{WORD}+){{"), left.cast("string"), F.lit("}+"))
+    cut = F.call_function("regexp_extract", F.col("text"), first_words, F.lit(0))
     rows = rows.withColumn("text", F.when(left < F.col("__size"), cut).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
