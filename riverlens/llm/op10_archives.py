@@ -143,12 +143,18 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows as a frame whose page_id keeps all digits beside nulls."""
+    out = pd.DataFrame(rows, columns=columns, dtype=object)
+    out["page_id"] = pd.array(out["page_id"], dtype="Int64")
+    return out
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for archive, data in zip(batch["archive"], map(gzip.decompress, batch["content"]), strict=True):
             rows = [(archive, r["offset"], r["page_id"], payload_digest(r["payload"]), len(r["payload"])) for r in arc_records(data)]
-            out = pd.DataFrame(rows, columns=["archive", "offset", "page_id", "digest", "bytes"])
-            yield out.astype({"page_id": "Int64"})
+            yield _frame(rows, ["archive", "offset", "page_id", "digest", "bytes"])
 
 
 def parse_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -228,7 +234,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 size = len(payload) if fields["WARC-Type"] == "response" else int(http["Content-Length"])
                 rows.append((int(http["X-Page-Id"]) if "X-Page-Id" in http else None, size, fields["WARC-Payload-Digest"].removeprefix("sha1:"),
                              fields["WARC-Type"], fields["WARC-Record-ID"], fields.get("WARC-Refers-To")))
-            yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
+            yield _frame(rows, columns)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

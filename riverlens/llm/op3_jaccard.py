@@ -138,11 +138,10 @@ def document_sets(documents: DataFrame) -> DataFrame:
     """Written table (doc_id, h, n, cls): text hash, set size and class of every document row (cls is null for empty sets)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for d, h, t in zip(batch["doc_id"], batch["h"], batch["text"], strict=True):
-                s = shingle_set(t)
-                rows.append((d, h, len(s), set_hash(s) if len(s) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "h", "n", "cls"]).astype({"cls": "Int64"})
+            sets = [shingle_set(t) for t in batch["text"]]
+            # an Int64 array: through floats, class numbers beside a null would lose digits
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["h"], "n": [len(s) for s in sets],
+                                "cls": pd.array([set_hash(s) if len(s) else None for s in sets], dtype="Int64")})
     kind = documents.schema["doc_id"].dataType.simpleString()
     out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("h"), text_or_empty().alias("text")) \
         .mapInPandas(run, "doc_id string, h long, n long, cls long")
