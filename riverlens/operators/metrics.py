@@ -110,7 +110,8 @@ def roc_auc(preds: DataFrame, by: list[str], y: str = "y", score: str = "score")
     avg_rank = F.col("cum_before") + (F.col("_w") + 1) / 2.0
     agg = ranked.groupBy(*by).agg(F.sum(F.col("pos") * avg_rank).alias("_rsum"),
                                   F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    auc = F.try_divide(F.col("_rsum") - F.col("_p") * (F.col("_p") + 1) / 2.0, F.col("_p") * F.col("_n"))
+    p, n = F.col("_p").cast("double"), F.col("_n").cast("double")   # the products overflow a long
+    auc = F.try_divide(F.col("_rsum") - p * (p + 1) / 2.0, p * n)
     return agg.select(*by, auc.alias("roc_auc"))
 
 

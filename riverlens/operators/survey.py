@@ -203,14 +203,17 @@ def cross_pairs(left: list[str], right: list[str]) -> list[tuple[str, str]]:
 def pair_contingency(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(var1, var2, v1, v2, n) for every pair in ONE scan.
 
-    Each row is expanded to its pairs and counted; the count combines
-    map-side, so the shuffle carries at most pairs x cells rows per task.
+    Each row is expanded to its pairs (three ints each, the pair by number) and
+    counted; the count combines map-side, so the shuffle carries at most
+    pairs x cells rows per task. Names return with the counts.
     """
-    arr = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                             F.col(a).cast("int").alias("v1"), F.col(b).cast("int").alias("v2")) for a, b in pairs])
-    return (df.select(F.inline(arr))
-              .filter(F.col("v1").isNotNull() & F.col("v2").isNotNull())
-              .groupBy("var1", "var2", "v1", "v2").agg(F.count(F.lit(1)).alias("n")))
+    arr = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("int").alias("v1"), F.col(b).cast("int").alias("v2"))
+                    for i, (a, b) in enumerate(pairs)])
+    counts = (df.select(F.inline(arr))
+                .filter(F.col("v1").isNotNull() & F.col("v2").isNotNull())
+                .groupBy("pair", "v1", "v2").agg(F.count(F.lit(1)).alias("n")))
+    names = [F.get(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair")) for side in (0, 1)]
+    return counts.select(names[0].alias("var1"), names[1].alias("var2"), "v1", "v2", "n")
 
 
 def chi_square(ct: DataFrame, yates: bool = True) -> DataFrame:
@@ -226,7 +229,7 @@ def chi_square(ct: DataFrame, yates: bool = True) -> DataFrame:
                              F.countDistinct("v2").alias("k"))
     cells = (rows.join(cols, k).join(ct, [*k, "v1", "v2"], "left").fillna(0, subset=["n"]).join(tot, k)
                  .withColumn("dof", (F.col("r") - 1) * (F.col("k") - 1))
-                 .withColumn("e", F.col("r_tot") * F.col("c_tot") / F.col("n_total")))
+                 .withColumn("e", F.col("r_tot").cast("double") * F.col("c_tot") / F.col("n_total")))
     diff = F.abs(F.col("n") - F.col("e"))
     adj = F.when((F.col("dof") == 1) & F.lit(yates), diff - F.least(F.lit(0.5), diff)).otherwise(diff)
     # cell positions inside the pair's grid (a table of pairs x cells rows)
@@ -266,7 +269,8 @@ def pair_tests(df: DataFrame, pairs: list[tuple[str, str]], yates: bool = True)
     t = cramers_v(chi_square(pair_contingency(df, pairs), yates)).filter((F.col("r") >= 2) & (F.col("k") >= 2))
     use_fisher = (F.col("min_expected") < 5) & (F.col("r") == 2) & (F.col("k") == 2)
     p_chi = chi2_sf_udf(F.col("chi2"), F.col("dof"))
-    p_fisher = fisher_udf(F.col("c11"), F.col("c12"), F.col("c21"), F.col("c22"))
+    # Python functions run before the CASE: pairs that need no exact test pass nulls and return at once
+    p_fisher = fisher_udf(*[F.when(use_fisher, F.col(c)) for c in ("c11", "c12", "c21", "c22")])
     out = (t.withColumn("test", F.when(use_fisher, "Fisher").otherwise("Chi²"))
             .withColumn("p_value", F.when(use_fisher, p_fisher).otherwise(p_chi))
             .withColumn("chi2_reported", F.when(use_fisher, F.lit(None).cast("double")).otherwise(F.col("chi2"))))
@@ -340,9 +344,6 @@ def index_alphas(df: DataFrame, indices: dict | None = None) -> DataFrame:
 
 
 # ------------------------------------------------------------- correlation
-MAP_RANK_LIMIT = 200_000  # distinct (item, value) entries shipped to every task at most
-
-
 def average_ranks(df: DataFrame, items: list[str]) -> DataFrame:
     """(variable, value, rank): 1-based average rank of each distinct value (ties share it)."""
     hist = value_histogram(df, items)
@@ -350,30 +351,31 @@ def average_ranks(df: DataFrame, items: list[str]) -> DataFrame:
     return cum.select("variable", "value", (F.col("cum_before") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
-def with_rank_columns(df: DataFrame, items: list[str]) -> DataFrame:
-    """Replace each item by its average rank, looked up from the value histogram."""
-    ranks = average_ranks(df, items).persist()  # one row per distinct (item, value)
-    n_entries = ranks.count()
-    if n_entries <= MAP_RANK_LIMIT:
-        # One row of maps, size checked above: broadcast to every task.
-        maps = ranks.groupBy("variable").agg(F.map_from_entries(F.collect_list(F.struct("value", "rank"))).alias("m"))
-        wide = maps.groupBy().pivot("variable", items).agg(F.first("m"))
-        joined = df.crossJoin(F.broadcast(wide.select(*[F.col(c).alias(f"_m_{c}") for c in items])))
-        return joined.select(*[F.element_at(F.col(f"_m_{c}"), F.col(c).cast("double")).alias(c) for c in items])
-    out = df.select(F.monotonically_increasing_id().alias("_rid"), *items)
-    for c in items:
-        r = ranks.filter(F.col("variable") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        out = out.withColumn(c, F.col(c).cast("double")).join(r, c, "left").drop(c).withColumnRenamed(f"_r_{c}", c)
-    return out.select(*items)
-
-
 def correlation_pairs(df: DataFrame, items: list[str] | None = None, method: str = "pearson") -> DataFrame:
-    """(var1, var2, r, n) for every item pair in one aggregate."""
+    """(var1, var2, r, n) for every item pair.
+
+    Pearson is one aggregate over the rows. Spearman puts the average ranks on
+    the pair contingency (cells, not rows) and takes the weighted correlation,
+    centred first so that large counts do not cancel.
+    """
     items = items or LIKERT_ITEMS
-    data = with_rank_columns(df, items) if method == "spearman" else df.select(*items)
     pairs = all_pairs(items)
-    agg = data.agg(F.count(F.lit(1)).alias("_n"),
-                   *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
+    if method == "spearman":
+        total = df.agg(F.count(F.lit(1)).alias("n_all"))
+        ranks = average_ranks(df, items).withColumn("value", F.col("value").cast("int"))
+        cells = pair_contingency(df, pairs)
+        for side in ("1", "2"):
+            cells = cells.join(ranks.select(F.col("variable").alias(f"var{side}"), F.col("value").alias(f"v{side}"),
+                                            F.col("rank").alias(f"x{side}")), [f"var{side}", f"v{side}"])
+        weight, pair = F.col("n"), ["var1", "var2"]
+        means = cells.groupBy(*pair).agg(*[(F.sum(weight * F.col(x)) / F.sum(weight)).alias(f"m{x}") for x in ("x1", "x2")])
+        a, b = F.col("x1") - F.col("mx1"), F.col("x2") - F.col("mx2")
+        sums = cells.join(means, pair).groupBy(*pair).agg(F.sum(weight * a * b).alias("ab"), F.sum(weight * a * a).alias("aa"),
+                                                          F.sum(weight * b * b).alias("bb"))
+        return sums.crossJoin(F.broadcast(total)).select(*pair, F.try_divide("ab", F.sqrt(F.col("aa") * F.col("bb"))).alias("r"),
+                                                         F.col("n_all").alias("n"))
+    agg = df.agg(F.count(F.lit(1)).alias("_n"),
+                 *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
     rows = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"{a}__{b}").alias("r")) for a, b in pairs]
     return agg.select("_n", F.explode(F.array(*rows)).alias("x")).select("x.var1", "x.var2", "x.r",
                                                                          F.col("_n").alias("n"))

@@ -17,11 +17,11 @@ row-based lags and rolling frames are computed on *blocks* instead:
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MAX_LOOKBACK
+from ..session import materialize
 
 DEFAULT_BLOCK_ROWS = 1 << 20
 SEQ, BLOCK, HALO = "seq", "block", "is_halo"
@@ -34,8 +34,9 @@ def sequence_index(df: DataFrame, key: str = "station_id", order: str = "ts",
                  .sortWithinPartitions(key, order, tiebreak)
                  .withColumn("_pid", F.spark_partition_id())
                  .withColumn("_mid", F.monotonically_increasing_id()))
-    # Both branches below read the same numbered rows; materialise them once.
-    ordered = ordered.persist(StorageLevel.MEMORY_AND_DISK)
+    # Both branches below must see the same ranges: a second run of the exchange may sample
+    # other bounds, so the numbered rows are written once to the shared folder.
+    ordered = materialize(ordered, "ordered")
     runs = ordered.groupBy("_pid", key).agg(F.min("_mid").alias("_first"),
                                             F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,12 +83,15 @@ def weighted_prefix(df: DataFrame, keys: list[str], order: str, weight,
 
     Range partitioning spreads a hot key over many tasks; each task sums its
     own slice, and a table with one row per (partition, key) supplies the
-    offsets of the earlier slices.
+    offsets of the earlier slices. The ranged rows are written once with their
+    partition number: two exchanges may sample different bounds, and slices
+    and rows would then not belong together.
     """
     weights = [weight] if isinstance(weight, str) else list(weight)
     outs = ["cum_before"] if isinstance(weight, str) else [f"cum_before_{w}" for w in weights]
     ranged = (df.repartitionByRange(*([partitions] if partitions else []), *keys, order)
                 .withColumn("_pid", F.spark_partition_id()))
+    ranged = materialize(ranged, "ranged")
     local = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     slices = ranged.groupBy("_pid", *keys).agg(*[F.sum(w).alias(f"_slice{i}") for i, w in enumerate(weights)])
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,57 +1,66 @@
 """Registered queries: the streaming alert engine run to completion (T*).
 
-Each query starts a Structured Streaming job over the events file, drains
-it into the memory sink and returns the sink table, so the stream's output
-is checked against the batch oracle.
+Each query replays the readings as several micro-batches, runs a Structured
+Streaming job over them into a Parquet table in the shared checkpoint folder
+and returns that table, so the stream's output is checked against the batch
+oracle.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..schema import SENSORS, features_full
+from ..sources.adapters import load_readings
 from ..streaming import alerts as T
 from . import sql as S
 from .catalog import register
 
 
-def _run(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    spark = df.sparkSession
-    tag = f"{name}_{uuid.uuid4().hex[:8]}"
-    return T.run_to_memory(df, tag, mode, checkpoint=f"{ensure_checkpoint_dir(spark)}/streams/{tag}")
-
-
 @register("stream_alert_levels", sql=f"""
 SELECT reading_id, station_id, level_ph, level_do, level_turbidity, level_temperature, level_global, vars_in_alert
 FROM ({S.alerts_sql(f'SELECT *, CAST(NULL AS DOUBLE) AS turbidity_delta1_abs FROM ({S.READINGS}) r')}) a""")
 def stream_alert_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-reading levels and reasons computed on a stream."""
-    out = _run(T.alert_stream(T.readings_stream(spark, sf_dir)), "t1")
+    out = T.run_to_table(T.alert_stream(T.readings_stream(spark, sf_dir)), "t1")
     return out.select("reading_id", "station_id", "level_ph", "level_do", "level_turbidity", "level_temperature",
                       "level_global", "vars_in_alert")
 
 
-@register("stream_dedupe")
+@register("stream_dedupe", sql=f"SELECT DISTINCT reading_id, station_id FROM ({S.READINGS}) r")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings after duplicate removal within the watermark."""
-    return _run(T.dedupe_stream(T.readings_stream(spark, sf_dir)), "t2").select("reading_id", "station_id")
+    """Readings after duplicate removal within the watermark; repeats come in and across micro-batches."""
+    stream = T.staged_readings(load_readings(spark, sf_dir), repeats=True)
+    return T.run_to_table(T.dedupe_stream(stream), "t2").select("reading_id", "station_id")
 
 
-@register("stream_level_counts")
+@register("stream_level_counts", sql=f"""
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, station_id, level_global, CAST(count(*) AS BIGINT) AS n
+FROM ({S.alerts_sql(f'SELECT *, CAST(NULL AS DOUBLE) AS turbidity_delta1_abs FROM ({S.READINGS}) r')}) a GROUP BY ALL""")
 def stream_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly global-level counts per station (windows closed by the watermark)."""
-    out = _run(T.level_counts_stream(T.alert_stream(T.readings_stream(spark, sf_dir))), "t3")
+    """Hourly global-level counts per station; the heartbeat closes the last windows."""
+    stream = T.staged_readings(load_readings(spark, sf_dir), heartbeat=True)
+    out = T.run_to_table(T.level_counts_stream(T.alert_stream(stream)), "t3").filter(F.col("station_id") != T.HEARTBEAT)
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "station_id", "level_global", "n")
 
 
-@register("stream_episodes")
+_T4_PROB = "least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), (85 - wqi) / 20))"
+
+
+@register("stream_episodes", sql=f"""
+WITH hot AS (SELECT * FROM ({S.READINGS}) r WHERE turbidity > 5.0 OR {_T4_PROB} > 0.20),
+g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS opens FROM hot WINDOW w AS (PARTITION BY station_id ORDER BY ts, reading_id)),
+e AS (SELECT *, sum(opens) OVER (PARTITION BY station_id ORDER BY ts, reading_id) AS episode FROM g)
+SELECT station_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start_ts, CAST(count(*) AS BIGINT) AS n_readings,
+  round(max(turbidity), 6) AS max_turbidity, round(min(wqi), 6) AS min_wqi FROM e GROUP BY station_id, episode""")
 def stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4: session-window episodes of MALA/CRÍTICO readings (20-minute gap)."""
-    return _run(T.episode_stream(T.alert_stream(T.readings_stream(spark, sf_dir))), "t4")
+    """T4: session-window episodes of readings whose layer level is not green (20-minute gap)."""
+    stream = T.staged_readings(load_readings(spark, sf_dir), heartbeat=True)
+    out = T.run_to_table(T.episode_stream(stream), "t4").filter(F.col("station_id") != T.HEARTBEAT)
+    return out.select("station_id", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start_ts"), "n_readings",
+                      F.round("max_turbidity", 6).alias("max_turbidity"), F.round("min_wqi", 6).alias("min_wqi"))
 
 
 _T5_COLS = ["reading_id", "station_id"] + T.FEATURE_COLS
@@ -61,25 +70,20 @@ _T5_COLS = ["reading_id", "station_id"] + T.FEATURE_COLS
     [c if c in ("reading_id", "station_id") else f"round({c}, 6) AS {c}" for c in _T5_COLS])
     + f" FROM ({S.features_sql(False)}) f")
 def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5: stateful lags/differences/rolling features; equal to the batch features."""
-    out = _run(T.feature_stream(T.readings_stream(spark, sf_dir)), "t5")
+    """T5: lags, differences and rolling features over several micro-batches; equal to the batch features."""
+    out = T.run_features(T.staged_readings(load_readings(spark, sf_dir)))
     return out.select("reading_id", "station_id", *[F.round(c, 6).alias(c) for c in T.FEATURE_COLS])
 
 
 @register("stream_scoring")
 def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fitted pipeline scores the reading stream; min-max uses frozen batch bounds."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    from ..schema import SENSORS
-    from ..sources.adapters import load_readings
-    batch = load_readings(spark, sf_dir)
-    model = Pipeline(stages=[VectorAssembler(inputCols=SENSORS, outputCol="features"),
-                             RandomForestRegressor(featuresCol="features", labelCol="wqi", numTrees=10,
-                                                   maxDepth=5, seed=42)]).fit(batch)
-    lo, hi = model.transform(batch).agg(F.min("prediction"), F.max("prediction")).first()
-    scored = T.scoring_stream(T.readings_stream(spark, sf_dir), model, "prediction", (lo, hi))
-    out = _run(scored.select("reading_id", "station_id", "prediction", "anomaly_score"), "t6")
+    """The saved classifier and isolation forest, fitted on the training rows, score the feature
+    stream; class probability, frozen min-max score and both layer levels of every complete reading."""
+    from ..operators import alerts as A
+    from .queries_models import fitted_alert_models
+    models = fitted_alert_models(spark, sf_dir)
+    features = T.run_features(T.staged_readings(load_readings(spark, sf_dir)), "t6-features").dropna(subset=features_full())
+    stream = T.staged_readings(features, chunks=3)
+    scored = A.with_alerts(models.score(stream), prob="prob_aceptable", score="anomaly_score")
+    out = T.run_to_table(scored.select("reading_id", "station_id", "prob_aceptable", "anomaly_score", "level_layer1", "level_layer2"), "t6")
     return out

@@ -59,3 +59,19 @@ def test_episode_counts_match_fixture_measurement(spark):
     al = A.with_alerts(FE.build_features(r, dropna=False).withColumn("prob_aceptable", F.lit(0.0)))
     ep = A.episodes(al, "level_layer1").agg(F.count(F.lit(1)).alias("n"), F.sum("n_readings").alias("rows")).first()
     assert ep["n"] == 1916 and ep["rows"] == 4070
+
+
+def test_prefix_sums_survive_ranges_that_are_sampled_anew(spark):
+    """AUC over many distinct scores: with two exchanges of unequal bounds the slices and rows would not belong together."""
+    from riverlens.operators import metrics as M
+    old = spark.conf.get("spark.sql.execution.rangeExchange.sampleSizePerPartition", "100")
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "5")
+    try:
+        preds = spark.range(300_000).selectExpr("'m' as model", "xxhash64(id) as score", "cast(pmod(xxhash64(id, 1), 3) = 0 as int) as y")
+        auc = M.roc_auc(preds, ["model"]).first()["roc_auc"]
+        pdf = preds.toPandas()
+        ranks = pdf["score"].rank()
+        p, n = int((pdf["y"] == 1).sum()), int((pdf["y"] == 0).sum())
+        assert abs(auc - (ranks[pdf["y"] == 1].sum() - p * (p + 1) / 2) / (p * n)) < 1e-12
+    finally:
+        spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", old)

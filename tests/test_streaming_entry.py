@@ -1,5 +1,3 @@
-import tempfile
-
 import numpy as np
 
 from pyspark.sql import functions as F
@@ -12,19 +10,35 @@ from riverlens.sources.adapters import load_readings
 from riverlens.streaming import alerts as T
 
 
-def test_stream_equals_batch_for_levels_and_features(spark):
-    ck = tempfile.mkdtemp(prefix="rl-t-")
-    s1 = T.run_to_memory(T.alert_stream(T.readings_stream(spark, SMALL)), "tst1", checkpoint=ck + "/1")
+def test_stream_equals_batch_for_levels(spark):
+    s1 = T.run_to_table(T.alert_stream(T.readings_stream(spark, SMALL)), "tst1")
     b1 = A.with_variable_levels(load_readings(spark, SMALL))
     cols = ["reading_id", "level_global"]
-    assert s1.select(*cols).exceptAll(b1.select(*cols)).count() == 0
+    assert s1.select(*cols).exceptAll(b1.select(*cols)).count() == 0 and s1.count() == b1.count()
+
+
+def test_features_across_micro_batches_equal_batch(spark):
+    readings = load_readings(spark, SMALL)
     cols = ["reading_id", *T.FEATURE_COLS]
-    s5 = T.run_to_memory(T.feature_stream(T.readings_stream(spark, SMALL)), "tst5", checkpoint=ck + "/5")
-    s5 = s5.select(*cols).toPandas().sort_values("reading_id").reset_index(drop=True)
-    b5 = FE.build_features(load_readings(spark, SMALL), dropna=False).select(*cols).toPandas() \
-        .sort_values("reading_id").reset_index(drop=True)
-    assert len(s5) == len(b5) == 1000
-    assert np.allclose(s5.to_numpy(float), b5.to_numpy(float), atol=1e-9, equal_nan=True)
+    b5 = FE.build_features(readings, dropna=False).select(*cols).toPandas().sort_values("reading_id").reset_index(drop=True)
+    for chunks in (1, 5):
+        s5 = T.run_features(T.staged_readings(readings, chunks=chunks)).select(*cols).toPandas() \
+            .sort_values("reading_id").reset_index(drop=True)
+        assert len(s5) == len(b5) == 1000
+        assert np.allclose(s5.to_numpy(float), b5.to_numpy(float), atol=1e-9, equal_nan=True)
+
+
+def test_repeats_within_and_across_micro_batches_are_removed(spark):
+    readings = load_readings(spark, SMALL)
+    stream = T.staged_readings(readings, repeats=True)
+    assert T.run_to_table(stream, "all").count() > 1100
+    assert T.run_to_table(T.dedupe_stream(T.staged_readings(readings, repeats=True)), "once").count() == 1000
+
+
+def test_heartbeat_closes_every_window(spark):
+    readings = load_readings(spark, SMALL)
+    out = T.run_to_table(T.level_counts_stream(T.alert_stream(T.staged_readings(readings, heartbeat=True))), "counts")
+    assert out.filter(F.col("station_id") != T.HEARTBEAT).agg(F.sum("n")).first()[0] == 1000
 
 
 def test_entry_and_registry(spark):
