@@ -25,9 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stats import exact_quantiles
 from ..plans.ordering import SEQ, sequence_index
+from ..session import materialize
 
 # ------------------------------------------------------------------ estimators
+# Hyper-parameters that must match.
 CLASSIFIER_PARAMS = {
     "random_forest": dict(numTrees=200, minInstancesPerNode=3),
     "boosted": dict(maxIter=200, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
@@ -117,7 +120,7 @@ def _c(n: float) -> float:
 
 
 TREE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
-               "size long, depth int")
+               "size long, depth int, psi int")
 
 
 def _grow(tree_id: int, x: np.ndarray, max_depth: int, seed: int) -> list[tuple]:
@@ -171,17 +174,16 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key: str = "reading
         tid = int(pdf["tree"].iloc[0])
         x = pdf[features].to_numpy(dtype=float)
         return pd.DataFrame(_grow(tid, x, max_depth, seed),
-                            columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+                            columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"]).assign(psi=psi)
 
-    return sample.groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
+    return materialize(sample.groupBy("tree").applyInPandas(grow, TREE_SCHEMA), "trees")
 
 
-def score_isolation_forest(df: DataFrame, trees: DataFrame, features: list[str], sample_size: int,
-                           out: str = "iso_score") -> DataFrame:
-    """M7 scoring: anomaly score 2^(-E[h(x)] / c(psi)) for every row, in Arrow batches."""
+def score_isolation_forest(df: DataFrame, trees: DataFrame, features: list[str], out: str = "iso_score") -> DataFrame:
+    """M7 scoring: anomaly score 2^(-E[h(x)] / c(psi)) for every row, in Arrow batches; psi is the trees' sample size."""
     table = trees.orderBy("tree", "node").toPandas()  # size fixed by n_trees x nodes, not by the data
     bc = df.sparkSession.sparkContext.broadcast(table)
-    denom = _c(sample_size)
+    denom = _c(int(table["psi"].iloc[0]))
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
 
     def score(batches):
@@ -193,6 +195,7 @@ def score_isolation_forest(df: DataFrame, trees: DataFrame, features: list[str],
             arr = {c: np.zeros(size) for c in ["feature", "threshold", "left", "right", "size", "depth"]}
             for c in arr:
                 arr[c][g["node"].to_numpy()] = g[c].to_numpy()
+            arr["path"] = arr["depth"] + np.array([_c(n) for n in arr["size"]])
             trees_np.append(arr)
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=float)
@@ -206,8 +209,7 @@ def score_isolation_forest(df: DataFrame, trees: DataFrame, features: list[str],
                     nxt = np.where(go_left, tr["left"][node], tr["right"][node]).astype(int)
                     node = np.where(active, nxt, node)
                     active = tr["feature"][node] >= 0
-                sizes = tr["size"][node]
-                total += tr["depth"][node] + np.array([_c(s) for s in sizes])
+                total += tr["path"][node]
             pdf[out] = np.power(2.0, -(total / len(trees_np)) / denom)
             yield pdf
 
@@ -281,8 +283,10 @@ def smote(df: DataFrame, features: list[str], label: str = "anomaly", key: str =
     n = {int(r[label]): int(r["count"]) for r in counts}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     base = df.select(key, *features, F.col(label).cast("int").alias(label), F.lit(False).alias("synthetic"))
-    if n_pos < 2 or n_neg <= n_pos:
+    if n_neg <= n_pos:
         return base
+    if n_pos < 2:
+        raise ValueError("SMOTE needs at least two minority rows to place a new one between them")
     k = min(k, max(1, n_pos - 1))
     minority = sequence_index(df.filter(F.col(label) == 1).select(key, *features).withColumn("_one", F.lit(1)),
                               key="_one", order=key, tiebreak=key).select(F.col(SEQ).alias("pid"), key, *features)
@@ -298,7 +302,7 @@ def smote(df: DataFrame, features: list[str], label: str = "anomaly", key: str =
                                / float(1 << 30)))
     nb_feats = minority.select(F.col("pid").alias("nb"), *[F.col(f).alias(f"n_{f}") for f in features])
     syn = (gen.join(nbrs.select("pid", "rank", "nb"), ["pid", "rank"]).join(nb_feats, "nb")
-              .select((-(F.col("pid") * 1_000_000 + F.col("j")) - 1).alias(key),
+              .select((-F.shiftrightunsigned(F.xxhash64("pid", "j"), 1) - 1).alias(key),
                       *[(F.col(f) + F.col("gap") * (F.col(f"n_{f}") - F.col(f))).alias(f) for f in features],
                       F.lit(1).alias(label), F.lit(True).alias("synthetic")))
     return base.unionByName(syn)
@@ -306,12 +310,15 @@ def smote(df: DataFrame, features: list[str], label: str = "anomaly", key: str =
 
 # ------------------------------------------------------------ one-class detector
 def fit_one_class(normal: DataFrame, features: list[str], nu: float, n_components: int = 64,
-                  seed: int = 42, iterations: int = 30, lr: float = 0.5) -> dict:
+                  seed: int = 42, iterations: int = 30, bins: int = 256) -> dict:
     """M9 (re-aimed): RBF kernel via random Fourier features, linear one-class objective.
 
-    gamma = 1 / (p * var) as sklearn's 'scale'. Each iteration is one Spark job:
-    ``mapInPandas`` emits per-partition subgradients, an ``agg`` sums them.
-    The feature table is checkpointed once so iterations do not recompute it.
+    gamma = 1 / (p * var) as sklearn's 'scale'. For fixed weights the best
+    offset is the nu-quantile of the scores, so each iteration is one pass
+    that counts rows and sums their features by score bin (``bins`` rows come
+    back): the bins give the quantile, the sums of those below it the
+    subgradient. Weights are averaged; the final offset is the exact quantile
+    of the training scores, so about nu of them lie outside.
     """
     p = len(features)
     # sklearn's gamma='scale' uses the variance of all values; with per-column
@@ -326,34 +333,39 @@ def fit_one_class(normal: DataFrame, features: list[str], nu: float, n_component
     W = rng.normal(scale=math.sqrt(2 * gamma), size=(p, n_components))
     b = rng.uniform(0, 2 * math.pi, size=n_components)
     n = int(stats["_n"])
-    data = normal.select(*features).checkpoint()
-    w = np.zeros(n_components)
-    rho = 0.0
-    sc = normal.sparkSession.sparkContext
-    for it in range(iterations):
-        bw = sc.broadcast((W, b, w, rho))
+    data = materialize(normal.select(*features), "one-class")
+
+    def binned(w: np.ndarray):
+        """Counts and feature sums by score bin; a score cannot leave +-sqrt(2) * |w|."""
+        reach = math.sqrt(2.0) * float(np.linalg.norm(w)) + 1e-12
 
-        def grad(batches):
-            Wb, bb, ww, rr = bw.value
-            g = np.zeros(len(ww))
-            cnt = 0
+        def run(batches):
+            counts, sums = np.zeros(bins, dtype=np.int64), np.zeros((bins, n_components))
             for pdf in batches:
-                z = math.sqrt(2.0 / len(bb)) * np.cos(pdf[features].to_numpy(float) @ Wb + bb)
-                viol = z @ ww < rr
-                g += z[viol].sum(axis=0)
-                cnt += int(viol.sum())
-            yield pd.DataFrame({"g": [g.tolist()], "cnt": [cnt]})
-
-        part = data.mapInPandas(grad, "g array<double>, cnt long")
-        agg = part.agg(F.array(*[F.sum(F.col("g")[i]) for i in range(n_components)]).alias("g"),
-                       F.sum("cnt").alias("cnt")).first()
-        g_sum = np.array(agg["g"], dtype=float)
-        viol = int(agg["cnt"] or 0)
-        step = lr / (1 + it)
-        w = w - step * (w - g_sum / (nu * n))
-        rho = rho - step * (viol / (nu * n) - 1.0)
-        bw.unpersist()
-    return {"W": W, "b": b, "w": w, "rho": rho, "features": features, "gamma": gamma}
+                z = math.sqrt(2.0 / n_components) * np.cos(pdf[features].to_numpy(float) @ W + b)
+                at = np.clip(((z @ w / reach + 1) / 2 * bins).astype(int), 0, bins - 1)
+                np.add.at(counts, at, 1)
+                np.add.at(sums, at, z)
+            used = np.flatnonzero(counts)
+            yield pd.DataFrame({"bin": used, "cnt": counts[used], "g": list(sums[used])})
+
+        part = data.mapInPandas(run, "bin int, cnt long, g array<double>")
+        rows = part.groupBy("bin").agg(F.sum("cnt").alias("cnt"), F.array(*[F.sum(F.col("g")[i]) for i in range(n_components)]).alias("g")) \
+                   .orderBy("bin").collect()
+        return np.array([r.cnt for r in rows]), np.array([r.g for r in rows])
+
+    w = binned(np.zeros(n_components))[1].sum(axis=0) / n   # the mean of all rows: the solution for nu = 1
+    mean = np.zeros(n_components)
+    for it in range(iterations):
+        counts, sums = binned(w)
+        before = np.cumsum(counts) - counts
+        inside = np.clip((nu * n - before) / counts, 0, 1)    # the share of each bin below the quantile
+        w = w + (inside @ sums / (nu * n) - w) / (it + 2)
+        mean += (w - mean) / (it + 1)
+    model = {"W": W, "b": b, "w": mean, "rho": 0.0, "features": features, "gamma": gamma}
+    scores = score_one_class(data, model)
+    model["rho"] = -exact_quantiles(scores, ["ocsvm_score"], [1 - nu]).first()["value"]
+    return model
 
 
 def score_one_class(df: DataFrame, model: dict, out: str = "ocsvm_score") -> DataFrame:
@@ -371,3 +383,27 @@ def score_one_class(df: DataFrame, model: dict, out: str = "ocsvm_score") -> Dat
             yield pdf
 
     return df.mapInPandas(score, schema)
+
+
+# ------------------------------------------------------------ alert scoring
+class AlertModels:
+    """Classifier and isolation forest as the alert layers use them: class probability and a score
+    normalised by the training rows' smallest and largest score (M11, T6)."""
+
+    def __init__(self, classifier, label: str, trees: DataFrame, features: list[str], moments: dict, bounds: tuple[float, float]):
+        self.classifier, self.label, self.trees = classifier, label, trees
+        self.features, self.moments, self.bounds = features, moments, bounds
+
+    def raw(self, df: DataFrame) -> DataFrame:
+        """Adds iso_score, on features standardised by the training moments."""
+        z = [((F.col(f) - F.lit(self.moments[f][0])) / F.lit(self.moments[f][1] or 1.0)).alias(f"{f}__z") for f in self.features]
+        scored = score_isolation_forest(df.select("*", *z).withColumnsRenamed({f: f"{f}__own" for f in self.features})
+                                          .withColumnsRenamed({f"{f}__z": f for f in self.features}), self.trees, self.features)
+        return scored.drop(*self.features).withColumnsRenamed({f"{f}__own": f for f in self.features})
+
+    def score(self, df: DataFrame, label_value: str = "ACEPTABLE") -> DataFrame:
+        """Adds prob_aceptable and anomaly_score to a (batch or streaming) feature table."""
+        out = class_probability(self.classifier.transform(df), self.classifier, label_value, self.label, "prob_aceptable")
+        out = self.raw(out.select(*df.columns, "prob_aceptable"))
+        low, high = self.bounds
+        return out.withColumn("anomaly_score", (F.col("iso_score") - F.lit(low)) / (F.lit(high) - F.lit(low) + 1e-9))

@@ -42,15 +42,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
                  .select(F.lit("duplicate").alias("rule"), F.lit("*").alias("column"), "n_bad", "n_rows")
 
 
-def schema_contract(df: DataFrame, expected: list[str] | None = None) -> DataFrame:
-    """Q3: expected vs actual column list, position by position."""
-    expected = expected or READINGS_COLUMNS
-    actual = df.columns
-    n = max(len(expected), len(actual))
-    rows = [(i, expected[i] if i < len(expected) else None, actual[i] if i < len(actual) else None)
-            for i in range(n)]
-    out = df.sparkSession.createDataFrame(rows, "position int, expected string, actual string")
-    return out.withColumn("ok", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)))
+def schema_contract(df: DataFrame, expected: list[tuple[str, str]]) -> DataFrame:
+    """Q3: expected columns (name, type) against a source table: found, same type, and rows with a value."""
+    actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    counts = df.agg(*[(F.count(n) if n in actual else F.lit(0)).cast("long").alias(n) for n, _ in expected])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(n).alias("expected"), F.lit(t).alias("expected_type"), F.lit(actual.get(n)).alias("actual_type"),
+                     F.lit(actual.get(n) == t).alias("ok"), F.col(n).alias("n_present")) for i, (n, t) in enumerate(expected)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def cadence_gaps(readings: DataFrame, minutes: int = 15, key: str = "station_id") -> DataFrame:
@@ -150,8 +148,9 @@ def period_bounds(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def feature_set_report(features: DataFrame) -> DataFrame:
-    """F11 / Q9 by name: the two feature lists with their membership flags."""
+    """F11 / Q9 by name: the ordered feature list with its membership flag, values present and variance per feature."""
     full, no_leak = features_full(), set(features_no_leak())
-    rows = [(i, c, c in no_leak, c in features.columns) for i, c in enumerate(full)]
-    return features.sparkSession.createDataFrame(
-        rows, "position int, feature string, in_anomaly_set boolean, present boolean")
+    stats = features.agg(*[F.struct(F.count(c).alias("n"), F.var_samp(c).alias("v")).alias(c) for c in full])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.lit(c in no_leak).alias("in_anomaly_set"),
+                     F.col(c)["n"].alias("n_present"), F.round(F.col(c)["v"], 4).alias("variance")) for i, c in enumerate(full)]
+    return stats.select(F.inline(F.array(*rows)))

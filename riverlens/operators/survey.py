@@ -282,6 +282,16 @@ def pair_tests(df: DataFrame, pairs: list[tuple[str, str]], yates: bool = True)
                       stars("p_value").alias("stars"), p_value_text("p_value").alias("p_text"))
 
 
+def fisher_by_group(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """Exact p of the 2 x 2 table of two variables coded 1 and 2, per group; only where an expected count is below 5."""
+    cell = lambda i, j: F.count_if((F.col(a) == i) & (F.col(b) == j)).alias(f"c{i}{j}")
+    t = df.groupBy(group).agg(cell(1, 1), cell(1, 2), cell(2, 1), cell(2, 2))
+    rows, cols = [F.col("c11") + F.col("c12"), F.col("c21") + F.col("c22")], [F.col("c11") + F.col("c21"), F.col("c12") + F.col("c22")]
+    least = F.least(*rows).cast("double") * F.least(*cols) / (rows[0] + rows[1])
+    t = t.withColumn("min_expected", least).filter((F.least(*rows) > 0) & (F.least(*cols) > 0) & (least < 5))
+    return t.withColumn("p_value", fisher_udf("c11", "c12", "c21", "c22")).withColumn("stars", stars("p_value"))
+
+
 def significant_pairs(tests: DataFrame, p_max: float = 0.05, v_min: float = 0.20,
                       v_col: str = "v_corrected") -> DataFrame:
     """Pairs with p < p_max and V >= v_min."""

@@ -26,4 +26,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_alerts, queries_features, queries_metrics, queries_models, queries_quality, queries_streaming, queries_survey  # noqa: F401
+    from . import queries_alerts, queries_features, queries_metrics, queries_models, queries_quality, queries_sources, queries_streaming, queries_survey  # noqa: F401

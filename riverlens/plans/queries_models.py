@@ -14,6 +14,7 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import splits as P
+from ..functions.stats import exact_quantiles
 from ..plans.ordering import SEQ
 from ..schema import SENSORS, features_full, features_no_leak
 from ..sources.adapters import load_readings
@@ -22,8 +23,8 @@ from ..session import materialize
 from .catalog import register
 
 FEAT_SQL = S.features_sql(True)
-SMALL_RF = dict(numTrees=12, maxDepth=6)
-SMALL_GBT = dict(maxIter=4, maxDepth=3)
+# Eight equal steps of the learning curve.
+FRACTIONS = [round(0.1 + 0.9 * i / 7, 6) for i in range(8)]
 
 
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +127,10 @@ def split_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("split_learning_subsets", sql=f"""
 WITH c AS (SELECT count(*) AS n FROM ({FEAT_SQL}) f)
 SELECT fr AS fraction, CAST(ceil(fr * n) AS BIGINT) AS n FROM c,
-  (VALUES (0.1), (0.2), (0.3), (0.4), (0.5), (0.7), (0.85), (1.0)) v(fr)""")
+  (VALUES {', '.join(f"(CAST({f} AS DOUBLE))" for f in FRACTIONS)}) v(fr)""")
 def split_learning_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested learning-curve subset sizes."""
-    fr = [0.1, 0.2, 0.3, 0.4, 0.5, 0.7, 0.85, 1.0]
-    s = P.learning_subsets(feature_frame(spark, sf_dir).drop(SEQ), fr)
+    s = P.learning_subsets(feature_frame(spark, sf_dir).drop(SEQ), FRACTIONS)
     return s.groupBy("fraction").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -167,12 +167,12 @@ def split_normal_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------------------------- models
 def _classifier_run(spark: SparkSession, sf_dir: str):
     feats = features_full()
-    df = P.class_weights(P.stratified_split(model_input(spark, sf_dir), "quality_class"),
-                         "quality_class").checkpoint()
-    train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
-    specs = {"random_forest": ML.make_classifier("random_forest", **SMALL_RF),
-             "boosted": ML.make_classifier("boosted", weight_col=None, **SMALL_GBT),
-             "gradient_boosting": ML.make_classifier("gradient_boosting", weight_col=None, **SMALL_GBT)}
+    df = materialize(P.stratified_split(model_input(spark, sf_dir), "quality_class"), "split")
+    train = materialize(P.class_weights(df.filter(F.col("split") == "train"), "quality_class"), "train")
+    test = df.filter(F.col("split") == "test")
+    specs = {"random_forest": ML.make_classifier("random_forest"),
+             "boosted": ML.make_classifier("boosted", weight_col=None),
+             "gradient_boosting": ML.make_classifier("gradient_boosting", weight_col=None)}
     fitted, preds = {}, None
     for name, est in specs.items():
         model = ML.classification_pipeline(est, feats, "quality_class").fit(train)
@@ -186,7 +186,7 @@ def _classifier_run(spark: SparkSession, sf_dir: str):
                      *[f"p_{c}" for c in labels])
         fitted[name] = model
         preds = p if preds is None else preds.unionByName(p)
-    return fitted, preds.checkpoint(), labels
+    return fitted, materialize(preds, "predictions"), labels
 
 
 @register("model_classifier_comparison")
@@ -213,19 +213,22 @@ def model_classifier_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("model_feature_importance")
 def model_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-15 random-forest importances."""
-    fitted, _, _ = _classifier_run(spark, sf_dir)
-    imp = ML.feature_importances(fitted["random_forest"], features_full(), spark)
-    return ML.top_importances(imp, 15)
+    """Random-forest importances, ranked, with % of the total; the top 15 are marked."""
+    df = P.stratified_split(model_input(spark, sf_dir), "quality_class")
+    train = materialize(P.class_weights(df.filter(F.col("split") == "train"), "quality_class"), "train")
+    forest = ML.classification_pipeline(ML.make_classifier("random_forest"), features_full(), "quality_class").fit(train)
+    imp = ML.feature_importances(forest, features_full(), spark)
+    top = ML.top_importances(imp, 15).select("feature", F.lit(True).alias("in_top"))
+    return imp.join(top, "feature", "left").fillna(False, subset=["in_top"])
 
 
 def _regression_run(spark: SparkSession, sf_dir: str):
     feats = features_full()
     df = P.chronological_split(model_input(spark, sf_dir)).withColumn("target", F.col("wqi")).checkpoint()
     train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
-    specs = {"random_forest": ML.make_regressor("random_forest", **SMALL_RF),
-             "boosted": ML.make_regressor("boosted", **SMALL_GBT),
-             "gradient_boosting": ML.make_regressor("gradient_boosting", **SMALL_GBT)}
+    specs = {"random_forest": ML.make_regressor("random_forest"),
+             "boosted": ML.make_regressor("boosted"),
+             "gradient_boosting": ML.make_regressor("gradient_boosting")}
     preds = None
     for name, est in specs.items():
         p = ML.regression_pipeline(est, feats).fit(train).transform(test)
@@ -250,37 +253,58 @@ def model_prediction_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("model", "station_id", "reading_id", "ts", "y", "p", (F.col("y") - F.col("p")).alias("residual"))
 
 
-def _anomaly_run(spark: SparkSession, sf_dir: str, n_trees: int = 25):
+def _anomaly_run(spark: SparkSession, sf_dir: str):
     feats = features_no_leak()
     s = P.chronological_split(model_input(spark, sf_dir))
     stats = P.fit_standardizer(s.filter(F.col("split") == "train"), feats)
-    scaled = P.apply_standardizer(s, stats, feats).checkpoint()
+    scaled = materialize(P.apply_standardizer(s, stats, feats), "scaled")
     train, test = scaled.filter(F.col("split") == "train"), scaled.filter(F.col("split") == "test")
     cont = train.agg(F.avg(F.col("anomaly").cast("double"))).first()[0] or 0.01
-    trees = ML.fit_isolation_forest(train, feats, n_trees=n_trees, sample_size=256)
-    iso_test = ML.score_isolation_forest(test, trees, feats, 256)
-    iso_train = ML.score_isolation_forest(train.select("reading_id", *feats), trees, feats, 256)
-    thr = iso_train.agg(F.percentile("iso_score", 1 - cont).alias("t")).first()["t"]
-    iso = A.with_min_max_score(iso_test.withColumn("pred", (F.col("iso_score") >= thr).cast("int")),
+    trees = ML.fit_isolation_forest(train, feats)
+    iso_test = ML.score_isolation_forest(test, trees, feats)
+    iso_train = ML.score_isolation_forest(train.select("reading_id", *feats), trees, feats)
+    thr = exact_quantiles(iso_train, ["iso_score"], [1 - cont]).first()["value"]
+    iso = A.with_min_max_score(materialize(iso_test.withColumn("pred", (F.col("iso_score") >= thr).cast("int")), "iso"),
                                "iso_score", "score")
     iso = iso.select(F.lit("isolation_forest").alias("model"), "reading_id", "ts", "turbidity", "wqi",
                      "quality_class", F.col("anomaly").alias("y"), "pred", "score")
-    sm = ML.smote(train, feats, "anomaly", "reading_id", k=3)
-    rf = ML.regression_pipeline(
-        ML.RandomForestClassifier(featuresCol="features", labelCol="anomaly", seed=42, **SMALL_RF), feats).fit(
-        sm.withColumn("anomaly", F.col("anomaly").cast("double")))
-    rfp = rf.transform(test).withColumn("score", ML.vector_to_array("probability")[1])
-    best = M.best_f1_threshold(rfp.select(F.lit("rf_smote").alias("model"), F.col("anomaly").alias("y"), "score"),
+
+    def forest(rows):
+        balanced = materialize(ML.smote(rows, feats, "anomaly", "reading_id", k=3), "smote")
+        est = ML.RandomForestClassifier(featuresCol="features", labelCol="anomaly", seed=42, **ML.CLASSIFIER_PARAMS["random_forest"])
+        return ML.regression_pipeline(est, feats).fit(balanced.withColumn("anomaly", F.col("anomaly").cast("double")))
+
+    # the threshold comes from a fifth of the training rows that its forest has not seen; test rows decide nothing
+    fold = F.pmod(F.xxhash64("reading_id", F.lit(8)), F.lit(5)) == 0
+    held = forest(train.filter(~fold)).transform(train.filter(fold)).withColumn("score", ML.vector_to_array("probability")[1])
+    best = M.best_f1_threshold(materialize(held.select(F.lit("rf_smote").alias("model"), F.col("anomaly").alias("y"), "score"), "held"),
                                ["model"], "y", "score").first()
     rf_t = best["threshold"] if best else 0.5
+    rfp = forest(train).transform(test).withColumn("score", ML.vector_to_array("probability")[1])
     rfp = rfp.select(F.lit("rf_smote").alias("model"), "reading_id", "ts", "turbidity", "wqi", "quality_class",
                      F.col("anomaly").alias("y"), (F.col("score") >= rf_t).cast("int").alias("pred"), "score")
-    oc = ML.fit_one_class(train.filter(F.col("anomaly") == 0), feats, nu=max(cont, 0.01), iterations=8)
+    oc = ML.fit_one_class(train.filter(F.col("anomaly") == 0), feats, nu=max(cont, 0.01))
     ocp = ML.score_one_class(test, oc)
-    ocp = A.with_min_max_score(ocp.withColumn("pred", (F.col("ocsvm_score") > 0).cast("int")), "ocsvm_score", "score")
+    ocp = A.with_min_max_score(materialize(ocp.withColumn("pred", (F.col("ocsvm_score") > 0).cast("int")), "oc"), "ocsvm_score", "score")
     ocp = ocp.select(F.lit("one_class").alias("model"), "reading_id", "ts", "turbidity", "wqi", "quality_class",
                      F.col("anomaly").alias("y"), "pred", "score")
-    return iso.unionByName(rfp).unionByName(ocp).checkpoint()
+    return materialize(iso.unionByName(rfp).unionByName(ocp), "anomaly-predictions")
+
+
+@register("model_one_class_share")
+def model_one_class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: share of the normal training rows that the one-class detector flags, against nu."""
+    feats = features_no_leak()
+    train = P.chronological_split(feature_frame(spark, sf_dir).drop(SEQ)).filter((F.col("split") == "train") & (F.col("anomaly") == 0))
+    train = materialize(P.apply_standardizer(train, P.fit_standardizer(train, feats), feats), "normal")
+    out = None
+    for nu in (0.02, 0.05, 0.10):
+        model = ML.fit_one_class(train, feats, nu=nu)
+        share = ML.score_one_class(train.select("reading_id", *feats), model).agg(
+            F.lit(nu).alias("nu"), F.avg((F.col("ocsvm_score") > 0).cast("double")).alias("flagged"), F.count(F.lit(1)).alias("n"))
+        share = share.withColumn("within_band", F.abs(F.col("flagged") - F.col("nu")) <= 0.2 * F.col("nu"))
+        out = share if out is None else out.unionByName(share)
+    return out
 
 
 @register("model_anomaly_comparison")
@@ -306,23 +330,32 @@ def model_anomaly_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .alias("event_level"))
 
 
+def fitted_alert_models(spark: SparkSession, sf_dir: str):
+    """Classifier (saved and loaded again) and isolation forest, fitted on the first 80 % of every station; also those splits."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.io import load_model, save_model
+    feats, anom = features_full(), features_no_leak()
+    rows = materialize(P.chronological_split(model_input(spark, sf_dir)), "alert-rows")
+    train = materialize(P.class_weights(rows.filter(F.col("split") == "train"), "quality_class"), "alert-train")
+    path = f"{ensure_checkpoint_dir(spark)}/models/alerts-{uuid.uuid4().hex[:8]}"
+    save_model(ML.classification_pipeline(ML.make_classifier("random_forest"), feats, "quality_class").fit(train), path)
+    stats = P.fit_standardizer(train, anom)
+    row = stats.first()     # one mean and one deviation per feature
+    scaled = P.apply_standardizer(train, stats, anom).select("reading_id", *anom)
+    models = ML.AlertModels(load_model(path), "quality_class", ML.fit_isolation_forest(scaled, anom), anom,
+                            {f: (row[f"_mu_{f}"], row[f"_sd_{f}"]) for f in anom}, (0.0, 1.0))
+    models.bounds = tuple(models.raw(train).agg(F.min("iso_score"), F.max("iso_score")).first())
+    models.rows = rows
+    return models
+
+
 @register("model_alert_layers")
 def model_alert_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M11 + A8/A9/A13/A14: both alert layers driven by a fitted classifier and forest."""
-    feats, anom = features_full(), features_no_leak()
-    df = P.class_weights(model_input(spark, sf_dir), "quality_class").checkpoint()
-    clf = ML.classification_pipeline(ML.make_classifier("random_forest", **SMALL_RF), feats, "quality_class").fit(df)
-    scored = ML.class_probability(clf.transform(df), clf, "ACEPTABLE", "quality_class", "prob_aceptable")
-    stats = P.fit_standardizer(df, anom)
-    scaled = P.apply_standardizer(scored.select("reading_id", *anom), stats, anom, suffix="_z")
-    zcols = [f"{c}_z" for c in anom]
-    trees = ML.fit_isolation_forest(scaled.select("reading_id", *[F.col(z).alias(c) for z, c in zip(zcols, anom)]),
-                                    anom, n_trees=25)
-    iso = ML.score_isolation_forest(scaled.select("reading_id", *[F.col(z).alias(c) for z, c in zip(zcols, anom)]),
-                                    trees, anom, 256).select("reading_id", "iso_score")
-    full = A.with_min_max_score(scored.drop("features", "rawPrediction", "probability", "prediction", "label_index")
-                                .join(iso, "reading_id"), "iso_score", "anomaly_score")
-    alerts = A.with_alerts(full)
+    """M11 + A8/A9/A13/A14: both alert layers on held-out readings, driven by models fitted on the earlier ones."""
+    models = fitted_alert_models(spark, sf_dir)
+    alerts = materialize(A.with_alerts(models.score(models.rows.filter(F.col("split") == "test"))), "alerts")
     return A.layer_distribution(alerts).join(A.layer_recall(alerts).withColumnRenamed("layer", "variable"),
                                              "variable", "left")
 
@@ -331,12 +364,12 @@ def model_alert_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stratified 5-fold F1-macro of the forest with train-test gap and verdict."""
     feats = features_full()
-    df = P.class_weights(P.stratified_folds(model_input(spark, sf_dir), "quality_class"),
-                         "quality_class").checkpoint()
+    seen = P.stratified_split(model_input(spark, sf_dir), "quality_class").filter(F.col("split") == "train")
+    df = materialize(P.stratified_folds(seen, "quality_class"), "folds")
     rows = None
     for k in range(5):
-        train, test = df.filter(F.col("fold") != k), df.filter(F.col("fold") == k)
-        model = ML.classification_pipeline(ML.make_classifier("random_forest", **SMALL_RF), feats,
+        train, test = P.class_weights(df.filter(F.col("fold") != k), "quality_class"), df.filter(F.col("fold") == k)
+        model = ML.classification_pipeline(ML.make_classifier("random_forest"), feats,
                                            "quality_class").fit(train)
         labels = model.stages[0].labels
         lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
@@ -345,7 +378,7 @@ def validation_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              F.lit(role).alias("role"), F.col("quality_class").alias("y"),
                                              lab.alias("pred"))
             rows = p if rows is None else rows.unionByName(p)
-    s = M.classification_summary(rows, ["model", "cv_fold", "role"], "y", "pred")
+    s = M.classification_summary(materialize(rows, "cv"), ["model", "cv_fold", "role"], "y", "pred")
     fm = s.groupBy("model", "cv_fold").pivot("role", ["test", "train"]).agg(F.first("f1_macro"))
     return M.verdicts(M.cv_summary(fm, ["model"], "cv_fold", "test", "train", list(range(5))))
 
@@ -359,35 +392,35 @@ def validation_time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(5):
         part = tf.filter(F.col("time_fold") == k)
         train, test = part.filter(F.col("role") == "train"), part.filter(F.col("role") == "test")
-        model = ML.classification_pipeline(ML.make_classifier("random_forest", weight_col=None, **SMALL_RF), feats,
+        model = ML.classification_pipeline(ML.make_classifier("random_forest", weight_col=None), feats,
                                            "quality_class").fit(train)
         labels = model.stages[0].labels
         lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
         p = model.transform(test).select(F.lit("random_forest").alias("model"), F.lit(k).alias("time_fold"),
                                          F.col("quality_class").alias("y"), lab.alias("pred"))
         rows = p if rows is None else rows.unionByName(p)
-    s = M.classification_summary(rows, ["model", "time_fold"], "y", "pred").withColumnRenamed("f1_macro", "test")
+    s = M.classification_summary(materialize(rows, "time"), ["model", "time_fold"], "y", "pred").withColumnRenamed("f1_macro", "test")
     return M.cv_summary(s, ["model"], "time_fold", "test", None, list(range(5)))
 
 
 @register("validation_noise")
 def validation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 of the forest as Gaussian noise grows on the scaled inputs; robustness verdict."""
-    feats = features_no_leak()
-    s = P.class_weights(P.stratified_split(model_input(spark, sf_dir), "quality_class"), "quality_class")
+    """F1 of the forest on all 45 features as Gaussian noise grows on the scaled non-turbidity ones."""
+    feats = features_full()
+    s = P.stratified_split(model_input(spark, sf_dir), "quality_class")
     stats = P.fit_standardizer(s.filter(F.col("split") == "train"), feats)
-    scaled = P.apply_standardizer(s, stats, feats).checkpoint()
-    train, test = scaled.filter(F.col("split") == "train"), scaled.filter(F.col("split") == "test")
-    model = ML.classification_pipeline(ML.make_classifier("random_forest", **SMALL_RF), feats, "quality_class").fit(train)
+    scaled = materialize(P.apply_standardizer(s, stats, feats), "scaled")
+    train, test = P.class_weights(scaled.filter(F.col("split") == "train"), "quality_class"), scaled.filter(F.col("split") == "test")
+    model = ML.classification_pipeline(ML.make_classifier("random_forest"), feats, "quality_class").fit(train)
     labels = model.stages[0].labels
     lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
     rows = None
     for sigma in [0.0, 0.01, 0.02, 0.05, 0.10]:
-        p = model.transform(P.with_noise(test, feats, sigma)).select(
+        p = model.transform(P.with_noise(test, features_no_leak(), sigma)).select(
             F.lit("random_forest").alias("model"), F.lit(sigma).alias("sigma"), F.col("quality_class").alias("y"),
             lab.alias("pred"))
         rows = p if rows is None else rows.unionByName(p)
-    s = M.classification_summary(rows, ["model", "sigma"], "y", "pred").withColumnRenamed("f1_macro", "f1")
+    s = M.classification_summary(materialize(rows, "noise"), ["model", "sigma"], "y", "pred").withColumnRenamed("f1_macro", "f1")
     return M.noise_table(s, ["model"], "sigma", "f1")
 
 
@@ -395,7 +428,7 @@ def validation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learning curve over nested training fractions (3 folds)."""
     feats = features_full()
-    fractions = [0.5, 1.0]
+    fractions = FRACTIONS
     df = materialize(P.stratified_folds(model_input(spark, sf_dir), "quality_class", k=3), "folds")
     parts = []
     for k in range(3):
@@ -403,7 +436,7 @@ def validation_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
         subs = materialize(P.learning_subsets(train_all, fractions, seed=k), "subsets")
         for frac in fractions:
             tr = subs.filter(F.col("fraction") == frac).drop("fraction")
-            model = ML.classification_pipeline(ML.make_classifier("random_forest", weight_col=None, **SMALL_RF),
+            model = ML.classification_pipeline(ML.make_classifier("random_forest", weight_col=None),
                                                feats, "quality_class").fit(tr)
             labels = model.stages[0].labels
             lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
@@ -431,7 +464,7 @@ def model_persist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.io import load_model, save_model
     feats = features_full()
     df = P.class_weights(model_input(spark, sf_dir), "quality_class")
-    model = ML.classification_pipeline(ML.make_classifier("random_forest", **SMALL_RF), feats,
+    model = ML.classification_pipeline(ML.make_classifier("random_forest"), feats,
                                        "quality_class").fit(df)
     path = f"{ensure_checkpoint_dir(spark)}/models/rf-{uuid.uuid4().hex[:8]}"
     save_model(model, path)

@@ -9,6 +9,7 @@ from ..operators import quality as Q
 from ..schema import LIKERT_ITEMS, SENSORS
 from ..sources.adapters import load_readings, load_survey
 from . import sql as S
+from ..session import table_path
 from .catalog import register
 
 R, RF, SV = f"({S.READINGS})", f"({S.READINGS_FAULTY})", f"({S.SURVEY})"
@@ -32,10 +33,17 @@ def quality_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.duplicate_rows(load_readings(spark, sf_dir, faults=True))
 
 
-@register("quality_schema")
+# The source columns that the readings are derived from.
+EVENTS_CONTRACT = [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"), ("props", "string")]
+
+
+@register("quality_schema", sql=" UNION ALL ".join(
+    f"SELECT {i} AS position, '{n}' AS expected, '{t}' AS expected_type, '{t}' AS actual_type, "
+    f"'{n}' IN (SELECT column_name FROM (DESCRIBE events)) AS ok, CAST(count({n}) AS BIGINT) AS n_present FROM events"
+    for i, (n, t) in enumerate(EVENTS_CONTRACT)))
 def quality_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q3: column contract of the readings table."""
-    return Q.schema_contract(load_readings(spark, sf_dir))
+    """Q3: names, types and filled rows of the source table's columns."""
+    return Q.schema_contract(spark.read.parquet(table_path(sf_dir, "events")), EVENTS_CONTRACT)
 
 
 @register("quality_gaps", sql=f"""

@@ -233,9 +233,8 @@ def survey_pair_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("survey_fisher_small_sample")
 def survey_fisher_small_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V19 on a small-sample slice (respondent_id < 60) where 2x2 cells fall below 5."""
-    sv = load_survey(spark, sf_dir).filter(F.col("respondent_id") < 60)
-    return V.pair_tests(sv, [("SEX", "ZONE")])
+    """Fisher's exact test of SEX x ZONE within every block of 64 respondents, where cells fall below 5."""
+    return V.fisher_by_group(load_survey(spark, sf_dir).withColumn("block", F.floor(F.col("respondent_id") / 64)), "block", "SEX", "ZONE")
 
 
 @register("survey_significant_pairs")

@@ -23,8 +23,10 @@ def test_clean_readings_pass_null_and_duplicate_checks(spark):
 
 def test_schema_contract(spark):
     r = load_readings(spark, SMALL)
-    assert Q.schema_contract(r).filter(~F.col("ok")).count() == 0
-    assert Q.schema_contract(r.drop("wqi")).filter(~F.col("ok")).count() > 0
+    expected = [(f.name, f.dataType.simpleString()) for f in r.schema.fields]
+    assert Q.schema_contract(r, expected).filter(~F.col("ok")).count() == 0
+    assert Q.schema_contract(r.drop("wqi"), expected).filter(~F.col("ok")).count() == 1
+    assert Q.schema_contract(r.withColumn("ph", F.col("ph").cast("float")), expected).filter(~F.col("ok")).count() == 1
 
 
 def test_describe_quartiles_match_pandas(spark):

@@ -50,6 +50,6 @@ def test_isolation_forest_scores(spark):
     f = _feats(spark)
     feats = features_no_leak()[:8]
     trees = ML.fit_isolation_forest(f, feats, n_trees=10, sample_size=64)
-    s = ML.score_isolation_forest(f, trees, feats, 64)
+    s = ML.score_isolation_forest(f, trees, feats)
     lo, hi = s.agg(F.min("iso_score"), F.max("iso_score")).first()
     assert 0 < lo <= hi <= 1
