@@ -48,7 +48,8 @@ def make_classifier(kind: str, seed: int = 42, weight_col: str | None = "weight"
             est = est.setWeightCol(weight_col)
         return est
     gbt = GBTClassifier(featuresCol="features", labelCol="label_index", seed=seed, **params)
-    return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label_index")
+    # the binary fits are chains of small jobs: three at a time keep the cluster busy
+    return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label_index", parallelism=3)
 
 
 def make_regressor(kind: str, seed: int = 42, **override):

@@ -165,6 +165,17 @@ def split_normal_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------------- models
+_RUNS: dict[tuple, tuple] = {}
+
+
+def _once(name: str, run, spark: SparkSession, sf_dir: str):
+    """A study's written prediction table, made once per application and input: its queries are views of it."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = run(spark, sf_dir)
+    return _RUNS[key]
+
+
 def _classifier_run(spark: SparkSession, sf_dir: str):
     feats = features_full()
     df = materialize(P.stratified_split(model_input(spark, sf_dir), "quality_class"), "split")
@@ -192,7 +203,7 @@ def _classifier_run(spark: SparkSession, sf_dir: str):
 @register("model_classifier_comparison")
 def model_classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classifier comparison with the best marked."""
-    _, preds, labels = _classifier_run(spark, sf_dir)
+    _, preds, labels = _once("classifiers", _classifier_run, spark, sf_dir)
     summ = M.classification_summary(preds, ["model"], "y", "pred")
     long = preds.select("model", "reading_id", "y", F.explode(F.array(*[
         F.struct(F.lit(c).alias("label"), F.col(f"p_{c}").alias("score")) for c in labels])).alias("c"))
@@ -207,7 +218,7 @@ def model_classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("model_classifier_per_class")
 def model_classifier_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-class detail of every classifier."""
-    _, preds, _ = _classifier_run(spark, sf_dir)
+    _, preds, _ = _once("classifiers", _classifier_run, spark, sf_dir)
     return M.per_class(preds, ["model"], "y", "pred")
 
 
@@ -235,13 +246,13 @@ def _regression_run(spark: SparkSession, sf_dir: str):
         p = p.select(F.lit(name).alias("model"), "reading_id", "station_id", "ts", F.col("target").alias("y"),
                      F.col("prediction").alias("p"))
         preds = p if preds is None else preds.unionByName(p)
-    return preds.checkpoint()
+    return materialize(preds, "predictions")
 
 
 @register("model_regressor_comparison")
 def model_regressor_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regressor comparison (chronological split)."""
-    r = M.regression_metrics(_regression_run(spark, sf_dir), ["model"], "y", "p")
+    r = M.regression_metrics(_once("regressors", _regression_run, spark, sf_dir), ["model"], "y", "p")
     best = ML.best_model(r, "r2").select(F.col("best").alias("model")).withColumn("is_best", F.lit(True))
     return r.join(best, "model", "left").fillna(False, subset=["is_best"])
 
@@ -249,7 +260,7 @@ def model_regressor_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("model_prediction_series")
 def model_prediction_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timestamp, actual, predicted and residual per model on the test span."""
-    p = _regression_run(spark, sf_dir)
+    p = _once("regressors", _regression_run, spark, sf_dir)
     return p.select("model", "station_id", "reading_id", "ts", "y", "p", (F.col("y") - F.col("p")).alias("residual"))
 
 
@@ -310,7 +321,7 @@ def model_one_class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("model_anomaly_comparison")
 def model_anomaly_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anomaly detectors with AP, AUC, F1 and TP/FP/FN/TN."""
-    preds = _anomaly_run(spark, sf_dir)
+    preds = _once("anomalies", _anomaly_run, spark, sf_dir)
     counts = M.binary_counts(preds, ["model"], "y", "pred")
     f1 = counts.select("model", (2 * F.col("tp") / F.greatest(F.lit(1), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
                        .alias("f1"))
@@ -323,7 +334,7 @@ def model_anomaly_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("model_anomaly_timeline")
 def model_anomaly_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timeline of the isolation-forest score with bands and labelled events."""
-    p = _anomaly_run(spark, sf_dir).filter(F.col("model") == "isolation_forest")
+    p = _once("anomalies", _anomaly_run, spark, sf_dir).filter(F.col("model") == "isolation_forest")
     band = F.when(F.col("score") >= 0.65, "alto").when(F.col("score") >= 0.35, "medio").otherwise("bajo")
     return p.select("reading_id", "ts", "turbidity", "y", "score", band.alias("score_band"), "wqi", "quality_class",
                     F.when(F.col("y") == 1, F.when(F.col("score") >= 0.65, "ROJO").otherwise("AMARILLO"))
