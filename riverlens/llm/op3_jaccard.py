@@ -18,8 +18,10 @@ order is the global order of n-grams, and it is cut into fragments twice:
    their sum decides, in whole numbers, whether two classes link.
 
 Lists of more than ``ALL_PAIRS`` classes are not expanded: they are first tied
-to a few members each, links are contracted to components, and only lists that
-still hold classes of different components give their remaining cross pairs.
+to a few members each and links are contracted to components. Lists that still
+hold classes of different components name the members of a second, smaller
+join, which orders their n-grams from rare to frequent and makes only pairs of
+different components that can still reach the least overlap (``cross_pairs``).
 So no link between different components is lost and no pair within one is made.
 Components are found by alternating large-star and small-star steps.
 
@@ -37,7 +39,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
@@ -251,14 +253,51 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "na": batch["n"], "nb": batch["nb"], "partial": counts})
 
 
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = {set_hash(s): s for s in map(shingle_set, batch["text"]) if len(s)}
+        yield pd.DataFrame({"cls": list(sets), "n": [len(s) for s in sets.values()], "tokens": [s.astype(np.int64) for s in sets.values()]})
+
+
+def texts_of(wanted: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFrame:
+    """Texts of one document of each wanted class (cls); other documents are not read further."""
+    ids = sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("doc_id")) \
+              .select("doc_id").distinct()
+    texts = documents.select("doc_id", text_or_empty().alias("text"))
+    return texts.join(ids.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+
+
+def cross_pairs(members: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of members (cls, root) of different components that may still link.
+
+    The members' n-grams are ordered from rare to frequent. Similar sets share
+    one of the first n - ceil(0.8 n) + 1 n-grams of either, and behind the first
+    shared one there must be room for the whole least overlap; what a set has
+    alone comes first in its order, so edited copies that are too far from all
+    others give no pair.
+    """
+    found = texts_of(members.select("cls"), documents, sets).mapInPandas(_tokens, "cls long, n long, tokens array<long>").dropDuplicates(["cls"])
+    rows = materialize(found.join(members, "cls").select("cls", "root", "n", F.explode("tokens").alias("token")), "member-grams")
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("cls").orderBy("df", "token")
+    placed = rows.join(counts, "token").withColumn("pos", F.row_number().over(order) - 1)
+    first = placed.filter((F.col("df") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)))
+    first = materialize(first.select("token", "cls", "root", "n", "pos"), "member-prefixes")
+    mixed = first.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
+    first = first.join(mixed, "token", "left_semi")
+    one, two = (first.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "root", "n", "pos")]) for side in "ab")
+    room = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
+    enough = (100 + PERCENT) * room >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    near = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    met = one.join(two, "token").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & near & enough)
+    return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+
+
 def linked(pairs: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFrame:
     """Written table (a, b) of the pairs of classes that link, by overlaps summed over fragments."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    # one document of each wanted class; its text is read again, the others' are not
-    ids = sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("doc_id")) \
-              .select("doc_id").distinct()
-    texts = documents.select("doc_id", text_or_empty().alias("text")).join(ids.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    parts = materialize(texts.select("text").mapInPandas(_segments, "cls long, fragment int, n long, part binary")
+    texts = texts_of(wanted, documents, sets)
+    parts = materialize(texts.mapInPandas(_segments, "cls long, fragment int, n long, part binary")
                              .dropDuplicates(["cls", "fragment"]), "set-segments")
     side = parts.select(F.col("cls").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("part_b"))
     met = pairs.select("a", "b").join(side, "b").join(parts.withColumnRenamed("cls", "a"), ["a", "fragment"])
@@ -302,12 +341,8 @@ def jaccard_groups(documents: DataFrame) -> DataFrame:
                  .select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     lists = materialize(lists, "long-lists")
     split = lists.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    open_lists = lists.join(split, "key", "left_semi")
-    one, two = open_lists.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), \
-        open_lists.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    cross = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) &
-                                        (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))).select("a", "b").distinct()
-    cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
+    members = materialize(lists.join(split, "key", "left_semi").select(F.col("node").alias("cls"), "root").distinct(), "members")
+    cross = materialize(cross_pairs(members, documents, sets).join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
     if cross.limit(1).count():
         more = linked(cross, documents, sets)
         if more.limit(1).count():
