@@ -51,6 +51,7 @@ ALL_PAIRS = 32               # classes of a list whose pairs are all made at onc
 TIES = 3                     # members that a longer list is tied to
 FRAGMENT_POSTINGS = 4_000_000
 OVERLAP_FRAGMENTS = 4
+MEMBER_GRAMS = 500_000       # n-grams of a fragment of the second join
 CACHE_WORDS = 200_000
 
 # ------------------------------------------------------------------- hashing
@@ -216,9 +217,15 @@ def _fragment_pairs(key, rows: pd.DataFrame) -> pd.DataFrame:
     member = np.zeros(len(keys), dtype=bool)
     for f, c in zip(first[long_lists], length[long_lists], strict=True):
         member[f:f + c] = True
+    # how many long lists a class is in: an unedited copy is in more than an edited one, so it is near the middle of its group
+    weight = np.zeros(len(keys), dtype=np.int64)
+    if member.any():
+        _, which, often = np.unique(classes[member], return_inverse=True, return_counts=True)
+        weight[member] = often[which]
+    for f, c in zip(first[long_lists], length[long_lists], strict=True):
         inside = np.arange(f, f + c)
-        for seed in range(TIES):     # the same members are picked wherever they are in a list
-            head = f + int(mix(classes[f:f + c].astype(np.uint64) ^ mix(np.array([seed], dtype=np.uint64))).argmin())
+        for seed in range(TIES):     # the most frequent class, then classes by hash: the same ones wherever they are in a list
+            head = f + int(weight[f:f + c].argmax() if not seed else mix(classes[f:f + c].astype(np.uint64) ^ mix(np.array([seed], dtype=np.uint64))).argmin())
             a.append(np.full(c - 1, head))
             b.append(inside[inside != head])
     a, b = np.concatenate(a), np.concatenate(b)
@@ -267,6 +274,12 @@ def texts_of(wanted: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFr
     return texts.join(ids.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
 
 
+def _frequencies(rows: pd.DataFrame) -> pd.DataFrame:
+    """Adds df: how many members hold an n-gram. A fragment holds all postings of its n-grams."""
+    _, which, often = np.unique(rows["token"].to_numpy(), return_inverse=True, return_counts=True)
+    return rows.drop(columns="fragment").assign(df=often[which])
+
+
 def cross_pairs(members: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): pairs of members (cls, root) of different components that may still link.
 
@@ -278,9 +291,12 @@ def cross_pairs(members: DataFrame, documents: DataFrame, sets: DataFrame) -> Da
     """
     found = texts_of(members.select("cls"), documents, sets).mapInPandas(_tokens, "cls long, n long, tokens array<long>").dropDuplicates(["cls"])
     rows = materialize(found.join(members, "cls").select("cls", "root", "n", F.explode("tokens").alias("token")), "member-grams")
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # n-grams are hashes, so fragments by remainder are equally large and a frequent n-gram is a small part of one
+    fragments = max(64, rows.count() // MEMBER_GRAMS)
+    counted = rows.withColumn("fragment", F.pmod("token", F.lit(fragments))).groupBy("fragment").applyInPandas(
+        _frequencies, "cls long, root long, n long, token long, df long")
     order = Window.partitionBy("cls").orderBy("df", "token")
-    placed = rows.join(counts, "token").withColumn("pos", F.row_number().over(order) - 1)
+    placed = counted.withColumn("pos", F.row_number().over(order) - 1)
     first = placed.filter((F.col("df") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)))
     first = materialize(first.select("token", "cls", "root", "n", "pos"), "member-prefixes")
     mixed = first.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
