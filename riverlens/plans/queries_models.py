@@ -6,7 +6,7 @@ scale; the operators take the reference's full parameters by default.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A
@@ -435,6 +435,38 @@ def validation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.noise_table(s, ["model"], "sigma", "f1")
 
 
+@register("validation_noise_regression")
+def validation_noise_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R² of the forest regressor on all 45 features as noise grows on the scaled non-turbidity ones."""
+    feats = features_full()
+    s = P.chronological_split(model_input(spark, sf_dir)).withColumn("target", F.col("wqi"))
+    scaled = materialize(P.apply_standardizer(s, P.fit_standardizer(s.filter(F.col("split") == "train"), feats), feats), "scaled")
+    model = ML.regression_pipeline(ML.make_regressor("random_forest"), feats).fit(scaled.filter(F.col("split") == "train"))
+    rows = None
+    for sigma in [0.0, 0.01, 0.05, 0.10]:
+        p = model.transform(P.with_noise(scaled.filter(F.col("split") == "test"), features_no_leak(), sigma)).select(
+            F.lit("random_forest").alias("model"), F.lit(sigma).alias("sigma"), F.col("target").alias("y"), F.col("prediction").alias("p"))
+        rows = p if rows is None else rows.unionByName(p)
+    r = M.regression_metrics(materialize(rows, "noise-r2"), ["model", "sigma"], "y", "p")
+    return M.noise_table(r, ["model"], "sigma", "r2", [0.0, 0.01, 0.05, 0.10])
+
+
+@register("validation_summary")
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best classifier and best regressor with their key values, from the studies' prediction tables."""
+    _, classes, _ = _once("classifiers", _classifier_run, spark, sf_dir)
+    numbers = _once("regressors", _regression_run, spark, sf_dir)
+    c = M.classification_summary(classes, ["model"], "y", "pred").select(
+        F.lit("classification").alias("task"), "model", F.lit("f1_macro").alias("metric"), F.col("f1_macro").alias("value"),
+        F.lit("accuracy").alias("second_metric"), F.col("accuracy").alias("second_value"), "n")
+    counts = numbers.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    r = M.regression_metrics(numbers, ["model"], "y", "p").join(counts, "model").select(
+        F.lit("regression").alias("task"), "model", F.lit("r2").alias("metric"), F.col("r2").alias("value"),
+        F.lit("rmse").alias("second_metric"), F.col("rmse").alias("second_value"), "n")
+    best = Window.partitionBy("task").orderBy(F.desc("value"), "model")    # a row per model
+    return c.unionByName(r).withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place")
+
+
 @register("validation_learning_curve")
 def validation_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learning curve over nested training fractions (3 folds)."""
