@@ -6,7 +6,13 @@ scale; the operators take the reference's full parameters by default.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A
@@ -25,6 +31,9 @@ from .catalog import register
 FEAT_SQL = S.features_sql(True)
 # Eight equal steps of the learning curve.
 FRACTIONS = [round(0.1 + 0.9 * i / 7, 6) for i in range(8)]
+MODELS = ("random_forest", "boosted", "gradient_boosting")
+CLASS_SIGMAS, NUMBER_SIGMAS = [0.0, 0.01, 0.02, 0.05, 0.10], [0.0, 0.01, 0.05, 0.10]
+FITS = 6    # fits of a study side by side: each is a chain of small jobs
 
 
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,84 +380,108 @@ def model_alert_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              "variable", "left")
 
 
-@register("validation_cv_summary")
-def validation_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stratified 5-fold F1-macro of the forest with train-test gap and verdict."""
-    feats = features_full()
+def _side_by_side(jobs: list[Callable[[], DataFrame]]) -> DataFrame:
+    """Union of the written tables of jobs that run side by side."""
+    with ThreadPoolExecutor(FITS) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(lambda job: job()), jobs))
+
+
+def _fitted(name: str, train: DataFrame) -> tuple[PipelineModel, Column]:
+    """A classifier of the studies and its predicted label; without the indexer it also scores rows of a label that ``train`` lacks."""
+    rows = P.class_weights(train, "quality_class") if name == "random_forest" else train
+    model = ML.classification_pipeline(ML.make_classifier(name), features_full(), "quality_class").fit(rows)
+    lab = F.element_at(F.array(*[F.lit(x) for x in model.stages[0].labels]), F.col("prediction").cast("int") + 1)
+    return PipelineModel(model.stages[1:]), lab
+
+
+def _cv_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = P.stratified_split(model_input(spark, sf_dir), "quality_class").filter(F.col("split") == "train")
     df = materialize(P.stratified_folds(seen, "quality_class"), "folds")
-    rows = None
-    for k in range(5):
-        train, test = P.class_weights(df.filter(F.col("fold") != k), "quality_class"), df.filter(F.col("fold") == k)
-        model = ML.classification_pipeline(ML.make_classifier("random_forest"), feats,
-                                           "quality_class").fit(train)
-        labels = model.stages[0].labels
-        lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
-        for role, part in (("test", test), ("train", train)):
-            p = model.transform(part).select(F.lit("random_forest").alias("model"), F.lit(k).alias("cv_fold"),
-                                             F.lit(role).alias("role"), F.col("quality_class").alias("y"),
-                                             lab.alias("pred"))
-            rows = p if rows is None else rows.unionByName(p)
-    s = M.classification_summary(materialize(rows, "cv"), ["model", "cv_fold", "role"], "y", "pred")
+
+    def job(name: str, k: int) -> DataFrame:
+        model, lab = _fitted(name, df.filter(F.col("fold") != k))
+        return materialize(model.transform(df).select(
+            F.lit(name).alias("model"), F.lit(k).alias("cv_fold"), F.when(F.col("fold") == k, "test").otherwise("train").alias("role"),
+            F.col("quality_class").alias("y"), lab.alias("pred")), "cv")
+    return _side_by_side([lambda name=name, k=k: job(name, k) for name in MODELS for k in range(5)])
+
+
+def _cv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E11 per classifier from the predictions, which are written once."""
+    s = M.classification_summary(_once("cv", _cv_run, spark, sf_dir), ["model", "cv_fold", "role"], "y", "pred")
     fm = s.groupBy("model", "cv_fold").pivot("role", ["test", "train"]).agg(F.first("f1_macro"))
-    return M.verdicts(M.cv_summary(fm, ["model"], "cv_fold", "test", "train", list(range(5))))
+    return M.cv_summary(fm, ["model"], "cv_fold", "test", "train", list(range(5)))
+
+
+@register("validation_cv_summary")
+def validation_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratified 5-fold F1-macro of every classifier with train-test gap and verdict."""
+    return M.verdicts(_cv_table(spark, sf_dir))
+
+
+def _time_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf = materialize(P.time_folds(model_input(spark, sf_dir)), "time-folds")
+
+    def job(name: str, k: int) -> DataFrame:
+        part = tf.filter(F.col("time_fold") == k)
+        model, lab = _fitted(name, part.filter(F.col("role") == "train"))
+        return materialize(model.transform(part.filter(F.col("role") == "test")).select(
+            F.lit(name).alias("model"), "time_fold", F.col("quality_class").alias("y"), lab.alias("pred")), "time")
+    return _side_by_side([lambda name=name, k=k: job(name, k) for name in MODELS for k in range(5)])
 
 
 @register("validation_time_folds")
 def validation_time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expanding time folds (true time order), mean/std and consistency."""
-    feats = features_full()
-    tf = P.time_folds(model_input(spark, sf_dir)).checkpoint()
-    rows = None
-    for k in range(5):
-        part = tf.filter(F.col("time_fold") == k)
-        train, test = part.filter(F.col("role") == "train"), part.filter(F.col("role") == "test")
-        model = ML.classification_pipeline(ML.make_classifier("random_forest", weight_col=None), feats,
-                                           "quality_class").fit(train)
-        labels = model.stages[0].labels
-        lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
-        p = model.transform(test).select(F.lit("random_forest").alias("model"), F.lit(k).alias("time_fold"),
-                                         F.col("quality_class").alias("y"), lab.alias("pred"))
-        rows = p if rows is None else rows.unionByName(p)
-    s = M.classification_summary(materialize(rows, "time"), ["model", "time_fold"], "y", "pred").withColumnRenamed("f1_macro", "test")
+    """Expanding time folds (true time order) of every classifier, mean/std and consistency."""
+    s = M.classification_summary(_once("time", _time_run, spark, sf_dir), ["model", "time_fold"], "y", "pred").withColumnRenamed("f1_macro", "test")
     return M.cv_summary(s, ["model"], "time_fold", "test", None, list(range(5)))
 
 
-@register("validation_noise")
-def validation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 of the forest on all 45 features as Gaussian noise grows on the scaled non-turbidity ones."""
+def _noise_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = features_full()
     s = P.stratified_split(model_input(spark, sf_dir), "quality_class")
     stats = P.fit_standardizer(s.filter(F.col("split") == "train"), feats)
     scaled = materialize(P.apply_standardizer(s, stats, feats), "scaled")
-    train, test = P.class_weights(scaled.filter(F.col("split") == "train"), "quality_class"), scaled.filter(F.col("split") == "test")
-    model = ML.classification_pipeline(ML.make_classifier("random_forest"), feats, "quality_class").fit(train)
-    labels = model.stages[0].labels
-    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
-    rows = None
-    for sigma in [0.0, 0.01, 0.02, 0.05, 0.10]:
-        p = model.transform(P.with_noise(test, features_no_leak(), sigma)).select(
-            F.lit("random_forest").alias("model"), F.lit(sigma).alias("sigma"), F.col("quality_class").alias("y"),
-            lab.alias("pred"))
-        rows = p if rows is None else rows.unionByName(p)
-    s = M.classification_summary(materialize(rows, "noise"), ["model", "sigma"], "y", "pred").withColumnRenamed("f1_macro", "f1")
-    return M.noise_table(s, ["model"], "sigma", "f1")
+    train, test = scaled.filter(F.col("split") == "train"), scaled.filter(F.col("split") == "test")
 
+    def job(name: str) -> DataFrame:
+        model, lab = _fitted(name, train)
+        return materialize(reduce(DataFrame.unionByName, [model.transform(P.with_noise(test, features_no_leak(), sigma)).select(
+            F.lit(name).alias("model"), F.lit(sigma).alias("sigma"), F.col("quality_class").alias("y"), lab.alias("pred"))
+            for sigma in CLASS_SIGMAS]), "noise")
+    return _side_by_side([lambda name=name: job(name) for name in MODELS])
 
-@register("validation_noise_regression")
-def validation_noise_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R² of the forest regressor on all 45 features as noise grows on the scaled non-turbidity ones."""
+
+@register("validation_noise")
+def validation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 of every classifier on all 45 features as Gaussian noise grows on the scaled non-turbidity ones."""
+    s = M.classification_summary(_once("noise", _noise_run, spark, sf_dir), ["model", "sigma"], "y", "pred").withColumnRenamed("f1_macro", "f1")
+    return M.noise_table(s, ["model"], "sigma", "f1", CLASS_SIGMAS)
+
+
+def _noise_regression_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = features_full()
     s = P.chronological_split(model_input(spark, sf_dir)).withColumn("target", F.col("wqi"))
     scaled = materialize(P.apply_standardizer(s, P.fit_standardizer(s.filter(F.col("split") == "train"), feats), feats), "scaled")
-    model = ML.regression_pipeline(ML.make_regressor("random_forest"), feats).fit(scaled.filter(F.col("split") == "train"))
-    rows = None
-    for sigma in [0.0, 0.01, 0.05, 0.10]:
-        p = model.transform(P.with_noise(scaled.filter(F.col("split") == "test"), features_no_leak(), sigma)).select(
-            F.lit("random_forest").alias("model"), F.lit(sigma).alias("sigma"), F.col("target").alias("y"), F.col("prediction").alias("p"))
-        rows = p if rows is None else rows.unionByName(p)
-    r = M.regression_metrics(materialize(rows, "noise-r2"), ["model", "sigma"], "y", "p")
-    return M.noise_table(r, ["model"], "sigma", "r2", [0.0, 0.01, 0.05, 0.10])
+    train, test = scaled.filter(F.col("split") == "train"), scaled.filter(F.col("split") == "test")
+
+    def job(name: str) -> DataFrame:
+        model = ML.regression_pipeline(ML.make_regressor(name), feats).fit(train)
+        return materialize(reduce(DataFrame.unionByName, [model.transform(P.with_noise(test, features_no_leak(), sigma)).select(
+            F.lit(name).alias("model"), F.lit(sigma).alias("sigma"), F.col("target").alias("y"), F.col("prediction").alias("p"))
+            for sigma in NUMBER_SIGMAS]), "noise-r2")
+    return _side_by_side([lambda name=name: job(name) for name in MODELS])
+
+
+def _regression_noise_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8-E10 per regressor and sigma from the predictions, which are written once."""
+    return M.regression_metrics(_once("noise-r2", _noise_regression_run, spark, sf_dir), ["model", "sigma"], "y", "p")
+
+
+@register("validation_noise_regression")
+def validation_noise_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R² of every regressor on all 45 features as noise grows on the scaled non-turbidity ones."""
+    return M.noise_table(_regression_noise_metrics(spark, sf_dir), ["model"], "sigma", "r2", NUMBER_SIGMAS)
 
 
 @register("validation_summary")
@@ -467,34 +500,25 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(r).withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place")
 
 
+def _curve_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = materialize(P.stratified_folds(model_input(spark, sf_dir), "quality_class", k=3), "folds")
+    subs = [materialize(P.learning_subsets(df.filter(F.col("fold") != k), FRACTIONS, seed=k), "subsets") for k in range(3)]
+
+    def job(name: str, k: int, frac: float) -> DataFrame:
+        train = subs[k].filter(F.col("fraction") == frac).drop("fraction")
+        model, lab = _fitted(name, train)
+        rows = df.filter(F.col("fold") == k).withColumn("role", F.lit("test")).unionByName(train.withColumn("role", F.lit("train")))
+        return materialize(model.transform(rows).select(
+            F.lit(name).alias("model"), F.lit(frac).alias("fraction"), F.lit(k).alias("cv_fold"), "role",
+            F.col("quality_class").alias("y"), lab.alias("pred")), "curve")
+    return _side_by_side([lambda name=name, k=k, frac=frac: job(name, k, frac) for name in MODELS for k in range(3) for frac in FRACTIONS])
+
+
 @register("validation_learning_curve")
 def validation_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learning curve over nested training fractions (3 folds)."""
-    feats = features_full()
-    fractions = FRACTIONS
-    df = materialize(P.stratified_folds(model_input(spark, sf_dir), "quality_class", k=3), "folds")
-    parts = []
-    for k in range(3):
-        train_all, val = df.filter(F.col("fold") != k), df.filter(F.col("fold") == k)
-        subs = materialize(P.learning_subsets(train_all, fractions, seed=k), "subsets")
-        for frac in fractions:
-            tr = subs.filter(F.col("fraction") == frac).drop("fraction")
-            model = ML.classification_pipeline(ML.make_classifier("random_forest", weight_col=None),
-                                               feats, "quality_class").fit(tr)
-            labels = model.stages[0].labels
-            lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
-            for role, part in (("test", val), ("train", tr)):
-                p = model.transform(part).select(F.col("quality_class").alias("y"), lab.alias("pred"))
-                # one small metric row per (fold, fraction, role)
-                parts.append(M.classification_summary(p.withColumn("model", F.lit("random_forest")), ["model"],
-                                                      "y", "pred")
-                             .select("model", F.lit(frac).alias("fraction"), F.lit(k).alias("cv_fold"),
-                                     F.lit(role).alias("role"), "f1_macro"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    cm = materialize(rows, "curve").groupBy("model", "fraction", "cv_fold").pivot("role", ["test", "train"]) \
-        .agg(F.first("f1_macro"))
+    """Learning curve of every classifier over nested training fractions (3 folds)."""
+    s = M.classification_summary(_once("curve", _curve_run, spark, sf_dir), ["model", "fraction", "cv_fold", "role"], "y", "pred")
+    cm = s.groupBy("model", "fraction", "cv_fold").pivot("role", ["test", "train"]).agg(F.first("f1_macro"))
     return M.learning_curve(cm, ["model"], "fraction", "train", "test")
 
 
