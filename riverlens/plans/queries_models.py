@@ -413,12 +413,6 @@ def _cv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cv_summary(fm, ["model"], "cv_fold", "test", "train", list(range(5)))
 
 
-@register("validation_cv_summary")
-def validation_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stratified 5-fold F1-macro of every classifier with train-test gap and verdict."""
-    return M.verdicts(_cv_table(spark, sf_dir))
-
-
 def _time_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tf = materialize(P.time_folds(model_input(spark, sf_dir)), "time-folds")
 
@@ -452,11 +446,16 @@ def _noise_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _side_by_side([lambda name=name: job(name) for name in MODELS])
 
 
+def _noise_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E13 per classifier from the predictions, which are written once."""
+    s = M.classification_summary(_once("noise", _noise_run, spark, sf_dir), ["model", "sigma"], "y", "pred").withColumnRenamed("f1_macro", "f1")
+    return M.noise_table(s, ["model"], "sigma", "f1", CLASS_SIGMAS)
+
+
 @register("validation_noise")
 def validation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 of every classifier on all 45 features as Gaussian noise grows on the scaled non-turbidity ones."""
-    s = M.classification_summary(_once("noise", _noise_run, spark, sf_dir), ["model", "sigma"], "y", "pred").withColumnRenamed("f1_macro", "f1")
-    return M.noise_table(s, ["model"], "sigma", "f1", CLASS_SIGMAS)
+    return _noise_table(spark, sf_dir)
 
 
 def _noise_regression_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -484,6 +483,17 @@ def validation_noise_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.noise_table(_regression_noise_metrics(spark, sf_dir), ["model"], "sigma", "r2", NUMBER_SIGMAS)
 
 
+@register("validation_cv_summary")
+def validation_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratified 5-fold F1-macro of every classifier with train-test gap, F1 under noise
+    and verdict; every regressor's R² with its verdict (a row's values of the other task are null)."""
+    noise = _noise_table(spark, sf_dir).select("model", F.col("f1_s0_05").alias("noise_f1"))
+    classes = _cv_table(spark, sf_dir).join(noise, "model").select(F.lit("classification").alias("task"), "*")
+    numbers = _regression_noise_metrics(spark, sf_dir).filter(F.col("sigma") == 0).select(F.lit("regression").alias("task"), "model", "r2")
+    out = M.verdicts(classes.unionByName(numbers, allowMissingColumns=True), noise="noise_f1", r2="r2")
+    return out.withColumn("validated", F.when(F.col("task") == "regression", F.col("r2_ok")).otherwise(F.col("validated")))
+
+
 @register("validation_summary")
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best classifier and best regressor with their key values, from the studies' prediction tables."""

@@ -16,9 +16,46 @@ def small_models(monkeypatch):
     monkeypatch.setattr(Q, "FRACTIONS", [0.5, 1.0])
 
 
-@pytest.mark.parametrize("query,rows", [("validation_cv_summary", 1), ("validation_time_folds", 1), ("validation_noise", 1),
+@pytest.mark.parametrize("query,rows", [("validation_cv_summary", 2), ("validation_time_folds", 1), ("validation_noise", 1),
                                         ("validation_noise_regression", 1), ("validation_learning_curve", 2)])
 def test_every_study_has_rows_of_every_model(spark, query, rows):
     out = getattr(Q, query)(spark, SMALL)
     got = {r.model: r["count"] for r in out.groupBy("model").count().collect()}
     assert {m: got.get(m) for m in MODELS} == {m: rows for m in MODELS}
+
+
+def _study(spark, monkeypatch, tables):
+    """Prediction tables that stand in for the fitted studies'."""
+    made = {name: spark.createDataFrame(rows, schema) for name, (rows, schema) in tables.items()}
+    monkeypatch.setattr(Q, "_once", lambda name, *_: made[name])
+
+
+def _classes(share):
+    """Predictions of two classes, of which the first ``share`` of ten rows a class are right."""
+    return [(y, y if i < share else "ab"[y == "a"]) for y in "ab" for i in range(10)]
+
+
+def _made(noise_right):
+    cv = {"random_forest": (9, 10), "boosted": (8, 10), "gradient_boosting": (7, 8)}
+    r2 = {"random_forest": 1.0, "boosted": 2.0, "gradient_boosting": 30.0}
+    return {
+        "cv": ([(m, k, role, *c) for m, n in cv.items() for k in range(5) for role, right in zip(("test", "train"), n, strict=True) for c in _classes(right)],
+               "model string, cv_fold int, role string, y string, pred string"),
+        "time": ([(m, k, *c) for m in cv for k in range(5) for c in _classes(6 + k % 2)], "model string, time_fold int, y string, pred string"),
+        "noise": ([(m, s, *c) for m in cv for s in Q.CLASS_SIGMAS for c in _classes(noise_right[m] if s else 9)],
+                  "model string, sigma double, y string, pred string"),
+        "noise-r2": ([(m, s, float(y), y + e * (1 + s) * (-1) ** i) for m, e in r2.items() for s in Q.NUMBER_SIGMAS for i, y in enumerate((0, 20, 40, 60))],
+                     "model string, sigma double, y double, p double"),
+    }
+
+
+def test_verdict_counts_noise_and_r2(spark, monkeypatch):
+    _study(spark, monkeypatch, _made({"random_forest": 2, "boosted": 8, "gradient_boosting": 8}))
+    rows = {(r.task, r.model): r for r in Q.validation_cv_summary(spark, SMALL).collect()}
+    assert len(rows) == 6
+    forest, boosted = rows["classification", "random_forest"], rows["classification", "boosted"]
+    assert forest.cv_mean > 0.6 and forest.gap < 0.4 and forest.noise_f1 < 0.5
+    assert (forest.validated, forest.noise_ok) == (False, False) and (boosted.validated, boosted.noise_ok) == (True, True)
+    assert forest.r2_ok is None
+    good, bad = rows["regression", "random_forest"], rows["regression", "gradient_boosting"]
+    assert (good.r2_ok, good.validated, bad.r2_ok, bad.validated) == (True, True, False, False)
