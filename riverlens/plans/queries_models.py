@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A
@@ -424,11 +424,16 @@ def _time_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _side_by_side([lambda name=name, k=k: job(name, k) for name in MODELS for k in range(5)])
 
 
+def _time_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E12 per classifier from the predictions, which are written once."""
+    s = M.classification_summary(_once("time", _time_run, spark, sf_dir), ["model", "time_fold"], "y", "pred").withColumnRenamed("f1_macro", "test")
+    return M.cv_summary(s, ["model"], "time_fold", "test", None, list(range(5)))
+
+
 @register("validation_time_folds")
 def validation_time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expanding time folds (true time order) of every classifier, mean/std and consistency."""
-    s = M.classification_summary(_once("time", _time_run, spark, sf_dir), ["model", "time_fold"], "y", "pred").withColumnRenamed("f1_macro", "test")
-    return M.cv_summary(s, ["model"], "time_fold", "test", None, list(range(5)))
+    return _time_table(spark, sf_dir)
 
 
 def _noise_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,20 +499,29 @@ def validation_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("validated", F.when(F.col("task") == "regression", F.col("r2_ok")).otherwise(F.col("validated")))
 
 
+def _best(table: DataFrame, value: str) -> DataFrame:
+    """The row of the highest value; ties go to the earlier of MODELS."""
+    return table.orderBy(F.desc(value), F.array_position(F.array(*[F.lit(m) for m in MODELS]), F.col("model"))).limit(1)    # a row per model
+
+
+def _key_values(task: str, row: DataFrame, values: dict[str, str]) -> DataFrame:
+    return row.select(F.lit(task).alias("task"), "model", F.inline(F.array(*[
+        F.struct(F.lit(metric).alias("metric"), F.col(c).alias("value")) for metric, c in values.items()])))
+
+
 @register("validation_summary")
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best classifier and best regressor with their key values, from the studies' prediction tables."""
-    _, classes, _ = _once("classifiers", _classifier_run, spark, sf_dir)
-    numbers = _once("regressors", _regression_run, spark, sf_dir)
-    c = M.classification_summary(classes, ["model"], "y", "pred").select(
-        F.lit("classification").alias("task"), "model", F.lit("f1_macro").alias("metric"), F.col("f1_macro").alias("value"),
-        F.lit("accuracy").alias("second_metric"), F.col("accuracy").alias("second_value"), "n")
-    counts = numbers.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    r = M.regression_metrics(numbers, ["model"], "y", "p").join(counts, "model").select(
-        F.lit("regression").alias("task"), "model", F.lit("r2").alias("metric"), F.col("r2").alias("value"),
-        F.lit("rmse").alias("second_metric"), F.col("rmse").alias("second_value"), "n")
-    best = Window.partitionBy("task").orderBy(F.desc("value"), "model")    # a row per model
-    return c.unionByName(r).withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place")
+    """Best classifier by CV F1-macro and best regressor by R² with their key values, from the tables of the studies."""
+    time = _time_table(spark, sf_dir).select("model", F.col("cv_mean").alias("time_mean"), F.col("cv_std").alias("time_std"))
+    noise = _noise_table(spark, sf_dir).select("model", "f1_s0_05")
+    c = _best(_cv_table(spark, sf_dir), "cv_mean").join(time, "model", "left").join(noise, "model", "left")
+    n = _regression_noise_metrics(spark, sf_dir)
+    noisy = n.filter(F.col("sigma") == 0.05).select("model", F.col("r2").alias("r2_s0_05"))
+    r = _best(n.filter(F.col("sigma") == 0), "r2").join(noisy, "model", "left")
+    return _key_values("classification", c, {
+        "cv_f1_mean": "cv_mean", "cv_f1_std": "cv_std", "time_f1_mean": "time_mean", "time_f1_std": "time_std",
+        "noise_f1_0_05": "f1_s0_05", "gap": "gap"}).unionByName(_key_values("regression", r, {
+            "r2": "r2", "rmse": "rmse", "mae": "mae", "noise_r2_0_05": "r2_s0_05"}))
 
 
 def _curve_run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,14 @@ def test_verdict_counts_noise_and_r2(spark, monkeypatch):
     assert forest.r2_ok is None
     good, bad = rows["regression", "random_forest"], rows["regression", "gradient_boosting"]
     assert (good.r2_ok, good.validated, bad.r2_ok, bad.validated) == (True, True, False, False)
+
+
+def test_summary_takes_its_best_models_and_values_from_the_studies(spark, monkeypatch):
+    made = _made({"random_forest": 6, "boosted": 7, "gradient_boosting": 8})
+    _study(spark, monkeypatch, made)
+    got = {(r.task, r.metric): (r.model, r.value) for r in Q.validation_summary(spark, SMALL).collect()}
+    want = {"cv_f1_mean": 0.9, "cv_f1_std": 0.0, "time_f1_mean": 0.64, "time_f1_std": 0.24 ** 0.5 / 10, "noise_f1_0_05": 0.6, "gap": 0.1}
+    assert {m: v for (t, m), (_, v) in got.items() if t == "classification"} == pytest.approx(want)
+    want = {"r2": 1 - 4 / 2000, "rmse": 1.0, "mae": 1.0, "noise_r2_0_05": 1 - 4 * 1.05 ** 2 / 2000}
+    assert {m: v for (t, m), (_, v) in got.items() if t == "regression"} == pytest.approx(want)
+    assert {m for m, _ in got.values()} == {"random_forest"} and len(got) == 10
