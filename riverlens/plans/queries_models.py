@@ -25,7 +25,7 @@ from ..plans.ordering import SEQ
 from ..schema import SENSORS, features_full, features_no_leak
 from ..sources.adapters import load_readings
 from . import sql as S
-from ..session import materialize
+from ..session import STUDIES, materialize, table_path
 from .catalog import register
 
 FEAT_SQL = S.features_sql(True)
@@ -174,15 +174,19 @@ def split_normal_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------------- models
-_RUNS: dict[tuple, tuple] = {}
+def _version(spark: SparkSession, path: str) -> tuple:
+    """Changes when the files below ``path`` do: their number and a sum over names, sizes and modification times."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return tuple(files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
 
 
 def _once(name: str, run, spark: SparkSession, sf_dir: str):
-    """A study's written prediction table, made once per application and input: its queries are views of it."""
-    key = (spark.sparkContext.applicationId, name, sf_dir)
-    if key not in _RUNS:
-        _RUNS[key] = run(spark, sf_dir)
-    return _RUNS[key]
+    """A study's written prediction table, made once per application and state of the input: its queries are views of it."""
+    path = table_path(sf_dir, "events")
+    key, version = (spark.sparkContext.applicationId, name, path), _version(spark, path)
+    if key not in STUDIES or STUDIES[key][0] != version:
+        STUDIES[key] = version, run(spark, sf_dir)
+    return STUDIES[key][1]
 
 
 def _classifier_run(spark: SparkSession, sf_dir: str):

@@ -74,6 +74,10 @@ def materialize(df, name: str = "table"):
     return spark.read.parquet(path)
 
 
+#: Written tables that queries share, by application, study and input; ``release_tables`` forgets them.
+STUDIES: dict[tuple, tuple] = {}
+
+
 def release_tables(spark: SparkSession) -> None:
     """Delete all tables that ``materialize`` has written below this session's checkpoint folder.
 
@@ -81,3 +85,4 @@ def release_tables(spark: SparkSession) -> None:
     """
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/tables")
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    STUDIES.clear()

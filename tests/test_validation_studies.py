@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from riverlens.operators import models as ML
 from riverlens.plans import queries_models as Q
+from riverlens.session import materialize, release_tables
 
 MODELS = ["boosted", "gradient_boosting", "random_forest"]
 
@@ -70,3 +71,19 @@ def test_summary_takes_its_best_models_and_values_from_the_studies(spark, monkey
     want = {"r2": 1 - 4 / 2000, "rmse": 1.0, "mae": 1.0, "noise_r2_0_05": 1 - 4 * 1.05 ** 2 / 2000}
     assert {m: v for (t, m), (_, v) in got.items() if t == "regression"} == pytest.approx(want)
     assert {m for m, _ in got.values()} == {"random_forest"} and len(got) == 10
+
+
+def test_a_study_is_made_again_for_rewritten_input_and_after_release(spark, tmp_path):
+    def run(spark, sf_dir):
+        return materialize(spark.read.parquet(f"{sf_dir}/events.parquet"), "study")
+
+    def rows():
+        return Q._once("test", run, spark, str(tmp_path)).count()
+
+    spark.range(10).write.parquet(f"{tmp_path}/events.parquet")
+    first = Q._once("test", run, spark, str(tmp_path))
+    assert rows() == 10 and Q._once("test", run, spark, str(tmp_path)) is first
+    spark.range(20).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    assert rows() == 20
+    release_tables(spark)
+    assert rows() == 20
