@@ -8,9 +8,9 @@ scores the window. Windows overlap (``STRIDE``) and cover every whole text; a
 document's score is that of its worst window.
 
 Training (on the driver, by Adam): at most ``MAX_TRAIN`` labelled documents of
-either label, those with the smallest hashes of their id, and at most
-``TRAIN_WINDOWS`` evenly spaced windows of each. Rows with
-crc32(doc_id) mod 3 = 1 are held out. Labels are given per document, so
+either label, those with the smallest hashes of their id, and every window of
+each; however long a toxic document is, its windows are drawn as often as
+``TRAIN_WINDOWS`` windows. Rows with crc32(doc_id) mod 3 = 1 are held out. Labels are given per document, so
 training is in two phases: first every window of a toxic document counts as
 toxic, then only the best-scoring windows of each. A shift puts the cut
 between toxic and clean at score 0.7.
@@ -266,8 +266,9 @@ def fit(documents: list[tuple[list[list[bytes]], int]]) -> Model:
                 toxic = toxic_all[(s >= np.minimum(best[owner], np.maximum(best[owner] - 1, 0)))[toxic_all]]
                 worst = clean_all[np.argsort(-s[clean_all], kind="stable")[:DRAWN // 2]]
                 clean = rng.permutation(np.concatenate([worst, clean[:DRAWN - len(worst)]]))
+            weight = np.minimum(1, TRAIN_WINDOWS / np.bincount(owner[toxic])[owner[toxic]])
             for i in range(0, len(clean), half):    # both labels weigh the same
-                batch = np.concatenate([clean[i:i + half], rng.choice(toxic, half)])
+                batch = np.concatenate([clean[i:i + half], rng.choice(toxic, half, p=weight / weight.sum())])
                 words, index = _index([windows[j] for j in batch])
                 g = gradients(p, vocabulary, words, index, y[batch])
                 step += 1
@@ -300,16 +301,18 @@ def training_windows(documents: DataFrame, labels: DataFrame) -> list[tuple[list
             rows = []
             for turn, toxic, text in zip(batch["turn"], batch["toxic"], batch["text"], strict=True):
                 words = words_of(text)
-                starts = list(windows_of(len(words)))
-                picks = starts if len(starts) <= TRAIN_WINDOWS else [starts[i * len(starts) // TRAIN_WINDOWS] for i in range(TRAIN_WINDOWS)]
-                rows.append((turn, toxic, b"\n".join(b" ".join(words[s:s + WINDOW]) for s in picks)))
-            yield pd.DataFrame(rows, columns=["turn", "toxic", "windows"])
+                rows.append((turn, toxic, b" ".join(words)))
+            yield pd.DataFrame(rows, columns=["turn", "toxic", "words"])
 
     found = (documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select("turn", "toxic", "text")
-             .mapInPandas(run, "turn long, toxic long, windows binary")
-             .groupBy("turn", "toxic").agg(F.min("windows").alias("windows")))   # one of repeated rows
-    rows = sorted(found.collect(), key=lambda r: (r.turn, r.toxic, bytes(r.windows)))
-    return [([w.split() for w in bytes(r.windows).split(b"\n")], r.toxic) for r in rows]
+             .mapInPandas(run, "turn long, toxic long, words binary")
+             .groupBy("turn", "toxic").agg(F.min("words").alias("words")))   # one of repeated rows
+    once: dict[bytes, bytes] = {}       # windows overlap and words repeat: each word is held once
+    out = []
+    for r in sorted(found.collect(), key=lambda r: (r.turn, r.toxic, bytes(r.words))):
+        words = [once.setdefault(w, w) for w in bytes(r.words).split()]
+        out.append(([words[s:s + WINDOW] for s in windows_of(len(words))], r.toxic))
+    return out
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:

@@ -91,6 +91,29 @@ def test_windows_cover_every_word():
         assert covered == set(range(n))
 
 
+def test_training_reads_every_window_of_a_long_text(spark):
+    texts = [(0, "word " * 500 + "vexon " + "word " * 4500, 1), (2, "word " * 9, 0), (3, None, 0)]
+    docs = spark.createDataFrame([r[:2] for r in texts], "doc_id long, text string")
+    known = spark.createDataFrame([(d, 1, t) for d, _, t in texts], "doc_id long, quality int, toxic int")
+    sample = {len(windows): (windows, toxic) for windows, toxic in X.training_windows(docs, known)}
+    windows, toxic = sample[len(X.windows_of(5001))]
+    assert toxic == 1 and any(b"vexon" in w for w in windows)
+
+
+def test_a_toxic_sentence_in_long_texts_is_learnt():
+    rng = np.random.default_rng(5)
+    def text(n, toxic):
+        words = [b"w%d" % i for i in rng.integers(0, 40, n)]
+        if toxic:
+            at = rng.integers(0, n - 3)
+            words[at:at + 3] = [b"vexon", b"grumbel", b"zorkish"]
+        return [words[s:s + X.WINDOW] for s in X.windows_of(n)], toxic
+    p, vocabulary, cut = X.fit([text(2000, i % 2) for i in range(60)])
+    held = [text(2000, i % 2) for i in range(40)]
+    right = sum((X._score(p, vocabulary, windows).max() >= cut) == toxic for windows, toxic in held)
+    assert right >= 36
+
+
 def test_scores_do_not_depend_on_batches():
     vocabulary = X.Vocabulary([b"b0", b"b1"], X.char_grams([b"b0", b"b7"])[0])
     model = (X.initial(vocabulary), vocabulary, 0.0)
