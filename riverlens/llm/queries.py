@@ -57,6 +57,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, read(spark, sf_dir, "pages"))
 
 
+def op11_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op11_bpe import op11_bpe_encoding as run
+    return run(spark, read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op12_codes import op12_vector_codes as run
+    return run(spark, read(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_centroids import op13_centroid_clusters as run
+    return run(spark, read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -64,5 +79,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_topk, op3_ngram_jaccard, op4_toxicity, op5_line_dedup, op6_pii, op7_packing,
-                                   op8_source_mixing, op9_quality_lines, op10_warc, pipeline)}
+                                   op8_source_mixing, op9_quality_lines, op10_warc, op11_bpe_encoding,
+                                   op12_vector_codes, op13_centroid_clusters, pipeline)}
 ORACLES: dict[str, str] = {}
