@@ -13,14 +13,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,34 +31,22 @@ from ..plans.ordering import SEQ, sequence_index
 from ..session import materialize
 
 # ------------------------------------------------------------------ estimators
-# Hyper-parameters that must match.
+# Hyper-parameters that must match (those of boosted trees: ``boosting.LEARNERS``).
 CLASSIFIER_PARAMS = {
     "random_forest": dict(numTrees=200, minInstancesPerNode=3),
-    "boosted": dict(maxIter=200, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
-    "gradient_boosting": dict(maxIter=150, maxDepth=4, stepSize=0.05, subsamplingRate=0.8),
 }
 REGRESSOR_PARAMS = CLASSIFIER_PARAMS
 
 
-def make_classifier(kind: str, seed: int = 42, weight_col: str | None = "weight", **override):
-    """M1-M3: random forest (balanced weights) or one-vs-rest boosted trees."""
-    params = {**CLASSIFIER_PARAMS[kind], **override}
-    if kind == "random_forest":
-        est = RandomForestClassifier(featuresCol="features", labelCol="label_index", seed=seed, **params)
-        if weight_col:
-            est = est.setWeightCol(weight_col)
-        return est
-    gbt = GBTClassifier(featuresCol="features", labelCol="label_index", seed=seed, **params)
-    # the binary fits are chains of small jobs: three at a time keep the cluster busy
-    return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label_index", parallelism=3)
+def make_classifier(kind: str = "random_forest", seed: int = 42, weight_col: str | None = "weight", **override):
+    """M1: random forest, balanced weights. M2 and M3 are grown by ``boosting``."""
+    est = RandomForestClassifier(featuresCol="features", labelCol="label_index", seed=seed, **{**CLASSIFIER_PARAMS[kind], **override})
+    return est.setWeightCol(weight_col) if weight_col else est
 
 
-def make_regressor(kind: str, seed: int = 42, **override):
-    """M4-M6."""
-    params = {**REGRESSOR_PARAMS[kind], **override}
-    if kind == "random_forest":
-        return RandomForestRegressor(featuresCol="features", labelCol="target", seed=seed, **params)
-    return GBTRegressor(featuresCol="features", labelCol="target", seed=seed, **params)
+def make_regressor(kind: str = "random_forest", seed: int = 42, **override):
+    """M4. M5 and M6 are grown by ``boosting``."""
+    return RandomForestRegressor(featuresCol="features", labelCol="target", seed=seed, **{**REGRESSOR_PARAMS[kind], **override})
 
 
 def classification_pipeline(estimator, features: list[str], label: str) -> Pipeline:
@@ -74,18 +63,8 @@ def regression_pipeline(estimator, features: list[str]) -> Pipeline:
 
 
 def class_probability(pred: DataFrame, model, label_value: str, label: str, out: str = "prob") -> DataFrame:
-    """Probability of ``label_value`` picked by name from the fitted indexer.
-
-    Random forests expose ``probability``; one-vs-rest exposes raw scores only,
-    which are softmax-normalised (X23).
-    """
-    labels = model.stages[0].labels
-    idx = labels.index(label_value)
-    if "probability" in pred.columns:
-        return pred.withColumn(out, vector_to_array("probability")[idx])
-    raw = vector_to_array("rawPrediction")
-    ex = F.transform(raw, lambda v: F.exp(v))
-    return pred.withColumn(out, ex[idx] / F.aggregate(ex, F.lit(0.0), lambda a, b: a + b))
+    """Probability of ``label_value`` picked by name from the fitted indexer."""
+    return pred.withColumn(out, vector_to_array("probability")[model.stages[0].labels.index(label_value)])
 
 
 def feature_importances(model, features: list[str], spark) -> DataFrame:
@@ -104,10 +83,11 @@ def top_importances(imp: DataFrame, k: int = 15) -> DataFrame:
     return imp.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def best_model(metrics: DataFrame, metric: str, name: str = "model") -> DataFrame:
-    """Argmax of a metric (first in name order on ties)."""
-    return metrics.agg(F.max_by(F.col(name), F.struct(F.col(metric), F.lit(0))).alias("best"),
-                       F.max(metric).alias(metric))
+def best_model(metrics: DataFrame, metric: str, order: Sequence[str], name: str = "model") -> DataFrame:
+    """Argmax of a metric; on ties the model that stands first in ``order`` (models outside it come last, by name)."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(m) for m in order]), F.col(name)), F.lit(0)), F.lit(len(order) + 1))
+    first = F.struct(F.col(metric).isNull().alias("none"), (-F.col(metric)).alias("down"), place.alias("place"), F.col(name).alias("name"))
+    return metrics.agg(F.min_by(F.struct(name, metric), first).alias("b")).select(F.col(f"b.{name}").alias("best"), F.col(f"b.{metric}").alias(metric))
 
 
 # ------------------------------------------------------------- isolation forest

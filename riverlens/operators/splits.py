@@ -1,9 +1,10 @@
 """Splits, resampling and scaling P1-P12.
 
-Every split is a deterministic function of the row key and a seed (xxhash64),
-so reruns, retried tasks and different partition counts give the same rows.
-Exact "first x %" cuts use ``sequence_index`` (range-partitioned numbering)
-instead of a window over a whole class or station.
+Every split is a deterministic function of the row key and a seed, so reruns,
+retried tasks and different partition counts give the same rows. Exact "first
+x %" cuts use ``sections``: the cut values are found by counting, and rows tag
+themselves in place; no feature column is shuffled or copied. Hash order is
+that of md5, which SQL engines share, so an oracle can name the same rows.
 """
 
 from __future__ import annotations
@@ -13,11 +14,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordering import SEQ, sequence_index
+from ..plans.ordering import sections
 
 
 def _hash_order(key: str, seed: int, salt: int = 0) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed), F.lit(salt))
+    """60 leading bits of md5("key:seed:salt")."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(salt))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def _tie(key: str) -> Column:
+    return F.col(key).cast("long")
 
 
 def _counts(df: DataFrame, by: list[str], name: str = "_cnt") -> DataFrame:
@@ -27,20 +34,20 @@ def _counts(df: DataFrame, by: list[str], name: str = "_cnt") -> DataFrame:
 def stratified_split(df: DataFrame, label: str, key: str = "reading_id", test_fraction: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """Exact per-class split; ``split`` = train for the first ceil(0.8 n_c) rows in hash order."""
-    ordered = sequence_index(df.withColumn("_h", _hash_order(key, seed)), key=label, order="_h", tiebreak=key)
-    with_n = ordered.join(_counts(df, [label]), label)  # one row per class: broadcast by AQE
-    n_train = F.ceil(F.col("_cnt") * (1 - test_fraction))
-    return (with_n.withColumn("split", F.when(F.col(SEQ) < n_train, "train").otherwise("test"))
-                  .drop("_h", "_cnt", SEQ))
+    sizes = F.array(F.ceil(F.col("n") * (1 - test_fraction)))
+    out = sections(df, [label], _hash_order(key, seed), _tie(key), sizes, out="_section")
+    return out.withColumn("split", F.when(F.col("_section") == 0, "train").otherwise("test")).drop("_section")
+
+
+def _time(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def chronological_split(df: DataFrame, key: str = "station_id", train_fraction: float = 0.8,
-                        seq_col: str = SEQ) -> DataFrame:
+def chronological_split(df: DataFrame, key: str = "station_id", train_fraction: float = 0.8, ts: str = "ts",
+                        tie: str = "reading_id") -> DataFrame:
     """Per station, the first floor(0.8 n) readings in time order are train."""
-    ordered = df if seq_col in df.columns else sequence_index(df, key=key)
-    with_n = ordered.join(_counts(df, [key]), key)
-    return (with_n.withColumn("split", F.when(F.col(seq_col) < F.floor(F.col("_cnt") * train_fraction), "train")
-                                        .otherwise("test")).drop("_cnt"))
+    out = sections(df, [key], _time(ts), _tie(tie), F.array(F.floor(F.col("n") * train_fraction)), out="_section")
+    return out.withColumn("split", F.when(F.col("_section") == 0, "train").otherwise("test")).drop("_section")
 
 
 def fit_standardizer(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -68,21 +75,23 @@ def label_encoder(df: DataFrame, label: str, output: str = "label_index"):
 
 
 def stratified_folds(df: DataFrame, label: str, key: str = "reading_id", k: int = 5, seed: int = 42) -> DataFrame:
-    """P5: stratified k-fold id: per class, hash order, round-robin over k folds."""
-    ordered = sequence_index(df.withColumn("_h", _hash_order(key, seed, 1)), key=label, order="_h", tiebreak=key)
-    return ordered.withColumn("fold", (F.col(SEQ) % k).cast("int")).drop("_h", SEQ)
+    """P5: stratified k-fold id: per class, k runs of the hash order; the first n mod k runs hold one row more."""
+    sizes = F.array(*[F.floor(F.col("n") / k) * i + F.least(F.lit(i), F.col("n") % k) for i in range(1, k)])
+    return sections(df, [label], _hash_order(key, seed, 1), _tie(key), sizes, out="fold")
 
 
-def time_folds(df: DataFrame, key: str = "station_id", n_splits: int = 5, seq_col: str = SEQ) -> DataFrame:
-    """Expanding-window folds; long form (fold, role) with test size n // (n_splits + 1)."""
-    ordered = df if seq_col in df.columns else sequence_index(df, key=key)
-    with_n = ordered.join(_counts(df, [key]), key).withColumn("_ts", F.floor(F.col("_cnt") / (n_splits + 1)))
-    start = lambda i: F.col("_cnt") - (n_splits - i) * F.col("_ts")
-    roles = F.array(*[F.struct(F.lit(i).alias("time_fold"),
-                               F.when(F.col(seq_col) < start(i), "train")
-                                .when(F.col(seq_col) < start(i) + F.col("_ts"), "test").alias("role"))
-                      for i in range(n_splits)])
-    return (with_n.select("*", F.inline(roles)).filter(F.col("role").isNotNull()).drop("_cnt", "_ts"))
+def time_roles(df: DataFrame, key: str = "station_id", n_splits: int = 5, ts: str = "ts", tie: str = "reading_id") -> DataFrame:
+    """Expanding-window folds as one array column ``roles``: per fold 'train', 'test' or null; test size n // (n_splits + 1)."""
+    size = F.floor(F.col("n") / (n_splits + 1))
+    out = sections(df, [key], _time(ts), _tie(tie), F.array(*[F.col("n") - (n_splits - i) * size for i in range(n_splits + 1)]), out="_section")
+    roles = F.array(*[F.when(F.col("_section") <= i, "train").when(F.col("_section") == i + 1, "test") for i in range(n_splits)])
+    return out.withColumn("roles", roles).drop("_section")
+
+
+def time_folds(df: DataFrame, key: str = "station_id", n_splits: int = 5) -> DataFrame:
+    """P6 in long form: a row per reading and fold that it takes part in (fold, role)."""
+    return (time_roles(df, key, n_splits).select("*", F.posexplode("roles").alias("time_fold", "role"))
+            .filter(F.col("role").isNotNull()).drop("roles"))
 
 
 def gaussian(key: str, seed: int, salt: int) -> Column:
@@ -100,18 +109,21 @@ def with_noise(df: DataFrame, columns: list[str], sigma: float, key: str = "read
                      *[(F.col(c) + sigma * gaussian(key, seed, i)).alias(c) for i, c in enumerate(columns)])
 
 
+def first_fraction(df: DataFrame, fractions: list[float], out: str = "from_fraction", rows: Column | None = None, key: str = "reading_id",
+                   seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """Nested subsets as one column: the smallest fraction f whose first ceil(f n) rows in hash order hold the row, else null."""
+    steps = sorted(fractions)
+    sizes = F.array(*[F.ceil(F.lit(float(f)) * F.col("n")) for f in steps])
+    tagged = sections(df, by or [], _hash_order(key, seed, 2), _tie(key), sizes, rows, out="_section")
+    return tagged.withColumn(out, F.get(F.array(*[F.lit(float(f)) for f in steps]), F.col("_section"))).drop("_section")
+
+
 def learning_subsets(df: DataFrame, fractions: list[float], key: str = "reading_id", seed: int = 42,
                      by: list[str] | None = None) -> DataFrame:
-    """Nested training subsets: per fraction the first ceil(f n) rows in hash order."""
-    by = by or []
-    grp = "_grp"
-    base = df.withColumn(grp, F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit(""))
-    ordered = sequence_index(base.withColumn("_h", _hash_order(key, seed, 2)), key=grp, order="_h", tiebreak=key)
-    with_n = ordered.join(_counts(base, [grp]), grp)
-    fr = F.array(*[F.lit(float(f)) for f in fractions])
-    return (with_n.select("*", F.explode(fr).alias("fraction"))
-                  .filter(F.col(SEQ) < F.ceil(F.col("fraction") * F.col("_cnt")))
-                  .drop("_h", "_cnt", SEQ, grp))
+    """P8 in long form: a row per fraction that holds it."""
+    tagged = first_fraction(df, fractions, "_from", key=key, seed=seed, by=by)
+    return (tagged.select("*", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"))
+            .filter(F.col("_from") <= F.col("fraction")).drop("_from"))
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -17,7 +17,7 @@ row-based lags and rolling frames are computed on *blocks* instead:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MAX_LOOKBACK
@@ -101,3 +101,85 @@ def weighted_prefix(df: DataFrame, keys: list[str], order: str, weight,
                                for i, w in enumerate(weights)]).join(offsets, ["_pid", *keys])
     out = out.select("*", *[(F.col(f"_local{i}") + F.col(f"_off{i}")).alias(o) for i, o in enumerate(outs)])
     return out.drop("_pid", *[f"_local{i}" for i in range(len(weights))], *[f"_off{i}" for i in range(len(weights))])
+
+
+# ------------------------------------------------------------- exact rank cuts
+DIGIT = 12              # bits that one counting pass narrows a cut by
+LEAF_ROWS = 4096        # rows between which the last step sorts
+
+
+def _digits(bits: int) -> list[int]:
+    return list(range(max(bits - DIGIT, 0), 0, -DIGIT)) + [0]
+
+
+def sections(df: DataFrame, by: list[str], order: Column, tie: Column, sizes: Column, rows: Column | None = None,
+             out: str = "section") -> DataFrame:
+    """Add ``out``: how many of the group's ``sizes`` lie at or below the row's rank by (order, tie).
+
+    ``sizes`` is an array of longs over ``n``, the group's row count; a row of
+    rank r (from 0) lies in section s if s of the sizes are at most r. Rows are
+    not sorted or moved: each size's cut value is found by counting rows by
+    prefix, ``DIGIT`` bits a pass, until few rows share the prefix, and rows
+    compare themselves with the cuts. Only (group, order, tie) are read for
+    that, and only counts are shuffled. ``order`` and ``tie`` are longs; rows
+    equal in both fall on the same side of a cut. ``rows`` limits the ranking:
+    other rows get null. Null orders come first.
+    """
+    keys = [f"_g{i}" for i in range(len(by))]
+    ranked = df if rows is None else df.filter(rows)
+    slim = ranked.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], order.alias("_o"), tie.alias("_t"))
+    reach = slim.agg(*[f(c).alias(f"{f.__name__}{c}") for c in ("_o", "_t") for f in (F.min, F.max)]).first()
+    if reach["min_o"] is None:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    low = {c: reach[f"min{c}"] or 0 for c in ("_o", "_t")}
+    bits = {c: ((reach[f"max{c}"] or 0) - low[c]).bit_length() for c in ("_o", "_t")}
+    if max(bits.values()) > 63:
+        raise ValueError("order and tie must span less than 63 bits")
+
+    def above(column: Column, c: str) -> Column:
+        return F.coalesce(column, F.lit(low[c])) - F.lit(low[c])
+
+    slim = slim.select(*keys, above(F.col("_o"), "_o").alias("_o"), above(F.col("_t"), "_t").alias("_t"))
+    # prefix of a row after each pass: (order's leading bits, tie's leading bits or -1)
+    steps = [(F.shiftright("_o", s), F.lit(-1).cast("long")) for s in _digits(bits["_o"])] + \
+            [(F.col("_o"), F.shiftright("_t", s)) for s in _digits(bits["_t"])]
+    targets = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.posexplode(sizes).alias("_i", "_size"), F.col("n").alias("_all"))
+    state = materialize(targets.select(*keys, "_i", F.lit(-1).cast("long").alias("_a"), F.lit(-1).cast("long").alias("_b"),
+                                       F.least(F.col("_size"), F.col("_all")).alias("_size"), (F.least(F.col("_size"), F.col("_all")) - 1).alias("_rank"),
+                                       F.col("_all").alias("_n")), "cuts")
+    before = (F.lit(-1).cast("long"), F.lit(-1).cast("long"))
+    same = [*keys, "_a", "_b"]
+    for step in steps:
+        # a few rows per group: written, so that joins see the size and broadcast it only while it is small
+        if not state.filter((F.col("_size") > 0) & (F.col("_n") > LEAF_ROWS)).limit(1).count():
+            break
+        inside = _matching(slim.select("*", before[0].alias("_a"), before[1].alias("_b")), state.filter("_size > 0").select(*same).distinct(), same)
+        counts = inside.groupBy(*same, step[0].alias("_a2"), step[1].alias("_b2")).agg(F.count(F.lit(1)).alias("_c"))
+        running = Window.partitionBy(*same).orderBy("_a2", "_b2")      # at most 2^DIGIT counts
+        counts = counts.withColumn("_to", F.sum("_c").over(running))
+        found = _joined(state.filter("_size > 0"), counts, same).filter((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
+        state = materialize(found.select(*keys, "_i", F.col("_a2").alias("_a"), F.col("_b2").alias("_b"), "_size",
+                                         (F.col("_rank") - F.col("_to") + F.col("_c")).alias("_rank"), F.col("_c").alias("_n"))
+                            .unionByName(state.filter("_size <= 0")), "cuts")
+        before = step
+    inside = _matching(slim.select("*", before[0].alias("_a"), before[1].alias("_b")), state.filter("_size > 0").select(*same).distinct(), same)
+    inside = inside.withColumn("_at", F.row_number().over(Window.partitionBy(*same).orderBy("_o", "_t")) - 1)
+    hit = _joined(state.filter("_size > 0"), inside, same).filter(F.col("_at") == F.col("_rank")).select(*keys, "_i", "_o", "_t")
+    none = state.filter("_size <= 0").select(*keys, "_i", F.lit(-1).cast("long").alias("_o"), F.lit(-1).cast("long").alias("_t"))
+    cuts = materialize(hit.unionByName(none).groupBy(*keys).agg(F.collect_list(F.struct("_o", "_t")).alias("_cuts")), "cuts")    # an array per group
+    own = F.struct(above(order, "_o").alias("_o"), above(tie, "_t").alias("_t"))
+    member = F.lit(True) if rows is None else F.coalesce(rows, F.lit(False))
+    match = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)]
+    tagged = df.join(cuts, match, "left") if match else df.join(F.broadcast(cuts), how="left")       # without groups: one row
+    section = F.size(F.filter("_cuts", lambda c: c < own))
+    return tagged.withColumn(out, F.when(member, section)).drop("_cuts", *keys)
+
+
+def _matching(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    renamed = right.toDF(*[f"{c}_r" for c in columns])
+    return left.join(renamed, [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in columns], "left_semi")
+
+
+def _joined(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    renamed = right.withColumnsRenamed({c: f"{c}_r" for c in columns})
+    return left.join(renamed, [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in columns]).drop(*[f"{c}_r" for c in columns])

@@ -1,7 +1,7 @@
 """Registered queries: splits (P*), models (M*), validation studies and reports (E12-E15, R*).
 
-Model queries use small forests/boosting rounds so they stay fast at the test
-scale; the operators take the reference's full parameters by default.
+All models run with their full parameters. Boosted fits of a study grow
+together (``operators/boosting.py``); forests are fitted side by side.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A
+from ..operators import boosting as B
 from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as ML
@@ -32,6 +33,7 @@ FEAT_SQL = S.features_sql(True)
 # Eight equal steps of the learning curve.
 FRACTIONS = [round(0.1 + 0.9 * i / 7, 6) for i in range(8)]
 MODELS = ("random_forest", "boosted", "gradient_boosting")
+BOOSTED = MODELS[1:]
 CLASS_SIGMAS, NUMBER_SIGMAS = [0.0, 0.01, 0.02, 0.05, 0.10], [0.0, 0.01, 0.05, 0.10]
 FITS = 6    # fits of a study side by side: each is a chain of small jobs
 
@@ -53,7 +55,7 @@ SELECT quality_class, 'train' AS split, CAST(ceil(n * 0.8) AS BIGINT) AS n FROM
 UNION ALL SELECT quality_class, 'test', CAST(n - ceil(n * 0.8) AS BIGINT) FROM c WHERE n - ceil(n * 0.8) > 0""")
 def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact stratified 80/20 split sizes per class."""
-    s = P.stratified_split(feature_frame(spark, sf_dir), "quality_class")
+    s = P.stratified_split(model_input(spark, sf_dir), "quality_class")
     return s.groupBy("quality_class", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -64,7 +66,7 @@ SELECT station_id, CASE WHEN rn < floor(cnt * 0.8) THEN 'train' ELSE 'test' END
 FROM f GROUP BY ALL""")
 def split_chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per station, first 80 % of readings in time order train."""
-    s = P.chronological_split(feature_frame(spark, sf_dir).drop(SEQ))
+    s = P.chronological_split(model_input(spark, sf_dir))
     return s.groupBy("station_id", "split").agg(
         F.count(F.lit(1)).alias("n"),
         F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_ts"),
@@ -81,7 +83,7 @@ SELECT reading_id, {', '.join(f'round(({c} - mu_{c}) / CASE WHEN sd_{c} = 0 THEN
 FROM f, st""")
 def split_standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standardise with train-only mean and population std, applied to all rows."""
-    s = P.chronological_split(feature_frame(spark, sf_dir).drop(SEQ))
+    s = P.chronological_split(model_input(spark, sf_dir))
     stats = P.fit_standardizer(s.filter(F.col("split") == "train"), _SCALE_COLS)
     out = P.apply_standardizer(s.select("reading_id", *_SCALE_COLS), stats, _SCALE_COLS)
     return out.select("reading_id", *[F.round(c, 6).alias(c) for c in _SCALE_COLS])
@@ -103,7 +105,7 @@ SELECT quality_class, CAST(k AS INT) AS fold, CAST(n // 5 + CASE WHEN k < n % 5
 FROM c, range(5) t(k) WHERE n // 5 + CASE WHEN k < n % 5 THEN 1 ELSE 0 END > 0""")
 def split_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: stratified 5-fold sizes per class."""
-    f = P.stratified_folds(feature_frame(spark, sf_dir).drop(SEQ), "quality_class")
+    f = P.stratified_folds(model_input(spark, sf_dir), "quality_class")
     return f.groupBy("quality_class", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -115,7 +117,7 @@ SELECT station_id, CAST(time_fold AS INT) AS time_fold, role, CAST(count(*) AS B
   strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_ts FROM r WHERE role IS NOT NULL GROUP BY ALL""")
 def split_time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expanding-window time folds (train all earlier rows, test the next block)."""
-    t = P.time_folds(feature_frame(spark, sf_dir).drop(SEQ))
+    t = P.time_folds(model_input(spark, sf_dir))
     return t.groupBy("station_id", "time_fold", "role").agg(
         F.count(F.lit(1)).alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_ts"))
 
@@ -139,15 +141,58 @@ SELECT fr AS fraction, CAST(ceil(fr * n) AS BIGINT) AS n FROM c,
   (VALUES {', '.join(f"(CAST({f} AS DOUBLE))" for f in FRACTIONS)}) v(fr)""")
 def split_learning_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested learning-curve subset sizes."""
-    s = P.learning_subsets(feature_frame(spark, sf_dir).drop(SEQ), FRACTIONS)
+    s = P.learning_subsets(model_input(spark, sf_dir), FRACTIONS)
     return s.groupBy("fraction").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _hash_sql(seed: int, salt: int) -> str:
+    return f"CAST('0x' || substr(md5(reading_id || ':{seed}:{salt}'), 1, 15) AS BIGINT)"
+
+
+@register("split_stratified_rows", sql=f"""
+WITH r AS (SELECT reading_id, row_number() OVER (PARTITION BY quality_class ORDER BY {_hash_sql(42, 0)}, reading_id) AS rn,
+  count(*) OVER (PARTITION BY quality_class) AS n FROM ({FEAT_SQL}) f)
+SELECT reading_id, CASE WHEN rn <= ceil(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM r""")
+def split_stratified_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows train."""
+    return P.stratified_split(model_input(spark, sf_dir), "quality_class").select("reading_id", "split")
+
+
+@register("split_fold_rows", sql=f"""
+WITH r AS (SELECT reading_id, row_number() OVER (PARTITION BY quality_class ORDER BY {_hash_sql(42, 1)}, reading_id) - 1 AS rn,
+  count(*) OVER (PARTITION BY quality_class) AS n FROM ({FEAT_SQL}) f)
+SELECT reading_id, CAST(CASE WHEN rn < (n % 5) * (n // 5 + 1) THEN rn // (n // 5 + 1)
+  ELSE n % 5 + (rn - (n % 5) * (n // 5 + 1)) // greatest(n // 5, 1) END AS INT) AS fold FROM r""")
+def split_fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: the fold of every row."""
+    return P.stratified_folds(model_input(spark, sf_dir), "quality_class").select("reading_id", "fold")
+
+
+@register("split_subset_rows", sql=f"""
+WITH r AS (SELECT reading_id, row_number() OVER (ORDER BY {_hash_sql(42, 2)}, reading_id) AS rn, count(*) OVER () AS n FROM ({FEAT_SQL}) f)
+SELECT reading_id, min(fr) AS from_fraction FROM r, (VALUES {', '.join(f"(CAST({f} AS DOUBLE))" for f in FRACTIONS)}) v(fr)
+WHERE rn <= ceil(fr * n) GROUP BY reading_id""")
+def split_subset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fraction that holds each row."""
+    return P.first_fraction(model_input(spark, sf_dir), FRACTIONS).select("reading_id", "from_fraction")
+
+
+@register("split_label_decoding", sql=f"""
+WITH d AS (SELECT DISTINCT quality_class FROM ({S.READINGS}) r), c AS (SELECT quality_class, dense_rank() OVER (ORDER BY quality_class) - 1 AS at FROM d)
+SELECT r.reading_id, r.quality_class, CAST(c.at AS DOUBLE) AS label_index, c.quality_class AS decoded FROM ({S.READINGS}) r JOIN c USING (quality_class)""")
+def split_label_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels encoded and decoded again by the inverse."""
+    r = load_readings(spark, sf_dir)
+    model, inverse = P.label_encoder(r, "quality_class")
+    coded = model.transform(r.select("reading_id", "quality_class")).withColumn("prediction", F.col("label_index"))
+    return inverse.transform(coded).select("reading_id", "quality_class", "label_index", F.col("quality_class_pred").alias("decoded"))
+
+
 @register("split_smote")
 def split_smote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SMOTE balance on the anomaly training rows (26 non-turbidity features)."""
     feats = features_no_leak()
-    s = P.chronological_split(feature_frame(spark, sf_dir).drop(SEQ)).filter(F.col("split") == "train")
+    s = P.chronological_split(model_input(spark, sf_dir)).filter(F.col("split") == "train")
     sm = ML.smote(s, feats, "anomaly", "reading_id", k=3)
     return sm.groupBy("anomaly", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
@@ -189,49 +234,67 @@ def _once(name: str, run, spark: SparkSession, sf_dir: str):
     return STUDIES[key][1]
 
 
+def _classes(df: DataFrame) -> list[str]:
+    """The labels in alphabetical order (P4): a handful of values."""
+    return sorted(r[0] for r in df.select("quality_class").distinct().collect() if r[0] is not None)
+
+
+def _class_number(labels: list[str]) -> Column:
+    return F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("quality_class")) - 1
+
+
+def _label_of(labels: list[str], number: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), number.cast("int") + 1)
+
+
+def _likeliest(labels: list[str], output: str = "output") -> Column:
+    return _label_of(labels, F.array_position(output, F.array_max(output)) - 1)
+
+
+def _boosted_predictions(df: DataFrame, labels: list[str], fits: dict[str, tuple[str, Column]], keep: list[str]) -> DataFrame:
+    """(keep..., fit, output): every fit (learner, rows to train on) grown together, then applied to all rows of ``df``."""
+    grown = B.fit_many(df, features_full(), _class_number(labels), {n: (B.LEARNERS[kind], rows) for n, (kind, rows) in fits.items()}, len(labels))
+    return grown.predict(df, keep)
+
+
 def _classifier_run(spark: SparkSession, sf_dir: str):
     feats = features_full()
     df = materialize(P.stratified_split(model_input(spark, sf_dir), "quality_class"), "split")
+    labels = _classes(df)
     train = materialize(P.class_weights(df.filter(F.col("split") == "train"), "quality_class"), "train")
     test = df.filter(F.col("split") == "test")
-    specs = {"random_forest": ML.make_classifier("random_forest"),
-             "boosted": ML.make_classifier("boosted", weight_col=None),
-             "gradient_boosting": ML.make_classifier("gradient_boosting", weight_col=None)}
-    fitted, preds = {}, None
-    for name, est in specs.items():
-        model = ML.classification_pipeline(est, feats, "quality_class").fit(train)
-        labels = model.stages[0].labels
-        p = model.transform(test)
-        lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
-        p = p.withColumn("pred", lab)
-        for c in labels:
-            p = ML.class_probability(p, model, c, "quality_class", out=f"p_{c}")
-        p = p.select(F.lit(name).alias("model"), "reading_id", F.col("quality_class").alias("y"), "pred",
-                     *[f"p_{c}" for c in labels])
-        fitted[name] = model
-        preds = p if preds is None else preds.unionByName(p)
-    return fitted, materialize(preds, "predictions"), labels
+    model = ML.classification_pipeline(ML.make_classifier("random_forest"), feats, "quality_class").fit(train)
+    p = model.transform(test).withColumn("pred", _label_of(model.stages[0].labels, F.col("prediction")))
+    for c in labels:
+        p = ML.class_probability(p, model, c, "quality_class", out=f"p_{c}")
+    p = p.select(F.lit("random_forest").alias("model"), "reading_id", F.col("quality_class").alias("y"), "pred", *[f"p_{c}" for c in labels])
+    trained = F.col("split") == "train"
+    b = _boosted_predictions(df, labels, {m: (m, trained) for m in BOOSTED}, ["reading_id", "quality_class", "split"]).filter(~trained)
+    b = b.select(F.col("fit").alias("model"), "reading_id", F.col("quality_class").alias("y"), _likeliest(labels).alias("pred"),
+                 *[F.col("output")[i].alias(f"p_{c}") for i, c in enumerate(labels)])
+    return materialize(p.unionByName(b), "predictions"), labels
 
 
 @register("model_classifier_comparison")
 def model_classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classifier comparison with the best marked."""
-    _, preds, labels = _once("classifiers", _classifier_run, spark, sf_dir)
+    """Classifier comparison with cross-validation mean, deviation and gap, the best marked."""
+    preds, labels = _once("classifiers", _classifier_run, spark, sf_dir)
     summ = M.classification_summary(preds, ["model"], "y", "pred")
     long = preds.select("model", "reading_id", "y", F.explode(F.array(*[
         F.struct(F.lit(c).alias("label"), F.col(f"p_{c}").alias("score")) for c in labels])).alias("c"))
     long = long.select("model", F.col("c.label").alias("label"), (F.col("y") == F.col("c.label")).cast("int")
                        .alias("is_class"), F.col("c.score").alias("score"))
     auc = M.roc_auc_ovr(long, ["model"], "label", "is_class", "score")
-    table = summ.join(auc, "model", "left")
-    best = ML.best_model(table, "f1_macro").select(F.col("best").alias("model")).withColumn("is_best", F.lit(True))
+    cv = _cv_table(spark, sf_dir).select("model", "cv_mean", "cv_std", "train_mean", "gap")
+    table = materialize(summ.join(auc, "model", "left").join(cv, "model", "left"), "comparison")
+    best = ML.best_model(table, "f1_macro", MODELS).select(F.col("best").alias("model")).withColumn("is_best", F.lit(True))
     return table.join(best, "model", "left").fillna(False, subset=["is_best"])
 
 
 @register("model_classifier_per_class")
 def model_classifier_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-class detail of every classifier."""
-    _, preds, _ = _once("classifiers", _classifier_run, spark, sf_dir)
+    preds, _ = _once("classifiers", _classifier_run, spark, sf_dir)
     return M.per_class(preds, ["model"], "y", "pred")
 
 
@@ -248,25 +311,21 @@ def model_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _regression_run(spark: SparkSession, sf_dir: str):
     feats = features_full()
-    df = P.chronological_split(model_input(spark, sf_dir)).withColumn("target", F.col("wqi")).checkpoint()
+    df = materialize(P.chronological_split(model_input(spark, sf_dir)).withColumn("target", F.col("wqi")), "regression")
     train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
-    specs = {"random_forest": ML.make_regressor("random_forest"),
-             "boosted": ML.make_regressor("boosted"),
-             "gradient_boosting": ML.make_regressor("gradient_boosting")}
-    preds = None
-    for name, est in specs.items():
-        p = ML.regression_pipeline(est, feats).fit(train).transform(test)
-        p = p.select(F.lit(name).alias("model"), "reading_id", "station_id", "ts", F.col("target").alias("y"),
-                     F.col("prediction").alias("p"))
-        preds = p if preds is None else preds.unionByName(p)
-    return materialize(preds, "predictions")
+    p = ML.regression_pipeline(ML.make_regressor("random_forest"), feats).fit(train).transform(test).select(
+        F.lit("random_forest").alias("model"), "reading_id", "station_id", "ts", F.col("target").alias("y"), F.col("prediction").alias("p"))
+    grown = B.fit_many(df, feats, F.col("target"), {m: (B.LEARNERS[m], F.col("split") == "train") for m in BOOSTED})
+    b = grown.predict(test, ["reading_id", "station_id", "ts", "target"]).select(
+        F.col("fit").alias("model"), "reading_id", "station_id", "ts", F.col("target").alias("y"), F.col("output")[0].alias("p"))
+    return materialize(p.unionByName(b), "predictions")
 
 
 @register("model_regressor_comparison")
 def model_regressor_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regressor comparison (chronological split)."""
-    r = M.regression_metrics(_once("regressors", _regression_run, spark, sf_dir), ["model"], "y", "p")
-    best = ML.best_model(r, "r2").select(F.col("best").alias("model")).withColumn("is_best", F.lit(True))
+    r = materialize(M.regression_metrics(_once("regressors", _regression_run, spark, sf_dir), ["model"], "y", "p"), "comparison")
+    best = ML.best_model(r, "r2", MODELS).select(F.col("best").alias("model")).withColumn("is_best", F.lit(True))
     return r.join(best, "model", "left").fillna(False, subset=["is_best"])
 
 
@@ -319,7 +378,7 @@ def _anomaly_run(spark: SparkSession, sf_dir: str):
 def model_one_class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: share of the normal training rows that the one-class detector flags, against nu."""
     feats = features_no_leak()
-    train = P.chronological_split(feature_frame(spark, sf_dir).drop(SEQ)).filter((F.col("split") == "train") & (F.col("anomaly") == 0))
+    train = P.chronological_split(model_input(spark, sf_dir)).filter((F.col("split") == "train") & (F.col("anomaly") == 0))
     train = materialize(P.apply_standardizer(train, P.fit_standardizer(train, feats), feats), "normal")
     out = None
     for nu in (0.02, 0.05, 0.10):
@@ -340,7 +399,7 @@ def model_anomaly_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
                        .alias("f1"))
     out = (counts.join(f1, "model").join(M.average_precision(preds, ["model"], "y", "score"), "model")
                  .join(M.roc_auc(preds, ["model"], "y", "score"), "model"))
-    best = ML.best_model(out, "f1").select(F.col("best").alias("model")).withColumn("is_best", F.lit(True))
+    best = ML.best_model(out, "f1", ("isolation_forest", "rf_smote", "one_class")).select(F.col("best").alias("model")).withColumn("is_best", F.lit(True))
     return out.join(best, "model", "left").fillna(False, subset=["is_best"])
 
 
@@ -390,24 +449,37 @@ def _side_by_side(jobs: list[Callable[[], DataFrame]]) -> DataFrame:
         return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(lambda job: job()), jobs))
 
 
-def _fitted(name: str, train: DataFrame) -> tuple[PipelineModel, Column]:
-    """A classifier of the studies and its predicted label; without the indexer it also scores rows of a label that ``train`` lacks."""
-    rows = P.class_weights(train, "quality_class") if name == "random_forest" else train
-    model = ML.classification_pipeline(ML.make_classifier(name), features_full(), "quality_class").fit(rows)
-    lab = F.element_at(F.array(*[F.lit(x) for x in model.stages[0].labels]), F.col("prediction").cast("int") + 1)
-    return PipelineModel(model.stages[1:]), lab
+def _forest(train: DataFrame) -> tuple[PipelineModel, Column]:
+    """The studies' forest and its predicted label; without the indexer it also scores rows of a label that ``train`` lacks."""
+    model = ML.classification_pipeline(ML.make_classifier("random_forest"), features_full(), "quality_class").fit(P.class_weights(train, "quality_class"))
+    return PipelineModel(model.stages[1:]), _label_of(model.stages[0].labels, F.col("prediction"))
+
+
+def _name(kind: str, *tags) -> str:
+    return "|".join([kind, *map(str, tags)])
+
+
+def _tag(i: int) -> Column:
+    return F.split("fit", r"\|")[i]
 
 
 def _cv_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = P.stratified_split(model_input(spark, sf_dir), "quality_class").filter(F.col("split") == "train")
     df = materialize(P.stratified_folds(seen, "quality_class"), "folds")
+    labels = _classes(df)
+
+    def columns(name: Column, k: Column, pred: Column) -> list[Column]:
+        return [name.alias("model"), k.alias("cv_fold"), F.when(F.col("fold") == k, "test").otherwise("train").alias("role"),
+                F.col("quality_class").alias("y"), pred.alias("pred")]
 
-    def job(name: str, k: int) -> DataFrame:
-        model, lab = _fitted(name, df.filter(F.col("fold") != k))
-        return materialize(model.transform(df).select(
-            F.lit(name).alias("model"), F.lit(k).alias("cv_fold"), F.when(F.col("fold") == k, "test").otherwise("train").alias("role"),
-            F.col("quality_class").alias("y"), lab.alias("pred")), "cv")
-    return _side_by_side([lambda name=name, k=k: job(name, k) for name in MODELS for k in range(5)])
+    def forest(k: int) -> DataFrame:
+        model, lab = _forest(df.filter(F.col("fold") != k))
+        return materialize(model.transform(df).select(columns(F.lit("random_forest"), F.lit(k), lab)), "cv")
+
+    def boosted() -> DataFrame:
+        out = _boosted_predictions(df, labels, {_name(m, k): (m, F.col("fold") != k) for m in BOOSTED for k in range(5)}, ["quality_class", "fold"])
+        return materialize(out.select(columns(_tag(0), _tag(1).cast("int"), _likeliest(labels))), "cv")
+    return _side_by_side([boosted, *[lambda k=k: forest(k) for k in range(5)]])
 
 
 def _cv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,14 +490,21 @@ def _cv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _time_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = materialize(P.time_folds(model_input(spark, sf_dir)), "time-folds")
+    df = materialize(P.time_roles(model_input(spark, sf_dir)), "time-folds")
+    labels = _classes(df)
+    role = [F.col("roles")[k] for k in range(5)]
+
+    def forest(k: int) -> DataFrame:
+        model, lab = _forest(df.filter(role[k] == "train"))
+        return materialize(model.transform(df.filter(role[k] == "test")).select(
+            F.lit("random_forest").alias("model"), F.lit(k).alias("time_fold"), F.col("quality_class").alias("y"), lab.alias("pred")), "time")
 
-    def job(name: str, k: int) -> DataFrame:
-        part = tf.filter(F.col("time_fold") == k)
-        model, lab = _fitted(name, part.filter(F.col("role") == "train"))
-        return materialize(model.transform(part.filter(F.col("role") == "test")).select(
-            F.lit(name).alias("model"), "time_fold", F.col("quality_class").alias("y"), lab.alias("pred")), "time")
-    return _side_by_side([lambda name=name, k=k: job(name, k) for name in MODELS for k in range(5)])
+    def boosted() -> DataFrame:
+        out = _boosted_predictions(df, labels, {_name(m, k): (m, role[k] == "train") for m in BOOSTED for k in range(5)}, ["quality_class", "roles"])
+        fold = _tag(1).cast("int")
+        return materialize(out.filter(F.get("roles", fold) == "test").select(
+            _tag(0).alias("model"), fold.alias("time_fold"), F.col("quality_class").alias("y"), _likeliest(labels).alias("pred")), "time")
+    return _side_by_side([boosted, *[lambda k=k: forest(k) for k in range(5)]])
 
 
 def _time_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,19 +519,29 @@ def validation_time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _time_table(spark, sf_dir)
 
 
+def _noisy(test: DataFrame, sigmas: list[float], columns: list[str]) -> DataFrame:
+    """The held-out rows once per noise level."""
+    return reduce(DataFrame.unionByName, [P.with_noise(test, features_no_leak(), s).withColumn("sigma", F.lit(s)).select(*columns, "sigma") for s in sigmas])
+
+
 def _noise_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = features_full()
     s = P.stratified_split(model_input(spark, sf_dir), "quality_class")
     stats = P.fit_standardizer(s.filter(F.col("split") == "train"), feats)
     scaled = materialize(P.apply_standardizer(s, stats, feats), "scaled")
-    train, test = scaled.filter(F.col("split") == "train"), scaled.filter(F.col("split") == "test")
+    labels = _classes(scaled)
+    train = scaled.filter(F.col("split") == "train")
+    test = _noisy(scaled.filter(F.col("split") == "test"), CLASS_SIGMAS, ["quality_class", *feats])
 
-    def job(name: str) -> DataFrame:
-        model, lab = _fitted(name, train)
-        return materialize(reduce(DataFrame.unionByName, [model.transform(P.with_noise(test, features_no_leak(), sigma)).select(
-            F.lit(name).alias("model"), F.lit(sigma).alias("sigma"), F.col("quality_class").alias("y"), lab.alias("pred"))
-            for sigma in CLASS_SIGMAS]), "noise")
-    return _side_by_side([lambda name=name: job(name) for name in MODELS])
+    def forest() -> DataFrame:
+        model, lab = _forest(train)
+        return materialize(model.transform(test).select(F.lit("random_forest").alias("model"), "sigma", F.col("quality_class").alias("y"), lab.alias("pred")), "noise")
+
+    def boosted() -> DataFrame:
+        grown = B.fit_many(train, feats, _class_number(labels), {m: (B.LEARNERS[m], F.lit(True)) for m in BOOSTED}, len(labels))
+        return materialize(grown.predict(test, ["sigma", "quality_class"]).select(
+            F.col("fit").alias("model"), "sigma", F.col("quality_class").alias("y"), _likeliest(labels).alias("pred")), "noise")
+    return _side_by_side([boosted, forest])
 
 
 def _noise_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,14 +560,19 @@ def _noise_regression_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = features_full()
     s = P.chronological_split(model_input(spark, sf_dir)).withColumn("target", F.col("wqi"))
     scaled = materialize(P.apply_standardizer(s, P.fit_standardizer(s.filter(F.col("split") == "train"), feats), feats), "scaled")
-    train, test = scaled.filter(F.col("split") == "train"), scaled.filter(F.col("split") == "test")
+    train = scaled.filter(F.col("split") == "train")
+    test = _noisy(scaled.filter(F.col("split") == "test"), NUMBER_SIGMAS, ["target", *feats])
 
-    def job(name: str) -> DataFrame:
-        model = ML.regression_pipeline(ML.make_regressor(name), feats).fit(train)
-        return materialize(reduce(DataFrame.unionByName, [model.transform(P.with_noise(test, features_no_leak(), sigma)).select(
-            F.lit(name).alias("model"), F.lit(sigma).alias("sigma"), F.col("target").alias("y"), F.col("prediction").alias("p"))
-            for sigma in NUMBER_SIGMAS]), "noise-r2")
-    return _side_by_side([lambda name=name: job(name) for name in MODELS])
+    def forest() -> DataFrame:
+        model = ML.regression_pipeline(ML.make_regressor("random_forest"), feats).fit(train)
+        return materialize(model.transform(test).select(
+            F.lit("random_forest").alias("model"), "sigma", F.col("target").alias("y"), F.col("prediction").alias("p")), "noise-r2")
+
+    def boosted() -> DataFrame:
+        grown = B.fit_many(train, feats, F.col("target"), {m: (B.LEARNERS[m], F.lit(True)) for m in BOOSTED})
+        return materialize(grown.predict(test, ["sigma", "target"]).select(
+            F.col("fit").alias("model"), "sigma", F.col("target").alias("y"), F.col("output")[0].alias("p")), "noise-r2")
+    return _side_by_side([boosted, forest])
 
 
 def _regression_noise_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -529,17 +623,34 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _curve_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = materialize(P.stratified_folds(model_input(spark, sf_dir), "quality_class", k=3), "folds")
-    subs = [materialize(P.learning_subsets(df.filter(F.col("fold") != k), FRACTIONS, seed=k), "subsets") for k in range(3)]
-
-    def job(name: str, k: int, frac: float) -> DataFrame:
-        train = subs[k].filter(F.col("fraction") == frac).drop("fraction")
-        model, lab = _fitted(name, train)
-        rows = df.filter(F.col("fold") == k).withColumn("role", F.lit("test")).unionByName(train.withColumn("role", F.lit("train")))
-        return materialize(model.transform(rows).select(
-            F.lit(name).alias("model"), F.lit(frac).alias("fraction"), F.lit(k).alias("cv_fold"), "role",
-            F.col("quality_class").alias("y"), lab.alias("pred")), "curve")
-    return _side_by_side([lambda name=name, k=k, frac=frac: job(name, k, frac) for name in MODELS for k in range(3) for frac in FRACTIONS])
+    seen = P.stratified_split(model_input(spark, sf_dir), "quality_class").filter(F.col("split") == "train")
+    df = P.stratified_folds(seen, "quality_class", k=3)
+    for k in range(3):      # the first fraction in which a row trains for fold k; null for its own test rows
+        df = P.first_fraction(df, FRACTIONS, f"from_{k}", rows=F.col("fold") != k, seed=k)
+    df = materialize(df, "curve-rows")
+    labels = _classes(df)
+    grid = [(k, f) for k in range(3) for f in FRACTIONS]
+
+    def trains(k: int, frac: float) -> Column:
+        return F.coalesce(F.col(f"from_{k}") <= frac, F.lit(False))
+
+    def columns(name: Column, frac: Column, k: Column, test: Column, pred: Column) -> list[Column]:
+        return [name.alias("model"), frac.alias("fraction"), k.alias("cv_fold"), F.when(test, "test").otherwise("train").alias("role"),
+                F.col("quality_class").alias("y"), pred.alias("pred")]
+
+    def forest(k: int, frac: float) -> DataFrame:
+        model, lab = _forest(df.filter(trains(k, frac)))
+        rows = df.filter((F.col("fold") == k) | trains(k, frac))
+        return materialize(model.transform(rows).select(columns(F.lit("random_forest"), F.lit(frac), F.lit(k), F.col("fold") == k, lab)), "curve")
+
+    def boosted() -> DataFrame:
+        keep = ["quality_class", "fold", "from_0", "from_1", "from_2"]
+        out = _boosted_predictions(df, labels, {_name(m, k, f): (m, trains(k, f)) for m in BOOSTED for k, f in grid}, keep)
+        k, frac = _tag(1).cast("int"), _tag(2).cast("double")
+        own = F.get(F.array("from_0", "from_1", "from_2"), k) <= frac
+        return materialize(out.filter((F.col("fold") == k) | F.coalesce(own, F.lit(False))).select(
+            columns(_tag(0), frac, k, F.col("fold") == k, _likeliest(labels))), "curve")
+    return _side_by_side([boosted, *[lambda k=k, f=f: forest(k, f) for k, f in grid]])
 
 
 @register("validation_learning_curve")

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from fixture_paths import SMALL
 from riverlens.operators import metrics as M
 from riverlens.sources.adapters import load_predictions
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from fixture_paths import MEDIUM, SMALL
 from riverlens.operators import alerts as A
 from riverlens.operators import features as FE
 from riverlens.plans.ordering import SEQ, sequence_index, weighted_prefix
@@ -55,7 +55,6 @@ def test_feature_plan_reads_written_ranges_and_runs_no_python(spark):
 
 def test_episode_counts_match_fixture_measurement(spark):
     """FIXTURES.md measured 1,916 layer-1 episodes over 4,070 non-green readings at sf0.01."""
-    from conftest import MEDIUM
     r = load_readings(spark, MEDIUM)
     al = A.with_alerts(FE.build_features(r, dropna=False).withColumn("prob_aceptable", F.lit(0.0)))
     ep = A.episodes(al, "level_layer1").agg(F.count(F.lit(1)).alias("n"), F.sum("n_readings").alias("rows")).first()

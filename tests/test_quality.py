@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from fixture_paths import SMALL
 from riverlens.operators import quality as Q
 from riverlens.sources.adapters import load_readings, load_survey
 

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from fixture_paths import SMALL
 from riverlens.operators import features as FE
 from riverlens.operators import models as ML
 from riverlens.operators import splits as P

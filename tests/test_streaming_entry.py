@@ -2,7 +2,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from fixture_paths import SMALL
 import __spark_entry__ as E
 from riverlens.operators import alerts as A
 from riverlens.operators import features as FE

@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from fixture_paths import SMALL
 from riverlens.functions.distributions import chi2_sf, fisher_two_sided, t_two_sided
 from riverlens.operators import survey as V
 from riverlens.sources.adapters import load_survey

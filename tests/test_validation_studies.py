@@ -1,8 +1,11 @@
 """The validation studies run every model; small models stand in for the full ones."""
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from fixture_paths import SMALL
+from riverlens.operators import boosting as B
 from riverlens.operators import models as ML
 from riverlens.plans import queries_models as Q
 from riverlens.session import materialize, release_tables
@@ -12,8 +15,9 @@ MODELS = ["boosted", "gradient_boosting", "random_forest"]
 
 @pytest.fixture(autouse=True)
 def small_models(monkeypatch):
-    for name, size in (("random_forest", dict(numTrees=5)), ("boosted", dict(maxIter=2)), ("gradient_boosting", dict(maxIter=1))):
-        monkeypatch.setitem(ML.CLASSIFIER_PARAMS, name, {**ML.CLASSIFIER_PARAMS[name], **size})
+    monkeypatch.setitem(ML.CLASSIFIER_PARAMS, "random_forest", {**ML.CLASSIFIER_PARAMS["random_forest"], "numTrees": 5})
+    for name, rounds in (("boosted", 2), ("gradient_boosting", 1)):
+        monkeypatch.setitem(B.LEARNERS, name, replace(B.LEARNERS[name], rounds=rounds))
     monkeypatch.setattr(Q, "FRACTIONS", [0.5, 1.0])
 
 
