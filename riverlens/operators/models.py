@@ -6,8 +6,8 @@
   parallel with ``groupBy(tree).applyInPandas`` and scores with
   ``mapInPandas`` against a tree table whose size is fixed by the parameters
   (trees x 2 x sample size), never by the data.
-* SMOTE finds exact k nearest minority neighbours with a two-round slab
-  join on a random projection (no all-pairs join), then interpolates.
+* SMOTE finds the exact k nearest minority neighbours through a box index
+  (``neighbours``), then interpolates.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from ..functions.stats import exact_quantiles
 from ..plans.ordering import SEQ, sequence_index
 from ..session import materialize
+from .neighbours import nearest
 
 # ------------------------------------------------------------------ estimators
 # Hyper-parameters that must match (those of boosted trees: ``boosting.LEARNERS``).
@@ -198,59 +199,6 @@ def score_isolation_forest(df: DataFrame, trees: DataFrame, features: list[str],
 
 
 # ------------------------------------------------------------------------ SMOTE
-def knn_exact(points: DataFrame, features: list[str], k: int, key: str = "pid", seed: int = 42,
-              slabs: int = 64) -> DataFrame:
-    """Exact k nearest neighbours (excluding self): (key, nb, rank, dist).
-
-    Round 1 pairs each point with the points of its own projection slab and
-    the two adjacent ones (slabs hold equal counts), giving an upper bound r
-    on its k-th distance.
-    Round 2 pairs it with every slab its projection +- r touches; any true
-    neighbour lies there (|projection difference| <= distance). Only slab
-    neighbourhoods are joined, never all pairs.
-    """
-    rng = np.random.default_rng(seed)
-    w = rng.normal(size=len(features))
-    w /= np.linalg.norm(w)
-    vec = F.array(*[F.col(f).cast("double") for f in features])
-    proj = F.aggregate(F.zip_with(F.col("v"), F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b),
-                       F.lit(0.0), lambda acc, v: acc + v)
-    # Read several times below: cut the lineage once (a reliable checkpoint).
-    pts = points.select(F.col(key).alias("q"), vec.alias("v")).withColumn("p", proj.alias("p")).checkpoint()
-    stats = pts.agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count(F.lit(1)).alias("m")).first()
-    lo, hi, m = float(stats["lo"] or 0.0), float(stats["hi"] or 0.0), int(stats["m"])
-    # Equal-count slabs: cut points are approximate quantiles of the projection,
-    # so no slab holds more than about m / slabs points even when the data bunch up.
-    slabs = max(slabs, min(4096, m // 512))
-    cuts = sorted(set(pts.approxQuantile("p", [i / slabs for i in range(1, slabs)], 0.5 / slabs))) or [hi + 1.0]
-    cut_arr = F.array(*[F.lit(float(c)) for c in cuts])
-
-    def slab_of(x):
-        return F.aggregate(cut_arr, F.lit(0).cast("long"),
-                           lambda acc, c: acc + F.when(c <= x, F.lit(1)).otherwise(F.lit(0)).cast("long"))
-
-    pts = pts.withColumn("s", slab_of(F.col("p")))
-    other = pts.select(F.col("q").alias("nb"), F.col("v").alias("nv"), F.col("s").alias("ns"))
-    dist = F.sqrt(F.aggregate(F.zip_with("v", "nv", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                              lambda acc, x: acc + x))
-
-    def pairs(queries: DataFrame) -> DataFrame:
-        return (queries.select("q", "v", F.explode("slabs").alias("qs"))
-                .join(other, F.col("qs") == F.col("ns"))
-                .filter(F.col("q") != F.col("nb"))
-                .select("q", "nb", dist.alias("dist")))
-
-    w_rank = Window.partitionBy("q").orderBy("dist", "nb")
-    near = pts.withColumn("slabs", F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1))
-    r1 = (pairs(near).withColumn("rk", F.row_number().over(w_rank)).filter(F.col("rk") == k)
-                     .select("q", F.col("dist").alias("r")))
-    # points with fewer than k candidates in round 1 search the whole projection range
-    far = pts.join(r1, "q", "left").withColumn("r", F.coalesce("r", F.lit(hi - lo + 1.0)))
-    span = far.withColumn("slabs", F.sequence(slab_of(F.col("p") - F.col("r")), slab_of(F.col("p") + F.col("r"))))
-    r2 = pairs(span).withColumn("rank", F.row_number().over(w_rank)).filter(F.col("rank") <= k)
-    return r2.select(F.col("q").alias(key), "nb", "rank", "dist")
-
-
 def smote(df: DataFrame, features: list[str], label: str = "anomaly", key: str = "reading_id",
           k: int = 3, seed: int = 42) -> DataFrame:
     """Balance the minority class 1:1 with interpolated synthetic rows.
@@ -272,7 +220,7 @@ def smote(df: DataFrame, features: list[str], label: str = "anomaly", key: str =
     minority = sequence_index(df.filter(F.col(label) == 1).select(key, *features).withColumn("_one", F.lit(1)),
                               key="_one", order=key, tiebreak=key).select(F.col(SEQ).alias("pid"), key, *features)
     minority = minority.checkpoint()
-    nbrs = knn_exact(minority.select("pid", *features), features, k, "pid", seed)
+    nbrs, _ = nearest(minority.select("pid", *features), features, k, "pid", seed)
     n_syn = n_neg - n_pos
     per, extra = divmod(n_syn, n_pos)
     gen = (minority.withColumn("_cnt", F.lit(per) + F.when(F.col("pid") < extra, 1).otherwise(0))

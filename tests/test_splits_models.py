@@ -5,6 +5,7 @@ from fixture_paths import SMALL
 from riverlens.operators import features as FE
 from riverlens.operators import models as ML
 from riverlens.operators import splits as P
+from riverlens.operators.neighbours import nearest
 from riverlens.plans.ordering import SEQ
 from riverlens.schema import features_no_leak
 from riverlens.sources.adapters import load_readings
@@ -34,7 +35,7 @@ def test_knn_exact_and_smote_balanced(spark):
     f = _feats(spark)
     feats = features_no_leak()[:6]
     pts = f.filter("anomaly = 1").select(F.col("reading_id").alias("pid"), *feats)
-    nb = ML.knn_exact(pts, feats, 3, "pid").toPandas()
+    nb = nearest(pts, feats, 3, "pid")[0].toPandas()
     pdf = pts.toPandas()
     X = pdf[feats].to_numpy(float)
     D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
