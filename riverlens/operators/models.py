@@ -13,7 +13,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from ..functions.stats import exact_quantiles
 from ..plans.ordering import SEQ, sequence_index
 from ..session import materialize
+from .boosting import uniform
 from .neighbours import nearest
 
 # ------------------------------------------------------------------ estimators
@@ -132,29 +133,53 @@ def _grow(tree_id: int, x: np.ndarray, max_depth: int, seed: int) -> list[tuple]
     return nodes
 
 
+def drawn_trees(keys: np.ndarray, n_trees: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, tree) pairs: every row joins every tree with probability ``rate``, by its key alone.
+
+    A row leaps from one of its trees to the next by geometric gaps, so it
+    costs one draw plus one per tree it joins, however many trees there are.
+    """
+    if rate >= 1:
+        rows, trees = np.divmod(np.arange(len(keys) * n_trees), n_trees)
+        return rows, trees
+    rows, at, draw, out = np.arange(len(keys)), np.full(len(keys), -1.0), 0, []
+    while len(rows):
+        u = uniform(keys[rows], seed, draw)
+        at = at + 1 + np.floor(np.log1p(-u) / math.log1p(-rate))
+        inside = at < n_trees
+        rows, at, draw = rows[inside], at[inside], draw + 1
+        out.append((rows, at.astype(np.int64)))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
 def fit_isolation_forest(df: DataFrame, features: list[str], key: str = "reading_id", n_trees: int = 200,
                          sample_size: int = 256, seed: int = 42) -> DataFrame:
     """M7 training: returns the tree table (tree, node, feature, threshold, left, right, size, depth).
 
-    Each row joins tree t when its hash falls under a rate that over-samples
-    by 1.5x; the ``sample_size`` smallest hashes per tree are kept (a window
-    over ~1.5 x sample_size rows per tree).
+    Rows join trees at a rate that over-samples by half (``drawn_trees``); each
+    tree keeps the ``sample_size`` smallest hashes of its rows. Both depend on
+    keys only: any partitioning gives the same trees. A row without a key joins none.
     """
     n = df.count()
     psi = min(sample_size, n)
-    rate = min(1.0, 1.5 * psi / max(n, 1)) if n > psi else 1.0
+    rate = 1.5 * psi / max(n, 1)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    cut = int(rate * (1 << 30))
-    picks = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 30)) < F.lit(cut))
-    sampled = (df.select(key, *features, F.explode(picks).alias("tree"))
-                 .withColumn("_h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed), F.lit(7))))
-    ranked = sampled.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", key)))
-    sample = ranked.filter(F.col("_r") <= psi).drop("_h", "_r")
+    rows = df.select(F.col(key).cast("long").alias("_key"), *[F.col(f).cast("double").alias(f) for f in features]).filter("_key is not null")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = batch["_key"].to_numpy(np.int64)
+            at, tree = drawn_trees(keys, n_trees, rate, seed)
+            picked = batch.iloc[at].assign(tree=tree.astype(np.int32))
+            picked["_h"] = uniform(keys[at] * 1_000_003 + tree, seed + 1, 0)
+            yield picked
+
+    sample = rows.mapInPandas(draw, T.StructType([*rows.schema.fields, T.StructField("tree", T.IntegerType()), T.StructField("_h", T.DoubleType())]))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tid = int(pdf["tree"].iloc[0])
-        x = pdf[features].to_numpy(dtype=float)
+        kept = pdf.sort_values(["_h", "_key"]).head(psi)        # about 1.5 x sample_size rows come in
+        x = kept[features].to_numpy(dtype=float)
         return pd.DataFrame(_grow(tid, x, max_depth, seed),
                             columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"]).assign(psi=psi)
 
@@ -238,15 +263,52 @@ def smote(df: DataFrame, features: list[str], label: str = "anomaly", key: str =
 
 
 # ------------------------------------------------------------ one-class detector
-def fit_one_class(normal: DataFrame, features: list[str], nu: float, n_components: int = 64,
-                  seed: int = 42, iterations: int = 30, bins: int = 256) -> dict:
-    """M9 (re-aimed): RBF kernel via random Fourier features, linear one-class objective.
-
-    gamma = 1 / (p * var) as sklearn's 'scale'. For fixed weights the best
-    offset is the nu-quantile of the scores, so each iteration is one pass
-    that counts rows and sums their features by score bin (``bins`` rows come
-    back): the bins give the quantile, the sums of those below it the
-    subgradient. Weights are averaged; the final offset is the exact quantile
+def _least_norm(atoms: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Weights of the convex combination of ``atoms`` with the smallest norm (projected gradient on a small simplex)."""
+    gram = atoms @ atoms.T
+    step = 1.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-300)
+    lam, ahead, t = start, start, 1.0
+    for _ in range(2000):
+        raw = ahead - step * (gram @ ahead)
+        down = np.sort(raw)[::-1]
+        over = (np.cumsum(down) - 1) / np.arange(1, len(down) + 1)
+        new = np.maximum(0.0, raw - over[np.flatnonzero(down > over)[-1]])
+        grown = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        ahead, moved = new + (t - 1) / grown * (new - lam), float(np.abs(new - lam).max())
+        lam, t = new, grown
+        if moved < 1e-12:
+            break
+    return lam
+
+
+class KernelMap:
+    """Nystroem features of the RBF kernel: z(x) = K(x, landmarks) K(landmarks, landmarks)^(-1/2)."""
+
+    def __init__(self, landmarks: np.ndarray, gamma: float):
+        self.landmarks, self.gamma = landmarks, gamma
+        values, vectors = np.linalg.eigh(self.kernel(landmarks))
+        keep = values > 1e-10 * values[-1]
+        self.root = vectors[:, keep] / np.sqrt(values[keep])
+
+    def kernel(self, x: np.ndarray) -> np.ndarray:
+        gap = (x * x).sum(axis=1)[:, None] + (self.landmarks * self.landmarks).sum(axis=1) - 2 * x @ self.landmarks.T
+        return np.exp(-self.gamma * np.maximum(gap, 0.0))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self.kernel(x) @ self.root
+
+
+def fit_one_class(normal: DataFrame, features: list[str], nu: float, n_components: int = 512,
+                  seed: int = 42, iterations: int = 40, bins: int = 1024, tolerance: float = 1e-4) -> dict:
+    """M9: one-class SVM with RBF kernel on Nystroem features, gamma = 1 / (p * var) as sklearn's 'scale'.
+
+    Landmarks are ``n_components`` rows by hash. The dual's feasible set is the
+    hull of the means of nu n rows; given weights, the mean of the nu n lowest
+    scores is the vertex that improves most. One iteration finds it in two
+    passes (counts by score bin, then the sum of the features below the
+    quantile: only counts and one vector come back) and then takes the point
+    of least norm in the hull of all vertices so far, until the gap between
+    primal and dual is below ``tolerance`` of the dual. The offset is the exact quantile
     of the training scores, so about nu of them lie outside.
     """
     p = len(features)
@@ -258,40 +320,62 @@ def fit_one_class(normal: DataFrame, features: list[str], nu: float, n_component
     means = np.array([stats[f"m_{f}"] or 0.0 for f in features])
     total_var = float(np.mean([stats[f"v_{f}"] or 0.0 for f in features]) + means.var())
     gamma = 1.0 / (p * total_var) if total_var > 0 else 1.0
-    rng = np.random.default_rng(seed)
-    W = rng.normal(scale=math.sqrt(2 * gamma), size=(p, n_components))
-    b = rng.uniform(0, 2 * math.pi, size=n_components)
     n = int(stats["_n"])
-    data = materialize(normal.select(*features), "one-class")
+    data = materialize(normal.select(*[F.col(f).cast("double").alias(f) for f in features]), "one-class")
+    picked = data.orderBy(F.xxhash64(*features, F.lit(seed)), *features).limit(n_components).collect()
+    kernel = KernelMap(np.unique(np.array([list(r) for r in picked], dtype=float), axis=0), gamma)
+    width = kernel.root.shape[1]
 
-    def binned(w: np.ndarray):
-        """Counts and feature sums by score bin; a score cannot leave +-sqrt(2) * |w|."""
-        reach = math.sqrt(2.0) * float(np.linalg.norm(w)) + 1e-12
+    def place(score: np.ndarray, reach: float) -> np.ndarray:
+        return np.clip(((score / reach + 1) / 2 * bins).astype(int), 0, bins - 1)
 
+    def counts(w: np.ndarray, reach: float) -> np.ndarray:
+        def run(batches):
+            total = np.zeros(bins, dtype=np.int64)
+            for pdf in batches:
+                total += np.bincount(place(kernel(pdf.to_numpy(float)) @ w, reach), minlength=bins)
+            used = np.flatnonzero(total)
+            yield pd.DataFrame({"bin": used, "cnt": total[used]})
+        out = np.zeros(bins, dtype=np.int64)
+        for r in data.mapInPandas(run, "bin int, cnt long").groupBy("bin").agg(F.sum("cnt").alias("cnt")).collect():
+            out[r.bin] = r.cnt
+        return out
+
+    def lowest(w: np.ndarray, reach: float, cut: int, part: float) -> np.ndarray:
+        """Sum of the features of the rows below bin ``cut``, and ``part`` of those in it."""
         def run(batches):
-            counts, sums = np.zeros(bins, dtype=np.int64), np.zeros((bins, n_components))
+            total = np.zeros(width)
             for pdf in batches:
-                z = math.sqrt(2.0 / n_components) * np.cos(pdf[features].to_numpy(float) @ W + b)
-                at = np.clip(((z @ w / reach + 1) / 2 * bins).astype(int), 0, bins - 1)
-                np.add.at(counts, at, 1)
-                np.add.at(sums, at, z)
-            used = np.flatnonzero(counts)
-            yield pd.DataFrame({"bin": used, "cnt": counts[used], "g": list(sums[used])})
-
-        part = data.mapInPandas(run, "bin int, cnt long, g array<double>")
-        rows = part.groupBy("bin").agg(F.sum("cnt").alias("cnt"), F.array(*[F.sum(F.col("g")[i]) for i in range(n_components)]).alias("g")) \
-                   .orderBy("bin").collect()
-        return np.array([r.cnt for r in rows]), np.array([r.g for r in rows])
-
-    w = binned(np.zeros(n_components))[1].sum(axis=0) / n   # the mean of all rows: the solution for nu = 1
-    mean = np.zeros(n_components)
-    for it in range(iterations):
-        counts, sums = binned(w)
-        before = np.cumsum(counts) - counts
-        inside = np.clip((nu * n - before) / counts, 0, 1)    # the share of each bin below the quantile
-        w = w + (inside @ sums / (nu * n) - w) / (it + 2)
-        mean += (w - mean) / (it + 1)
-    model = {"W": W, "b": b, "w": mean, "rho": 0.0, "features": features, "gamma": gamma}
+                z = kernel(pdf.to_numpy(float))
+                at = place(z @ w, reach)
+                total += ((at < cut) + part * (at == cut)) @ z
+            yield pd.DataFrame({"i": np.arange(width), "x": total})
+        rows = data.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(width)
+        for r in rows:
+            out[r.i] = r.x
+        return out
+
+    def vertex(w: np.ndarray) -> np.ndarray:
+        reach = float(np.linalg.norm(w)) + 1e-12        # |z| is at most 1
+        found = counts(w, reach)
+        upto = np.cumsum(found)
+        cut = int(np.searchsorted(upto, nu * n))
+        part = (nu * n - (upto[cut] - found[cut])) / found[cut]
+        return lowest(w, reach, cut, float(part)) / (nu * n)
+
+    atoms = lowest(np.zeros(width), 1.0, bins, 0.0)[None, :] / n     # the mean of all rows: the solution for nu = 1
+    lam, w = np.ones(1), atoms[0]
+    for _ in range(iterations):
+        g = vertex(w)
+        if w @ w - g @ w < tolerance * (w @ w):
+            break
+        atoms = np.concatenate([atoms, g[None, :]])
+        lam = _least_norm(atoms, np.append(lam, 0.0))
+        w = lam @ atoms
+        used = lam > 1e-9
+        atoms, lam = atoms[used], lam[used] / lam[used].sum()
+    model = {"kernel": kernel, "w": w, "rho": 0.0, "features": features, "gamma": gamma}
     scores = score_one_class(data, model)
     model["rho"] = -exact_quantiles(scores, ["ocsvm_score"], [1 - nu]).first()["value"]
     return model
@@ -299,16 +383,14 @@ def fit_one_class(normal: DataFrame, features: list[str], nu: float, n_component
 
 def score_one_class(df: DataFrame, model: dict, out: str = "ocsvm_score") -> DataFrame:
     """M9 scoring: decision value rho - w.z(x); positive = outlier side."""
-    sc = df.sparkSession.sparkContext
-    bm = sc.broadcast((model["W"], model["b"], model["w"], model["rho"]))
+    shared = df.sparkSession.sparkContext.broadcast((model["kernel"], model["w"], model["rho"]))     # landmarks and weights
     feats = model["features"]
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
 
     def score(batches):
-        Wb, bb, ww, rr = bm.value
+        kernel, w, rho = shared.value
         for pdf in batches:
-            z = math.sqrt(2.0 / len(bb)) * np.cos(pdf[feats].to_numpy(float) @ Wb + bb)
-            pdf[out] = rr - z @ ww
+            pdf[out] = rho - kernel(pdf[feats].to_numpy(float)) @ w
             yield pdf
 
     return df.mapInPandas(score, schema)
