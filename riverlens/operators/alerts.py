@@ -217,8 +217,3 @@ def run_summary(alerts: DataFrame, label: str = "anomaly") -> DataFrame:
         hit = F.count_if((F.col(label) == 1) & F.col(lay).isin("AMARILLO", "ROJO"))
         aggs.append(F.round(F.try_divide(hit.cast("double") * 100, n_pos), 6).alias(f"recall_layer{i}_pct"))
     return alerts.agg(*aggs)
-
-
-def write_run_summary(summary: DataFrame, path: str, run_id: str) -> None:
-    """S7 sink: append the run's summary as JSON, keyed by run id."""
-    summary.withColumn("run_id", F.lit(run_id)).write.mode("append").json(path)

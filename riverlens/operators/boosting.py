@@ -46,6 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, materialize
+from .quality import guard_names
 
 BLOCK_ROWS = 1 << 16
 BINS = 64
@@ -516,6 +517,7 @@ def _written(state: DataFrame, fits: list[Fit], trees: list[Trees], width: int,
 def fit_many(df: DataFrame, features: list[str], label: Column, fits: dict[str, tuple[Learner, Column]], classes: int = 0,
              key: str = "reading_id", block_rows: int | None = None, cuts: Cuts | None = None) -> Ensemble:
     """Fit every named (learner, rows to train on); ``label`` is a class number (``classes`` of them) or, with none, a number."""
+    guard_names(features)
     cuts = cuts or find_cuts(df, features)
     seen: dict[str, int] = {}
     members, out = [], []

@@ -31,6 +31,7 @@ from ..plans.ordering import SEQ, sequence_index
 from ..session import materialize
 from .boosting import uniform
 from .neighbours import nearest
+from .quality import guard_names
 
 # ------------------------------------------------------------------ estimators
 # Hyper-parameters that must match (those of boosted trees: ``boosting.LEARNERS``).
@@ -52,7 +53,8 @@ def make_regressor(kind: str = "random_forest", seed: int = 42, **override):
 
 
 def classification_pipeline(estimator, features: list[str], label: str) -> Pipeline:
-    """Assemble by name (fixes positional drift), encode labels alphabetically, fit."""
+    """Assemble by name (fixes positional drift), encode labels alphabetically, fit; features that leak a target are refused (Q9)."""
+    guard_names(features)
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
@@ -60,6 +62,7 @@ def classification_pipeline(estimator, features: list[str], label: str) -> Pipel
 
 
 def regression_pipeline(estimator, features: list[str]) -> Pipeline:
+    guard_names(features)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
                             estimator])
 

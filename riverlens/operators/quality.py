@@ -18,9 +18,10 @@ class QualityError(AssertionError):
 
 def enforce(report: DataFrame, bad_col: str = "n_bad") -> None:
     """Raise when any rule of a report has failures (the reference stops on assert)."""
-    failing = report.filter(F.col(bad_col) > 0).limit(20).collect()
-    if failing:
-        raise QualityError("; ".join(str(r.asDict()) for r in failing))
+    failing = report.filter(F.col(bad_col) > 0)
+    shown = failing.limit(20).collect()
+    if shown:
+        raise QualityError(f"{failing.count()} rules fail: " + "; ".join(str(r.asDict()) for r in shown))
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -118,6 +119,28 @@ def leakage_report(features: DataFrame, label: str = "anomaly", feature_cols: li
         (F.coalesce(F.abs("corr"), F.lit(0.0)) >= corr_limit).alias("leak_by_corr"))
 
 
+#: Columns that tell the answer, and the mark of columns derived from the sensor that defines anomalies.
+TARGET_COLUMNS = {"anomaly", "quality_class", "wqi"}
+ANOMALY_TOKEN = "turb"
+
+
+def guard_names(feature_cols: list[str], targets: set[str] | None = None, token: str | None = None) -> None:
+    """Q9 by name, before any vector is built: no target among the features, no column with ``token`` in its name."""
+    found = sorted((TARGET_COLUMNS if targets is None else targets) & set(feature_cols))
+    found += [c for c in feature_cols if token and token in c.lower()]
+    if found:
+        raise QualityError(f"features that leak the target: {', '.join(found)}")
+
+
+def guard_leakage(features: DataFrame, feature_cols: list[str], label: str = "anomaly", token: str | None = ANOMALY_TOKEN,
+                  corr_limit: float = 0.95) -> None:
+    """Q9 before training: by name, and by each feature's correlation with the label (one aggregate)."""
+    guard_names(feature_cols, token=token)
+    found = leakage_report(features, label, feature_cols, token or ANOMALY_TOKEN, corr_limit).filter("leak_by_corr").collect()     # a row per feature
+    if found:
+        raise QualityError("features that leak the target: " + ", ".join(f"{r.feature} (correlation {r['corr']})" for r in found))
+
+
 def class_distribution(df: DataFrame, cls: str = "quality_class") -> DataFrame:
     """Q10: count and share per class (descending)."""
     counts = df.groupBy(cls).agg(F.count(F.lit(1)).alias("n"))

@@ -7,10 +7,13 @@ item, cell or pair.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf_udf, fisher_udf, t_two_sided_udf
@@ -18,6 +21,7 @@ from ..functions.stats import quantile_columns, value_histogram
 from ..functions.text import p_value_text, stars
 from ..plans.ordering import weighted_prefix
 from ..schema import DEMO_LABELS, DEMOGRAPHICS, INDICES, LIKERT_ITEMS, SURVEY_VARS
+from ..session import materialize
 
 # Effect-size scales (upper bounds and labels).
 V_SCALES = {
@@ -105,7 +109,6 @@ def items_by_mean(df: DataFrame, items: list[str] | None = None) -> DataFrame:
 
 
 def _small_order(*cols: Column):
-    from pyspark.sql import Window
     # ranking over a result with one row per item: a single small partition by design
     return Window.orderBy(*cols)
 
@@ -200,29 +203,81 @@ def cross_pairs(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for a in left for b in right]
 
 
+class PairCounts:
+    """Counts of level pairs of many variables, from products of one-hot matrices."""
+
+    def __init__(self, n_variables: int, pairs: list[tuple[int, int]]):
+        self.pairs = pairs
+        self.places: list[dict[int, int]] = [{} for _ in range(n_variables)]       # level -> its place among the variable's levels
+        self.counts: dict[tuple[int, int], np.ndarray] = {}
+
+    def add(self, columns: list[np.ndarray], known: list[np.ndarray]) -> None:
+        """One batch: a Gram matrix of the one-hot columns holds every pair's table."""
+        blocks = []
+        for places, values, there in zip(self.places, columns, known, strict=True):
+            levels, at = np.unique(values[there], return_inverse=True)
+            spots = np.array([places.setdefault(int(v), len(places)) for v in levels], dtype=int)
+            hot = np.zeros((len(values), len(places)), dtype=np.float32)
+            hot[np.flatnonzero(there), spots[at]] = 1       # a null has no level
+            blocks.append(hot)
+        starts = np.cumsum([0, *(b.shape[1] for b in blocks)])
+        hot = np.concatenate(blocks, axis=1)
+        gram = (hot.T @ hot).astype(np.int64)               # exact: a batch has fewer than 2^24 rows
+        for a, b in self.pairs:
+            part = gram[starts[a]:starts[a + 1], starts[b]:starts[b + 1]]
+            total = np.zeros(part.shape, dtype=np.int64)
+            if (a, b) in self.counts:
+                before = self.counts[a, b]
+                total[:before.shape[0], :before.shape[1]] = before
+            self.counts[a, b] = total + part
+
+    def rows(self) -> pd.DataFrame:
+        out = []
+        for number, (a, b) in enumerate(self.pairs):
+            table = self.counts.get((a, b))
+            if table is not None:
+                left, right = list(self.places[a]), list(self.places[b])
+                out += [(number, left[i], right[j], int(table[i, j])) for i, j in zip(*np.nonzero(table))]
+        return pd.DataFrame(out, columns=["pair", "v1", "v2", "n"])
+
+
+PAIR_BATCH = 100_000    # rows of one product
+
+
 def pair_contingency(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(var1, var2, v1, v2, n) for every pair in ONE scan.
 
-    Each row is expanded to its pairs (three ints each, the pair by number) and
-    counted; the count combines map-side, so the shuffle carries at most
-    pairs x cells rows per task. Names return with the counts.
+    Each Arrow batch becomes a one-hot matrix of all variables' levels; its
+    Gram matrix holds the tables of all pairs. A task adds its batches up and
+    the shuffle carries at most pairs x cells rows per task.
     """
-    arr = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("int").alias("v1"), F.col(b).cast("int").alias("v2"))
-                    for i, (a, b) in enumerate(pairs)])
-    counts = (df.select(F.inline(arr))
-                .filter(F.col("v1").isNotNull() & F.col("v2").isNotNull())
-                .groupBy("pair", "v1", "v2").agg(F.count(F.lit(1)).alias("n")))
-    names = [F.get(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair")) for side in (0, 1)]
-    return counts.select(names[0].alias("var1"), names[1].alias("var2"), "v1", "v2", "n")
+    names = sorted({v for p in pairs for v in p})
+    places = [(names.index(a), names.index(b)) for a, b in pairs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = PairCounts(len(names), places)
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAIR_BATCH):
+                part = batch.slice(start, PAIR_BATCH)
+                known = [c.is_valid().to_numpy(zero_copy_only=False) for c in part.columns]
+                counts.add([c.fill_null(0).to_numpy(zero_copy_only=False) for c in part.columns], known)
+        yield pa.RecordBatch.from_pandas(counts.rows().astype({"pair": "int32", "v1": "int32", "v2": "int32", "n": "int64"}), preserve_index=False)
+
+    partial = df.select(*[F.col(v).cast("int").alias(f"c{i}") for i, v in enumerate(names)]).mapInArrow(run, "pair int, v1 int, v2 int, n long")
+    counts = partial.groupBy("pair", "v1", "v2").agg(F.sum("n").alias("n"))
+    sides = [F.get(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair")) for side in (0, 1)]
+    return counts.select(sides[0].alias("var1"), sides[1].alias("var2"), "v1", "v2", "n")
 
 
 def chi_square(ct: DataFrame, yates: bool = True) -> DataFrame:
     """Chi-square of independence per pair over the full grid of observed levels.
 
     Zero cells count (expected = row total x column total / n); Yates'
-    correction shrinks |o - e| by min(.5, |o - e|) when dof = 1.
+    correction shrinks |o - e| by min(.5, |o - e|) when dof = 1. The table of
+    counts is written once, as it is joined with its own margins.
     """
     k = ["var1", "var2"]
+    ct = materialize(ct, "pair-counts")
     rows = ct.groupBy(*k, "v1").agg(F.sum("n").alias("r_tot"))
     cols = ct.groupBy(*k, "v2").agg(F.sum("n").alias("c_tot"))
     tot = ct.groupBy(*k).agg(F.sum("n").alias("n_total"), F.countDistinct("v1").alias("r"),
@@ -292,17 +347,38 @@ def fisher_by_group(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
     return t.withColumn("p_value", fisher_udf("c11", "c12", "c21", "c22")).withColumn("stars", stars("p_value"))
 
 
+#: The three sets of thresholds (p below, V at least) and the V they read.
+SIGNIFICANT = {"moderate": (0.05, 0.20, "v_corrected"), "strong": (0.001, 0.40, "v_plain"), "excellent": (0.001, 0.30, "v_plain")}
+
+
 def significant_pairs(tests: DataFrame, p_max: float = 0.05, v_min: float = 0.20,
                       v_col: str = "v_corrected") -> DataFrame:
     """Pairs with p < p_max and V >= v_min."""
     return tests.filter((F.col("p_value") < p_max) & (F.col(v_col) >= v_min))
 
 
+def significant_sets(tests: DataFrame) -> DataFrame:
+    """The pairs of every threshold set, numbered from the strongest; a pair stands once per set that holds it."""
+    sets = F.array(*[F.when((F.col("p_value") < p) & (F.col(v) >= low), F.struct(F.lit(name).alias("set"), F.col(v).alias("v")))
+                     for name, (p, low, v) in SIGNIFICANT.items()])
+    rows = tests.select("var1", "var2", "chi2", "dof", "p_value", F.inline(F.filter(sets, lambda x: x.isNotNull())))
+    place = F.row_number().over(Window.partitionBy("set").orderBy(F.desc("v"), "var1", "var2"))     # a row per pair
+    return rows.select("set", place.alias("place"), "var1", "var2", "chi2", "dof", "v", stars("p_value").alias("stars"), p_value_text("p_value").alias("p_text"))
+
+
 def top_pairs(tests: DataFrame, by: str = "v_plain", k: int = 10) -> DataFrame:
     """The k strongest pairs (ties broken by names) -- a top-k report."""
     return tests.orderBy(F.desc(by), "var1", "var2").limit(k)
 
 
+def top_significant_pairs(tests: DataFrame, p_max: float, v_min: float, by: str = "v_plain", k: int = 10) -> DataFrame:
+    """The k strongest of the pairs that pass both limits; of all pairs where none passes (``filtered`` tells which)."""
+    passes = F.coalesce((F.col("p_value") < p_max) & (F.col("v_plain") >= v_min), F.lit(False))
+    rows = materialize(tests.withColumn("filtered", passes), "pair-tests")      # a row per pair
+    some = rows.filter("filtered").limit(1).count() > 0
+    return top_pairs(rows.filter("filtered") if some else rows, by, k)
+
+
 def association_graph(tests: DataFrame, v_min: float = 0.40, v_col: str = "v_plain") -> tuple[DataFrame, DataFrame]:
     """Edges with V >= v_min and the degree of every node."""
     edges = tests.filter(F.col(v_col) >= v_min).select("var1", "var2", F.col(v_col).alias("v"))
@@ -338,6 +414,7 @@ def cronbach_alpha(df: DataFrame, items: list[str] | None = None, deleted: bool
 
 
 def reliability_label(alpha: str) -> Column:
+    # Lower bounds and words.
     a = F.col(alpha)
     return (F.when(a >= 0.90, "excelente").when(a >= 0.80, "buena").when(a >= 0.70, "aceptable")
              .when(a >= 0.60, "cuestionable").otherwise("inaceptable"))
@@ -447,5 +524,6 @@ def factor_summary(df: DataFrame, items: list[str] | None = None) -> dict:
 
 
 def kmo_label(kmo: float) -> str:
+    # Lower bounds and words.
     return ("meritorious" if kmo >= 0.80 else "middling" if kmo >= 0.70
             else "mediocre" if kmo >= 0.60 else "unacceptable")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,9 @@ from pyspark.sql import types as T
 from ..operators import alerts as A
 from ..operators import features as FE
 from ..operators import quality as Q
-from ..schema import LAYER_LEVELS, LEVELS, SENSORS, features_full, features_no_leak
+from ..schema import LAYER_LEVELS, LEVELS, SENSORS, THRESHOLD_TABLE, features_full, features_no_leak
+from ..session import ensure_checkpoint_dir, materialize
+from ..sources import io
 from ..sources.adapters import load_readings
 from . import sql as S
 from .catalog import register
@@ -201,15 +205,20 @@ def alert_anomaly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "event_level")
 
 
-@register("alert_threshold_table")
+_LEVEL_COLUMN = {"pH": "level_ph", "Oxígeno Disuelto": "level_do", "Turbidez": "level_turbidity", "Temperatura": "level_temperature"}
+_RAW_ALERTS_SQL = S.alerts_sql(f"SELECT *, CAST(NULL AS DOUBLE) AS turbidity_delta1_abs FROM ({S.READINGS}) r")
+
+
+@register("alert_threshold_table", sql=f"""
+SELECT t.*, d.* EXCLUDE (variable) FROM ({S.distribution_sql(_RAW_ALERTS_SQL, A.LEVEL_OUTPUTS, LEVELS)}) d
+JOIN (VALUES {', '.join("('" + _LEVEL_COLUMN[row[0]] + "', " + ', '.join(f"'{v}'" for v in row) + ')' for row in THRESHOLD_TABLE)})
+  t(level_column, variable, unit, normal, buena, mala, critico, action) ON t.level_column = d.variable""")
 def alert_threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold reference table with each variable's observed level counts."""
     counts = A.level_distribution(A.with_alerts(
         load_readings(spark, sf_dir).withColumn("turbidity_delta1_abs", F.lit(None).cast("double"))
                                     .withColumn("prob_aceptable", F.lit(0.0))))
-    names = spark.createDataFrame([("pH", "level_ph"), ("Oxígeno Disuelto", "level_do"),
-                                   ("Turbidez", "level_turbidity"), ("Temperatura", "level_temperature")],
-                                  "variable string, level_column string")
+    names = spark.createDataFrame(list(_LEVEL_COLUMN.items()), "variable string, level_column string")
     return (A.threshold_table(spark).join(F.broadcast(names), "variable")
              .join(counts.withColumnRenamed("variable", "level_column"), "level_column", "left"))
 
@@ -225,7 +234,7 @@ def alert_status_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "reading_id", "class_status", "layer_number")
 
 
-@register("alert_run_summary", sql=f"""
+_RUN_SQL = f"""
 WITH a AS ({SCORED_ALERTS_SQL})
 SELECT CAST(count(*) AS BIGINT) AS n_records,
   CAST(count(*) FILTER (WHERE level_global = 'NORMAL') AS BIGINT) AS global_normal,
@@ -237,7 +246,40 @@ SELECT CAST(count(*) AS BIGINT) AS n_records,
   CAST(count(*) FILTER (WHERE level_layer2 = 'ROJO') AS BIGINT) AS layer2_rojo,
   round(CAST(count(*) FILTER (WHERE anomaly = 1 AND level_layer1 IN ('AMARILLO','ROJO')) AS DOUBLE) * 100 / nullif(sum(anomaly), 0), 6) AS recall_layer1_pct,
   round(CAST(count(*) FILTER (WHERE anomaly = 1 AND level_layer2 IN ('AMARILLO','ROJO')) AS DOUBLE) * 100 / nullif(sum(anomaly), 0), 6) AS recall_layer2_pct
-FROM a""")
+FROM a"""
+
+
+@register("alert_run_summary", sql=_RUN_SQL)
 def alert_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One summary row per alert run (written as JSON by ``write_run_summary``)."""
+    """One summary row per alert run."""
     return A.run_summary(scored_alerts(spark, sf_dir))
+
+
+@register("alert_run_log", sql=f"SELECT r.run_id, s.* FROM ({_RUN_SQL}) s, (VALUES ('run-1'), ('run-2')) r(run_id)")
+def alert_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs enter the log, the third repeats the first one's id and replaces its (doubled) entry: two rows are read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/tables/run-log-{uuid.uuid4().hex[:8]}"
+    alerts = materialize(scored_alerts(spark, sf_dir).select("level_global", "level_layer1", "level_layer2", "anomaly"), "alerts")
+    summary = A.run_summary(alerts)
+    for run_id, rows in (("run-1", alerts.unionByName(alerts)), ("run-2", alerts), ("run-1", alerts)):
+        io.write_run(A.run_summary(rows), path, run_id)
+    return io.read_runs(spark, path, summary.schema)
+
+
+@register("alert_report_tables", sql=" UNION ALL ".join(
+    f"SELECT '{name}' AS report, {columns} AS n_columns, CAST(count(*) AS BIGINT) AS n_rows FROM ({sql}) x" for name, columns, sql in (
+        ("evaluation", len(EVAL_OUT), f"SELECT reading_id FROM ({SCORED_ALERTS_SQL}) a"),
+        ("levels", 2 + 2 * len(LEVELS), "SELECT 1 FROM range(5)"),
+        ("layers", 3 + 2 * len(LAYER_LEVELS), "SELECT 1 FROM range(2)"),
+        ("active", 11, f"SELECT 1 FROM ({SCORED_ALERTS_SQL}) a WHERE level_global IN ('MALA', 'CRÍTICO') OR level_layer2 IN ('AMARILLO', 'ROJO')"),
+        ("events", 5, f"SELECT 1 FROM ({S.scored_sql(True)}) s WHERE anomaly = 1"),
+        ("thresholds", 17, "SELECT 1 FROM range(4)"),
+        ("summary", 10, "SELECT 1 FROM range(1)"))))
+def alert_report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report set of an alert run (R6-R9, A13, A19, S7) written as tables and read back: columns and rows of each."""
+    alerts = materialize(scored_alerts(spark, sf_dir), "alerts")
+    events = A.anomaly_events(alerts).select("reading_id", "ts", "turbidity", "anomaly_score", "event_level")
+    return io.save_reports({
+        "evaluation": _rounded(alerts, EVAL_OUT), "levels": A.level_distribution(alerts), "layers": A.layer_distribution(alerts),
+        "active": A.active_alerts(alerts), "events": events, "thresholds": alert_threshold_table(spark, sf_dir), "summary": A.run_summary(alerts),
+    }, f"{ensure_checkpoint_dir(spark)}/tables/alert-reports-{uuid.uuid4().hex[:8]}")

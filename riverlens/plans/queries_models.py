@@ -6,6 +6,7 @@ together (``operators/boosting.py``); forests are fitted side by side.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -21,12 +22,13 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import splits as P
+from ..operators.quality import guard_leakage
 from ..functions.stats import exact_quantiles
 from ..plans.ordering import SEQ
 from ..schema import SENSORS, features_full, features_no_leak
 from ..sources.adapters import load_readings
 from . import sql as S
-from ..session import STUDIES, materialize, table_path
+from ..session import STUDIES, ensure_checkpoint_dir, materialize, table_path
 from .catalog import register
 
 FEAT_SQL = S.features_sql(True)
@@ -342,6 +344,7 @@ def _anomaly_run(spark: SparkSession, sf_dir: str):
     stats = P.fit_standardizer(s.filter(F.col("split") == "train"), feats)
     scaled = materialize(P.apply_standardizer(s, stats, feats), "scaled")
     train, test = scaled.filter(F.col("split") == "train"), scaled.filter(F.col("split") == "test")
+    guard_leakage(train, feats)
     cont = train.agg(F.avg(F.col("anomaly").cast("double"))).first()[0] or 0.01
     trees = ML.fit_isolation_forest(train, feats)
     iso_test = ML.score_isolation_forest(test, trees, feats)
@@ -413,11 +416,34 @@ def model_anomaly_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .alias("event_level"))
 
 
+@register("model_anomaly_events")
+def model_anomaly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled anomalies with the isolation forest's score and a two-way level."""
+    p = _once("anomalies", _anomaly_run, spark, sf_dir).filter(F.col("model") == "isolation_forest").withColumnsRenamed({"y": "anomaly", "score": "anomaly_score"})
+    return A.anomaly_events(p).select("reading_id", "ts", "turbidity", "wqi", "quality_class", "anomaly_score", "event_level")
+
+
+@register("model_report_tables")
+def model_report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model reports (R1-R6, R12, R13) written as tables and read back: columns and rows of each."""
+    from ..sources import io
+    made = (model_classifier_comparison, model_classifier_per_class, model_regressor_comparison, model_anomaly_comparison, model_feature_importance,
+            model_anomaly_events, model_prediction_series, model_anomaly_timeline)
+    return io.save_reports({f.__name__.removeprefix("model_"): f(spark, sf_dir) for f in made},
+                           f"{ensure_checkpoint_dir(spark)}/tables/model-reports-{uuid.uuid4().hex[:8]}")
+
+
+@register("validation_report_tables")
+def validation_report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation reports (R10, R11) written as tables and read back: columns and rows of each."""
+    from ..sources import io
+    made = (validation_summary, validation_cv_summary, validation_time_folds, validation_noise, validation_noise_regression)
+    return io.save_reports({f.__name__.removeprefix("validation_"): f(spark, sf_dir) for f in made},
+                           f"{ensure_checkpoint_dir(spark)}/tables/validation-reports-{uuid.uuid4().hex[:8]}")
+
+
 def fitted_alert_models(spark: SparkSession, sf_dir: str):
     """Classifier (saved and loaded again) and isolation forest, fitted on the first 80 % of every station; also those splits."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
     from ..sources.io import load_model, save_model
     feats, anom = features_full(), features_no_leak()
     rows = materialize(P.chronological_split(model_input(spark, sf_dir)), "alert-rows")
@@ -663,10 +689,8 @@ def validation_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("model_persist_roundtrip")
 def model_persist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit, save to the shared checkpoint folder, load and batch-score all rows."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
+    """Fit, save to the shared checkpoint folder, load and batch-score all rows; ``n_same`` rows get
+    the same probabilities from the loaded model as from the fitted one."""
     from ..sources.io import load_model, save_model
     feats = features_full()
     df = P.class_weights(model_input(spark, sf_dir), "quality_class")
@@ -675,7 +699,8 @@ def model_persist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/models/rf-{uuid.uuid4().hex[:8]}"
     save_model(model, path)
     loaded = load_model(path)
-    labels = loaded.stages[0].labels
-    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
-    scored = loaded.transform(df).select("quality_class", lab.alias("predicted_class"))
-    return scored.groupBy("quality_class", "predicted_class").agg(F.count(F.lit(1)).alias("n"))
+    lab = _label_of(loaded.stages[0].labels, F.col("prediction"))
+    probabilities = ML.vector_to_array("probability")
+    before = model.transform(df).select(*df.columns, probabilities.alias("fitted"))
+    scored = loaded.transform(before).select("quality_class", lab.alias("predicted_class"), (probabilities == F.col("fitted")).alias("same"))
+    return scored.groupBy("quality_class", "predicted_class").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("n_same"))

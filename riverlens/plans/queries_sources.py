@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
+from ..schema import SURVEY_VARS
 from ..session import ensure_checkpoint_dir
 from ..sources import io
 from ..sources.adapters import load_readings, load_survey
@@ -33,7 +34,8 @@ def sources_readings_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("ph", 6).alias("ph"), F.round("turbidity", 6).alias("turbidity"), "quality_class")
 
 
-@register("sources_survey_csv")
+@register("sources_survey_csv", sql=" UNION ALL ".join(
+    f"SELECT '{c}' AS variable, {c} AS level, CAST(count(*) AS BIGINT) AS n FROM ({S.SURVEY}) s GROUP BY {c}" for c in SURVEY_VARS))
 def sources_survey_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: survey responses written as CSV and read back with the integer schema; answers per level of every item."""
     path = _folder(spark, "survey-csv")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import p_value_text, stars
 from ..operators import survey as V
 from ..schema import DEMOGRAPHICS, INDICES, LIKERT_ITEMS, SURVEY_VARS
 from ..sources.adapters import load_survey
@@ -243,6 +244,69 @@ def survey_significant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.significant_pairs(_tests(spark, sf_dir, ALL_PAIRS)).orderBy("p_value", "var1", "var2")
 
 
+# Chi-square quantiles at .95, .99 and .999 by degrees of freedom (published table).
+CHI2_QUANTILES = {1: (3.841459, 6.634897, 10.827566), 2: (5.991465, 9.210340, 13.815511), 4: (9.487729, 13.276704, 18.466827),
+                  8: (15.507313, 20.090235, 26.124482), 16: (26.296228, 31.999927, 39.252355)}
+
+
+def _beyond_sql(level: int) -> str:
+    """chi2 lies beyond its quantile (0: .95, 1: .99, 2: .999)."""
+    return "chi2 > CASE dof " + " ".join(f"WHEN {dof} THEN {q[level]}" for dof, q in CHI2_QUANTILES.items()) + " END"
+
+
+_STARS_SQL = f"CASE WHEN {_beyond_sql(2)} THEN '***' WHEN {_beyond_sql(1)} THEN '**' WHEN {_beyond_sql(0)} THEN '*' ELSE 'ns' END"
+
+
+@register("survey_significant_sets", sql=_chi_sql(ALL_PAIRS) + f", v AS ({_v_sql()}), t AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS set, var1, var2, chi2, dof, {col} AS v FROM v WHERE {_beyond_sql(2 if p == 0.001 else 0)} AND {col} >= {low}"
+    for name, (p, low, col) in V.SIGNIFICANT.items()) + f""")
+SELECT set, CAST(row_number() OVER (PARTITION BY set ORDER BY v DESC, var1, var2) AS INT) AS place, var1, var2, round(chi2, 6) AS chi2, dof,
+  round(v, 6) AS v, {_STARS_SQL} AS stars FROM t""")
+def survey_significant_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three threshold sets (.05 / .20, .001 / .40, .001 / .30), each from its strongest pair."""
+    t = V.significant_sets(_tests(spark, sf_dir, ALL_PAIRS))
+    return t.select("set", "place", "var1", "var2", *_r6("chi2"), "dof", *_r6("v"), "stars")
+
+
+@register("survey_top_chi2_pairs", sql=_chi_sql(ALL_PAIRS) + f"""
+SELECT var1, var2, round(chi2, 6) AS chi2, dof, {_STARS_SQL} AS stars FROM ({_v_sql()}) v ORDER BY v.chi2 DESC, var1, var2 LIMIT 10""")
+def survey_top_chi2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-10 pairs by chi-square, without a filter (a top-k report)."""
+    t = V.top_pairs(_tests(spark, sf_dir, ALL_PAIRS), "chi2", 10)
+    return t.select("var1", "var2", *_r6("chi2"), "dof", "stars")
+
+
+def _fallback_sql(pairs, v_min: float) -> str:
+    return _chi_sql(pairs) + f""", v AS (SELECT *, {_beyond_sql(2)} AND v_plain >= {v_min} AS filtered FROM ({_v_sql()}) w)
+SELECT var1, var2, round(chi2, 6) AS chi2, round(v_plain, 6) AS v_plain, filtered FROM v
+WHERE filtered OR NOT EXISTS (SELECT 1 FROM v x WHERE x.filtered) ORDER BY v.v_plain DESC, var1, var2 LIMIT 10"""
+
+
+@register("survey_top_strong_items", sql=_fallback_sql(ITEM_PAIRS, 0.30))
+def survey_top_strong_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten strongest item pairs with p < .001 and V >= .30."""
+    t = V.top_significant_pairs(_tests(spark, sf_dir, ITEM_PAIRS), 0.001, 0.30)
+    return t.select("var1", "var2", *_r6("chi2", "v_plain"), "filtered")
+
+
+@register("survey_top_strong_demographics", sql=_fallback_sql(DEMO_ITEM_PAIRS, 0.95))
+def survey_top_strong_demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demographic pairs with p < .001 and V >= .95; none passes, so the strongest of all are shown."""
+    t = V.top_significant_pairs(_tests(spark, sf_dir, DEMO_ITEM_PAIRS), 0.001, 0.95)
+    return t.select("var1", "var2", *_r6("chi2", "v_plain"), "filtered")
+
+
+@register("survey_p_text", sql=f"""
+WITH p AS (SELECT respondent_id, CAST(100 + (respondent_id * 37) % 900 AS DOUBLE) / power(10, 3 + respondent_id % 5) AS p FROM {SV} s)
+SELECT respondent_id, CASE WHEN p < 1e-4 THEN printf('%.2e', p) WHEN p < 1e-3 THEN printf('%.5f', p) ELSE printf('%.4f', p) END AS p_text,
+  CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM p""")
+def survey_p_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and stars of p-values of every size, one per respondent."""
+    rid = F.col("respondent_id")
+    p = (F.lit(100) + (rid * 37) % 900).cast("double") / F.pow(F.lit(10.0), 3 + rid % 5)
+    return load_survey(spark, sf_dir).select("respondent_id", p.alias("p")).select("respondent_id", p_value_text("p").alias("p_text"), stars("p").alias("stars"))
+
+
 def _top_sql(pairs, family: str) -> str:
     return _chi_sql(pairs) + f"""
 SELECT '{family}' AS family, var1, var2, round(chi2, 6) AS chi2, dof, round(v_plain, 6) AS v_plain,

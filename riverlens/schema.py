@@ -87,7 +87,7 @@ INDICES = {
 }
 
 # ---------------------------------------------------------------------------
-# Feature lists (order is part of the model contract)
+# Feature lists (order is part of the model contract)
 # ---------------------------------------------------------------------------
 LAGS = [1, 2, 4, 8, 16]
 TURBIDITY_DIFFS = [1, 4, 8]
