@@ -48,10 +48,10 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, materialize
 from .quality import guard_names
 
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 18
 BINS = 64
 KEEP = 10               # rounds between two written states of the margins
-QUANTUM = 2.0 ** -26    # of a gradient unit: sums over 2^37 rows fit 64 bits
+QUANTUM = 2.0 ** -26    # of a gradient unit: a block's sums are exact in a double, those of 2^36 rows in 64 bits
 TINY = 1e-16
 
 
