@@ -93,7 +93,7 @@ def cut_points(n: int, sequence: int) -> list[tuple[int, int]]:
 
 
 def tokenize(documents: DataFrame, sequence: int = SEQUENCE, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Written table of pieces (doc_id, piece, start, length, ids_crc32)."""
+    """Written table of pieces (doc_id, piece, start, length, ids_crc32, row)."""
     if path is None:
         path, pattern = tokenizer_file()
     end = struct.pack("<I", END_ID)
@@ -111,7 +111,12 @@ def tokenize(documents: DataFrame, sequence: int = SEQUENCE, path: str | None =
     # the id travels as a string, so a null among long ids stays exact
     out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text")) \
         .mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long")
-    return materialize(out.withColumn("doc_id", F.col("doc_id").cast(doc_type)), "pieces")
+    return numbered(out.withColumn("doc_id", F.col("doc_id").cast(doc_type)))
+
+
+def numbered(pieces: DataFrame) -> DataFrame:
+    """The pieces as a written table with a number ``row`` for each: later reads find it there, however they split the files."""
+    return materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
 
 
 # ------------------------------------------------------------------- packing
@@ -186,9 +191,8 @@ def _pack_shard(capacity: int):
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to a written table of pieces."""
-    # positions in a written table are the same whenever a task is run again
-    pieces = pieces.withColumn("row", F.monotonically_increasing_id())
+    """Adds sequence_id and offset to pieces; those without a written ``row`` are numbered and written first."""
+    pieces = pieces if "row" in pieces.columns else numbered(pieces)
     short = pieces.filter(F.col("length") < sequence).select("row", "length")
     shards = max(1, -(-pieces.filter(F.col("length") < sequence).count() // shard_pieces))
     placed = (short.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))

@@ -46,6 +46,26 @@ def test_packing_places_every_piece(spark, odd_documents, no_documents):
     assert K.op7_packing(spark, no_documents).count() == 0
 
 
+def test_packing_survives_another_split_of_the_written_files(spark):
+    """A lost or added executor changes how files are split into tasks; the pieces' numbers must not follow."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    settings = {"spark.sql.files.minPartitionNum": "37", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "20000"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    pieces = K.tokenize(docs)
+    packed = K.pack(pieces)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = packed.select("*").collect()
+        assert len({r.doc_id for r in rows}) == 1000
+        assert check_packing(rows) <= 1.02 * sum(r.length for r in rows) / K.SEQUENCE + 2
+        again = K.pack(pieces.repartition(5).drop("row")).collect()
+        assert check_packing(again) <= 1.02 * sum(r.length for r in rows) / K.SEQUENCE + 2
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_cut_points():
     assert K.cut_points(2048, 2048) == [(0, 2048)]
     assert K.cut_points(2049, 2048) == [(0, 1), (1, 2048)]
