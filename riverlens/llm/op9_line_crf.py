@@ -12,8 +12,8 @@ lines of poor documents count as boilerplate where a first naive Bayes fit on
 the same features takes them for lines of poor documents, else as content.
 
 The sample: at most ``MAX_TRAIN`` documents of either label, those with the
-smallest hashes of their id, ``MAX_DOC_LINES`` lines of each and
-``MAX_TRAIN_LINES`` lines in all. Scoring reads every line of every text.
+smallest hashes of their id, each with all its lines. Scoring reads every line
+of every text.
 
 Nulls, ties, odd input: a null text has no words (base_failed); repeated rows
 each get a row; null doc_ids stay null; labels that are null or repeated take
@@ -41,8 +41,8 @@ MAX_REPEAT_PERCENT = 30
 
 MIN_CONTENT = 0.5
 MAX_TRAIN = 2000
-MAX_TRAIN_LINES, MAX_DOC_LINES = 200_000, 2_000
 SEGMENT = 64        # lines of a training sequence; longer documents give several
+BATCH = 2048        # training sequences in hand at a time
 EPOCHS = 80
 RATE = 0.1
 CONTENT, BOILERPLATE = 0, 1
@@ -146,41 +146,51 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def fit_field(sequences: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE) -> LineField:
-    """Maximum likelihood (with a small L2 term) by Adam on padded batches of whole sequences."""
+def _padded(sequences: list[np.ndarray], labels: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(features, labels, mask, mask of neighbours) of a batch of sequences; the padding feature has weight 0."""
     n, t = len(sequences), max(map(len, sequences))
-    x = np.full((n, t, len(CUTS) + 1), N_FEATURES, dtype=np.int64)   # the padding feature has weight 0
-    y, mask = np.zeros((n, t), dtype=np.int64), np.zeros((n, t), dtype=bool)
+    x = np.full((n, t, len(CUTS) + 1), N_FEATURES, dtype=np.int16)
+    y, mask = np.zeros((n, t), dtype=np.int8), np.zeros((n, t), dtype=bool)
     for i, (s, lab) in enumerate(zip(sequences, labels, strict=True)):
         x[i, :len(s)], y[i, :len(s)], mask[i, :len(s)] = s, lab, True
-    both = mask[:, 1:] & mask[:, :-1]
-    seen_emit = np.zeros((N_FEATURES + 1, 2))
-    np.add.at(seen_emit, (x[mask], y[mask][:, None]), 1)
-    seen_move = np.zeros((2, 2))
-    np.add.at(seen_move, (y[:, :-1][both], y[:, 1:][both]), 1)
-    seen_start = np.bincount(y[:, 0], minlength=2).astype(float)
-    shapes = [(N_FEATURES + 1, 2), (2, 2), (2,)]
-    w = [np.zeros(s) for s in shapes]
-    m, v = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
-    total = mask.sum()
+    return x, y, mask, mask[:, 1:] & mask[:, :-1]
+
+
+def _gradient(batch: tuple[np.ndarray, ...], w: list[np.ndarray]) -> list[np.ndarray]:
+    """Seen minus expected counts of a batch."""
+    x, y, mask, both = batch
+    n, t = mask.shape
+    emit = w[0][x].sum(axis=2)
+    alpha = np.empty((n, t, 2))
+    beta = np.zeros((n, t, 2))
+    alpha[:, 0] = emit[:, 0] + w[2]
+    for k in range(1, t):
+        new = _log_sum(alpha[:, k - 1, :, None] + w[1], 1) + emit[:, k]
+        alpha[:, k] = np.where(mask[:, k, None], new, alpha[:, k - 1])
+    for k in range(t - 2, -1, -1):
+        new = _log_sum(w[1] + (emit[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
+        beta[:, k] = np.where(mask[:, k + 1, None], new, 0)
+    z = _log_sum(alpha[:, -1], 1)
+    node = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
+    pair = np.exp(alpha[:, :-1, :, None] + w[1] + (emit + beta)[:, 1:, None, :] - z[:, None, None, None]) * both[..., None, None]
+    found = [np.zeros_like(w[0]), -pair.sum(axis=(0, 1)), np.bincount(y[:, 0], minlength=2) - node[:, 0].sum(axis=0)]
+    for lab in (0, 1):
+        seen = mask & (y == lab)
+        found[0][:, lab] = np.bincount(x[seen].ravel(), minlength=N_FEATURES + 1) \
+            - np.bincount(x.ravel(), weights=np.repeat(node[..., lab].ravel(), x.shape[2]), minlength=N_FEATURES + 1)
+    np.add.at(found[1], (y[:, :-1][both], y[:, 1:][both]), 1)
+    return found
+
+
+def fit_field(sequences: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE, batch: int = BATCH) -> LineField:
+    """Maximum likelihood (with a small L2 term) by Adam; the gradient of all sequences is summed over batches of like length."""
+    order = sorted(range(len(sequences)), key=lambda i: (len(sequences[i]), i))
+    batches = [_padded([sequences[i] for i in order[a:a + batch]], [labels[i] for i in order[a:a + batch]]) for a in range(0, len(order), batch)]
+    total = sum(map(len, sequences))
+    w = [np.zeros((N_FEATURES + 1, 2)), np.zeros((2, 2)), np.zeros(2)]
+    m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     for step in range(1, epochs + 1):
-        emit = w[0][x].sum(axis=2)
-        alpha = np.empty((n, t, 2))
-        beta = np.zeros((n, t, 2))
-        alpha[:, 0] = emit[:, 0] + w[2]
-        for k in range(1, t):
-            new = _log_sum(alpha[:, k - 1, :, None] + w[1], 1) + emit[:, k]
-            alpha[:, k] = np.where(mask[:, k, None], new, alpha[:, k - 1])
-        for k in range(t - 2, -1, -1):
-            new = _log_sum(w[1] + (emit[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
-            beta[:, k] = np.where(mask[:, k + 1, None], new, 0)
-        z = _log_sum(alpha[:, -1], 1)
-        node = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
-        pair = np.exp(alpha[:, :-1, :, None] + w[1] + (emit + beta)[:, 1:, None, :] - z[:, None, None, None]) * both[..., None, None]
-        want_emit = np.zeros(shapes[0])
-        for lab in (0, 1):
-            want_emit[:, lab] = np.bincount(x.ravel(), weights=np.repeat(node[..., lab].ravel(), x.shape[2]), minlength=N_FEATURES + 1)
-        grads = [seen_emit - want_emit, seen_move - pair.sum(axis=(0, 1)), seen_start - node[:, 0].sum(axis=0)]
+        grads = [sum(parts) for parts in zip(*(_gradient(b, w) for b in batches))]
         grads[0][N_FEATURES] = 0
         for i, g in enumerate(grads):
             g = g / total - 1e-4 * w[i]
@@ -199,7 +209,7 @@ def weak_labels(features: list[np.ndarray], good: list[bool]) -> list[np.ndarray
 
 
 def training_lines(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> list[tuple[np.ndarray, bool]]:
-    """Line features and label of a bounded sample of labelled documents."""
+    """Features of all lines, and the label, of a bounded sample of labelled documents (``max_train`` of either label)."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.withColumn("turn", F.xxhash64("doc_id"))
     picked = [known.filter(F.col("quality") == q).orderBy("turn", "doc_id").limit(max_train) for q in (0, 1)]
@@ -208,19 +218,14 @@ def training_lines(documents: DataFrame, labels: DataFrame, max_train: int = MAX
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(turn, q, f.tobytes()) for turn, q, t in zip(batch["turn"], batch["quality"], batch["text"], strict=True)
-                    if len(f := text_lines(t.encode())[0][:MAX_DOC_LINES])]
+                    if len(f := text_lines(t.encode())[0])]
             yield pd.DataFrame(rows, columns=["turn", "quality", "features"])
 
     found = (documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select("turn", "quality", "text")
              .mapInPandas(run, "turn long, quality long, features binary")
              .groupBy("turn", "quality").agg(F.min("features").alias("features")))   # one of repeated rows
-    out, left = [], MAX_TRAIN_LINES
-    for row in sorted(found.collect(), key=lambda r: (r.turn, r.quality)):
-        f = np.frombuffer(row.features, dtype=np.int16).reshape(-1, len(CUTS) + 1)
-        if len(f) <= left:
-            left -= len(f)
-            out.append((f, row.quality == 1))
-    return out
+    return [(np.frombuffer(row.features, dtype=np.int16).reshape(-1, len(CUTS) + 1), row.quality == 1)
+            for row in sorted(found.collect(), key=lambda r: (r.turn, r.quality))]
 
 
 def train(documents: DataFrame, labels: DataFrame) -> LineField:

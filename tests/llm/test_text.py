@@ -204,3 +204,27 @@ def test_labels_of_poor_documents_are_learned(spark):
     out = Q.op9_quality_lines(spark, read(spark, sf, "documents"), read(spark, sf, "labels")).join(read(spark, sf, "labels"), "doc_id").filter("not base_failed").collect()
     good, poor = [r.kept for r in out if r.quality == 1], [r.kept for r in out if r.quality == 0]
     assert sum(good) >= 0.98 * len(good) and sum(poor) <= 0.2 * len(poor)
+
+
+def test_labels_hold_on_documents_that_were_not_learned_from(spark):
+    sf = SMALL.replace("0.001", "0.01")
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels").selectExpr("*", "pmod(xxhash64(doc_id, 5), 3) = 0 as held")
+    field = Q.train(docs, labels.filter("not held"))
+    out = Q.label_documents(docs, field).join(labels.filter("held"), "doc_id").filter("not base_failed").collect()
+    good, poor = [r.kept for r in out if r.quality == 1], [r.kept for r in out if r.quality == 0]
+    assert len(poor) >= 5 and sum(good) >= 0.97 * len(good) and sum(poor) <= 0.2 * len(poor)
+
+
+def test_batches_of_sequences_give_the_gradient_of_all():
+    rng = np.random.default_rng(3)
+    sequences = [rng.integers(0, Q.N_FEATURES, (n, 9)) for n in (1, 5, 64, 7, 30, 2)]
+    labels = [rng.integers(0, 2, len(s)) for s in sequences]
+    one, many = Q.fit_field(sequences, labels, epochs=5), Q.fit_field(sequences, labels, epochs=5, batch=2)
+    assert np.allclose(one.emit, many.emit) and np.allclose(one.move, many.move) and np.allclose(one.start, many.start)
+
+
+def test_every_line_of_a_long_training_text_counts(spark):
+    text = "\n".join(f"line {i} of a long text" for i in range(5000))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert sorted(len(f) for f, _ in Q.training_lines(docs, labels)) == [1, 5000]
