@@ -94,11 +94,15 @@ def time_folds(df: DataFrame, key: str = "station_id", n_splits: int = 5) -> Dat
             .filter(F.col("role").isNotNull()).drop("roles"))
 
 
+def _uniform(key: str, seed: int, salt: int, draw: int) -> Column:
+    """A number in (0, 1] per row: 52 leading bits of md5("key:seed:salt:draw"), plus one."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), *[F.lit(str(x)) for x in (seed, salt, draw)]))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 1) / float(1 << 52)
+
+
 def gaussian(key: str, seed: int, salt: int) -> Column:
     """Standard normal draw keyed by (row, seed, salt): Box-Muller on two hashed uniforms."""
-    u1 = (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(salt), F.lit(1)), F.lit(1 << 52)) + 1) / float(1 << 52)
-    u2 = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(salt), F.lit(2)), F.lit(1 << 52)) / float(1 << 52)
-    return F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
+    return F.sqrt(-2 * F.log(_uniform(key, seed, salt, 1))) * F.cos(2 * math.pi * _uniform(key, seed, salt, 2))
 
 
 def with_noise(df: DataFrame, columns: list[str], sigma: float, key: str = "reading_id", seed: int = 42) -> DataFrame:

@@ -124,17 +124,21 @@ def split_time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_ts"))
 
 
-@register("split_noise")
+def _draw_sql(draw: int) -> str:
+    return f"(CAST('0x' || substr(md5(reading_id || ':42:' || salt || ':{draw}'), 1, 13) AS BIGINT) + 1) / CAST({1 << 52} AS DOUBLE)"
+
+
+@register("split_noise", sql=f"""
+WITH d AS (SELECT sqrt(-2 * ln({_draw_sql(1)})) * cos(2 * pi() * ({_draw_sql(2)})) AS z FROM ({FEAT_SQL}) f, range({len(features_no_leak())}) t(salt))
+SELECT sigma, round(avg(sigma * z), 6) AS noise_mean, round(stddev_pop(sigma * z), 6) AS noise_std, CAST(count(*) AS BIGINT) AS n
+FROM d, (VALUES {', '.join(f"(CAST({s} AS DOUBLE))" for s in CLASS_SIGMAS)}) v(sigma) GROUP BY sigma""")
 def split_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sigma, mean and std of the noise added to the scaled non-turbidity features."""
-    feats = features_no_leak()
-    s = feature_frame(spark, sf_dir).select("reading_id")
-    sig = F.explode(F.array(*[F.lit(x) for x in [0.0, 0.01, 0.02, 0.05, 0.10]])).alias("sigma")
-    draws = s.select("reading_id", sig).select(
-        "sigma", F.explode(F.array(*[F.col("sigma") * P.gaussian("reading_id", 42, i)
-                                     for i in range(len(feats))])).alias("noise"))
-    return draws.groupBy("sigma").agg(F.avg("noise").alias("noise_mean"), F.stddev_pop("noise").alias("noise_std"),
-                                      F.count(F.lit(1)).alias("n"))
+    n = len(features_no_leak())
+    draws = feature_frame(spark, sf_dir).select(F.explode(F.array(*[P.gaussian("reading_id", 42, i) for i in range(n)])).alias("z"))
+    noise = draws.select("z", F.explode(F.array(*[F.lit(x) for x in CLASS_SIGMAS])).alias("sigma"))
+    return noise.groupBy("sigma").agg(F.round(F.avg(F.col("sigma") * F.col("z")), 6).alias("noise_mean"),
+                                      F.round(F.stddev_pop(F.col("sigma") * F.col("z")), 6).alias("noise_std"), F.count(F.lit(1)).alias("n"))
 
 
 @register("split_learning_subsets", sql=f"""

@@ -78,11 +78,16 @@ def materialize(df, name: str = "table"):
 STUDIES: dict[tuple, tuple] = {}
 
 
+#: Folders below the checkpoint folder that hold what queries have written.
+WRITTEN = ("tables", "archives", "models", "streams")
+
+
 def release_tables(spark: SparkSession) -> None:
-    """Delete all tables that ``materialize`` has written below this session's checkpoint folder.
+    """Delete all that queries have written below this session's checkpoint folder: tables, archives, models and streams.
 
     Call it when no DataFrame built on them is needed any more.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/tables")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    for name in WRITTEN:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{name}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     STUDIES.clear()

@@ -91,3 +91,15 @@ def test_a_study_is_made_again_for_rewritten_input_and_after_release(spark, tmp_
     assert rows() == 20
     release_tables(spark)
     assert rows() == 20
+
+
+def test_release_deletes_all_that_queries_wrote(spark, tmp_path):
+    import os
+
+    from riverlens.session import WRITTEN, ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    for name in WRITTEN:
+        spark.range(3).write.mode("overwrite").parquet(f"{ensure_checkpoint_dir(spark)}/{name}/probe")
+        assert os.path.isdir(f"{root}/{name}")
+    release_tables(spark)
+    assert not any(os.path.isdir(f"{root}/{name}") for name in WRITTEN) and os.path.isdir(root)
