@@ -118,8 +118,31 @@ def _times(at: np.ndarray) -> pd.Series:
 
 
 # ------------------------------------------------------------------- T5
-def series_features(values: dict[str, np.ndarray], start: int, seen: int) -> dict[str, np.ndarray]:
-    """Lags, differences and rolling statistics of the readings from ``start`` on; ``seen`` readings came before the first one here."""
+def frame_statistics(frames: np.ndarray) -> dict[str, np.ndarray]:
+    """Mean, sample deviation and maximum of each frame's known values.
+
+    Values are taken one after the other, as the batch plan's aggregates take
+    them, so both give the same bits and models the same scores.
+    """
+    n, total = np.zeros(len(frames)), np.zeros(len(frames))
+    mean, m2, top = np.zeros(len(frames)), np.zeros(len(frames)), np.full(len(frames), -np.inf)
+    for x in frames.T:
+        known = ~np.isnan(x)
+        x = np.where(known, x, 0.0)
+        n += known
+        total += x
+        gap = np.where(known, x - mean, 0.0)
+        step = gap / np.maximum(n, 1)
+        mean += step
+        m2 += gap * (gap - step)
+        top = np.where(known, np.maximum(top, x), top)
+    some, more = n > 0, n > 1
+    return {"mean": np.where(some, total / np.maximum(n, 1), np.nan), "std": np.where(more, np.sqrt(m2 / np.maximum(n - 1, 1)), np.nan),
+            "max": np.where(some, top, np.nan)}
+
+
+def series_features(values: dict[str, np.ndarray], start: int) -> dict[str, np.ndarray]:
+    """Lags, differences and rolling statistics of the readings from ``start`` on; a frame is full once it lies within ``values``."""
     n = len(next(iter(values.values())))
     rows = np.arange(start, n)
 
@@ -130,16 +153,11 @@ def series_features(values: dict[str, np.ndarray], start: int, seen: int) -> dic
     out |= {f"turbidity_delta{d}": values["turbidity"][rows] - lag("turbidity", d) for d in TURBIDITY_DIFFS}
     out |= {f"{s}_delta1": values[s][rows] - lag(s, 1) for s in ("ph", "dissolved_oxygen", "temperature")}
     for w in ROLLING_WINDOWS:
-        full = rows + seen >= w - 1
+        full = rows >= w - 1
         for sensor, statistics in (("turbidity", ("mean", "std", "max")), ("dissolved_oxygen", ("mean",))):
             padded = np.concatenate([np.full(w - 1, np.nan), values[sensor]])
             frames = np.lib.stride_tricks.sliding_window_view(padded, w)[rows]
-            count = (~np.isnan(frames)).sum(axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mean = np.where(count > 0, np.nansum(frames, axis=1) / count, np.nan)
-                spread = np.nansum((frames - mean[:, None]) ** 2, axis=1)
-                found = {"mean": mean, "std": np.where(count > 1, np.sqrt(spread / (count - 1)), np.nan),
-                         "max": np.where(count > 0, np.where(np.isnan(frames), -np.inf, frames).max(axis=1), np.nan)}
+            found = frame_statistics(frames)
             for statistic in statistics:
                 out[f"{sensor}_{statistic}_{w}"] = np.where(full, found[statistic], np.nan)
     return out
@@ -164,8 +182,8 @@ class SeriesFeatures(InOrder):
         self.last.put(every[-MAX_LOOKBACK:])
         names = self.fields.names
         sensors = {s: np.array([np.nan if r[names.index(s)] is None else r[names.index(s)] for r in every], dtype=float) for s in LAG_ORDER}
-        # with fewer than 16 readings before, these are the station's first
-        features = series_features(sensors, len(before), 0)
+        # fewer than 16 readings before: these are among the station's first
+        features = series_features(sensors, len(before))
         out = pd.DataFrame(rows, columns=names).drop(columns="at")
         out.insert(0, "ts", _times(np.array([r[0] for r in rows])))
         out.insert(0, "station_id", key[0])
@@ -174,7 +192,7 @@ class SeriesFeatures(InOrder):
 
 def features_stream(readings: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """T5: the features of a stream of readings, as columns of the same streaming query (all 45 and the label)."""
-    probe = series_features({s: np.zeros(1) for s in LAG_ORDER}, 0, 0)
+    probe = series_features({s: np.zeros(1) for s in LAG_ORDER}, 0)
     schema = T.StructType([*readings.schema.fields, *[T.StructField(c, T.DoubleType()) for c in probe]])
     out = readings.withWatermark("ts", watermark).groupBy("station_id").transformWithStateInPandas(
         statefulProcessor=SeriesFeatures(readings.schema, schema.names), outputStructType=schema, outputMode="Append", timeMode="EventTime")
