@@ -42,6 +42,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,14 +101,20 @@ class Trees:
     feature: np.ndarray
     bin: np.ndarray
     value: np.ndarray
+    first: int = 0      # the round that comes first here
 
     @classmethod
     def empty(cls, fit: Fit) -> Trees:
         shape = (fit.learner.rounds, fit.outputs, 2 ** (fit.learner.depth + 1) - 1)
         return cls(np.full(shape, -1, dtype=np.int16), np.zeros(shape, dtype=np.uint8), np.zeros(shape))
 
+    def rounds(self, first: int, end: int) -> Trees:
+        """The trees of some rounds only."""
+        return Trees(self.feature[first:end], self.bin[first:end], self.value[first:end], first)
+
     def route(self, bins: np.ndarray, r: int, k: int, node: np.ndarray, levels: int) -> np.ndarray:
         """Nodes that rows reach after ``levels`` further steps."""
+        r -= self.first
         for _ in range(levels):
             feature = self.feature[r, k][node]
             inner = np.flatnonzero(feature >= 0)
@@ -121,7 +128,7 @@ class Trees:
         for r in rounds:
             for k in range(fit.outputs):
                 leaf = self.route(bins, r, k, np.zeros(len(bins), dtype=np.int64), fit.learner.depth)
-                margins[:, k] += self.value[r, k][leaf]
+                margins[:, k] += self.value[r - self.first, k][leaf]
         return margins
 
 
@@ -414,11 +421,8 @@ HISTOGRAMS = "fit int, cls int, node int, sums binary"
 SPLITS = "fit int, cls int, node int, place int, cut int, total array<long>, left array<long>, right array<long>"
 
 
-def _histograms(blocks: DataFrame, fits: list[Fit], trees: list[Trees], width: int, since: int, r: int, level: int,
-                nodes: dict[tuple[int, int], list[int]]) -> DataFrame:
-    """One row per task, fit, class and node: the task's sums."""
-    shared = blocks.sparkSession.sparkContext.broadcast((fits, trees, nodes))
-
+def _histograms(blocks: DataFrame, shared: Broadcast, width: int, since: int, r: int, level: int) -> DataFrame:
+    """One row per task, fit, class and node: the task's sums. ``shared`` holds the fits, their trees since the written margins, and the open nodes."""
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fits, trees, nodes = shared.value
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -480,9 +484,10 @@ def _in_lockstep(spark: SparkSession, blocks: DataFrame, fits: list[Fit], width:
             nodes = {(i, k): at for (i, k), at in nodes.items() if at and level < fits[i].learner.depth}
             if not nodes:
                 break
-            found = {}
-            for s in _choose(_histograms(state, fits, trees, width, since, r, level, nodes), fits, width, r).collect():     # a row per node
-                found[s.fit, s.cls, s.node] = s
+            shared = spark.sparkContext.broadcast((fits, [t.rounds(since, r + 1) for t in trees], nodes))
+            rows = _choose(_histograms(state, shared, width, since, r, level), fits, width, r).collect()     # a row per node
+            shared.destroy()
+            found = {(s.fit, s.cls, s.node): s for s in rows}
             for (i, k), at in nodes.items():
                 splits = []
                 for node in at:
@@ -497,7 +502,7 @@ def _in_lockstep(spark: SparkSession, blocks: DataFrame, fits: list[Fit], width:
 def _written(state: DataFrame, fits: list[Fit], trees: list[Trees], width: int, since: int, r: int) -> DataFrame:
     """Blocks with the margins before round r, written; the state before is deleted (its rounds are in the new one)."""
     spark = state.sparkSession
-    shared = spark.sparkContext.broadcast((fits, trees))
+    shared = spark.sparkContext.broadcast((fits, [t.rounds(since, r) for t in trees]))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fits, trees = shared.value
@@ -508,6 +513,7 @@ def _written(state: DataFrame, fits: list[Fit], trees: list[Trees], width: int,
 
     folder = f"{ensure_checkpoint_dir(spark)}/tables/margins-{uuid.uuid4().hex[:12]}"
     state.mapInPandas(run, BLOCK_SCHEMA + ", margins binary").write.parquet(folder)
+    shared.destroy()
     if "margins" in state.columns:
         old = spark._jvm.org.apache.hadoop.fs.Path(state.inputFiles()[0]).getParent()
         old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
