@@ -17,13 +17,16 @@ order is the global order of n-grams, and it is cut into fragments twice:
    global order, partial overlaps are counted in each fragment separately, and
    their sum decides, in whole numbers, whether two classes link.
 
-Lists of more than ``ALL_PAIRS`` classes are not expanded: they are first tied
-to a few members each and links are contracted to components. Lists that still
-hold classes of different components name the members of a second, smaller
-join, which orders their n-grams from rare to frequent and makes only pairs of
-different components that can still reach the least overlap (``cross_pairs``).
-So no link between different components is lost and no pair within one is made.
-Components are found by alternating large-star and small-star steps.
+No list is expanded to its pairs. Every list ties its classes to ``TIES``
+representatives (those in most lists of the fragment), so the output is linear
+in the postings; ties that link are contracted to components. Lists that are
+longer and still hold classes of different components name the members of a
+second, smaller join (``cross_pairs``): n-grams held within one component only
+cannot be shared across, so a member goes on only with the others, ordered from
+rare to frequent, and only pairs of different components that can still reach
+the least overlap are made. So no link between different components is lost
+and no pair within one is made. Components are found by alternating large-star
+and small-star steps; the result is representatives plus membership.
 
 Nulls, ties, odd input: null and blank texts have the empty set, which links
 with nothing; texts of fewer words than a shingle are one shingle; equal rows
@@ -39,7 +42,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
@@ -47,11 +50,10 @@ from .common import materialize, text_or_empty
 SHINGLE = 5
 PERCENT = 80                 # link: 100 * intersection >= PERCENT * union
 STRETCHES = ((64, 4), (8, 2), (0, 1))   # smallest size of the smaller set, r
-ALL_PAIRS = 32               # classes of a list whose pairs are all made at once
-TIES = 3                     # members that a longer list is tied to
+TIES = 2                     # representatives that a list's classes are tied to
 FRAGMENT_POSTINGS = 4_000_000
 OVERLAP_FRAGMENTS = 4
-MEMBER_GRAMS = 500_000       # n-grams of a fragment of the second join
+GRAM_BUCKETS = 1 << 20       # counters of the members' n-grams: 12 MB to the driver and 4 MB broadcast at most
 CACHE_WORDS = 200_000
 
 # ------------------------------------------------------------------- hashing
@@ -189,8 +191,8 @@ def post(documents: DataFrame, bits: int) -> DataFrame:
         run, "fragment int, high binary, low binary, at binary, cls binary, n binary")
 
 
-def _fragment_pairs(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b, count) of a fragment, and the postings (key, a) of lists too long to expand."""
+def fragment_ties(key, rows: pd.DataFrame, heads_each: int) -> pd.DataFrame:
+    """Ties (a, b) of a fragment's lists to their representatives, and the postings (key, a) of lists that these do not settle."""
     keys, classes, sizes = [], [], []
     for high, low, at, cls, n in zip(rows["high"], rows["low"], rows["at"], rows["cls"], rows["n"], strict=True):
         high, cls, n = np.frombuffer(high, dtype=np.uint32), np.frombuffer(cls, dtype=np.int64), np.frombuffer(n, dtype=np.uint32)
@@ -204,39 +206,30 @@ def _fragment_pairs(key, rows: pd.DataFrame) -> pd.DataFrame:
     new = np.ones(len(keys), dtype=bool)
     new[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])
     keys, classes, sizes = keys[new], classes[new], sizes[new].astype(np.int64)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    first = np.r_[True, keys[1:] != keys[:-1]]
+    shared = ~(first & np.r_[first[1:], True])       # postings of lists with two classes or more
+    keys, classes, sizes, first = keys[shared], classes[shared], sizes[shared], np.flatnonzero(first[shared])
     length = np.diff(np.r_[first, len(keys)])
-    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for size in range(2, min(ALL_PAIRS, length.max(initial=0)) + 1):
-        lists = first[length == size]
-        if len(lists):
-            i, j = np.triu_indices(size, 1)
-            a.append((lists[:, None] + i).ravel())
-            b.append((lists[:, None] + j).ravel())
-    long_lists = np.flatnonzero(length > ALL_PAIRS)
-    member = np.zeros(len(keys), dtype=bool)
-    for f, c in zip(first[long_lists], length[long_lists], strict=True):
-        member[f:f + c] = True
-    # how many long lists a class is in: an unedited copy is in more than an edited one, so it is near the middle of its group
-    weight = np.zeros(len(keys), dtype=np.int64)
-    if member.any():
-        _, which, often = np.unique(classes[member], return_inverse=True, return_counts=True)
-        weight[member] = often[which]
-    for f, c in zip(first[long_lists], length[long_lists], strict=True):
-        inside = np.arange(f, f + c)
-        for seed in range(TIES):     # the most frequent class, then classes by hash: the same ones wherever they are in a list
-            head = f + int(weight[f:f + c].argmax() if not seed else mix(classes[f:f + c].astype(np.uint64) ^ mix(np.array([seed], dtype=np.uint64))).argmin())
-            a.append(np.full(c - 1, head))
-            b.append(inside[inside != head])
-    a, b = np.concatenate(a), np.concatenate(b)
-    near = 100 * np.minimum(sizes[a], sizes[b]) >= PERCENT * np.maximum(sizes[a], sizes[b])
+    # an unedited copy is in more lists than an edited one, so it is near the middle of its group
+    names, which, often = np.unique(classes, return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[np.lexsort((mix(names.astype(np.uint64)), often))] = np.arange(len(names))
+    rank = rank[which]
+    ends = []
+    for _ in range(heads_each if len(keys) else 0):
+        best = np.maximum.reduceat(rank, first)
+        left = best >= 0                             # lists with a class that has not been a head
+        heads = np.flatnonzero((rank == np.repeat(best, length)) & np.repeat(left, length))   # one in each: a class is there once
+        ends.append((np.repeat(heads, length[left]), np.flatnonzero(np.repeat(left, length))))
+        rank[heads] = -1
+    a, b = map(np.concatenate, zip(*ends, strict=True)) if ends else (np.zeros(0, dtype=np.int64),) * 2
+    near = (a != b) & (100 * np.minimum(sizes[a], sizes[b]) >= PERCENT * np.maximum(sizes[a], sizes[b]))
     a, b = a[near], b[near]
-    low, high = np.minimum(classes[a], classes[b]), np.maximum(classes[a], classes[b])
-    pairs = pd.DataFrame({"a": low, "b": high}).groupby(["a", "b"], as_index=False).size()
-    out = pd.DataFrame({"kind": 0, "key": 0, "a": pairs["a"], "b": pairs["b"], "n": pairs["size"]})
+    ties = pd.DataFrame({"a": np.minimum(classes[a], classes[b]), "b": np.maximum(classes[a], classes[b])}).drop_duplicates()
+    rest = np.repeat(length > heads_each + 1, length)
     # 40 bits of the key and the fragment name a list
-    rest = pd.DataFrame({"kind": 1, "key": keys[member] | int(key[0]) << 40, "a": classes[member], "b": 0, "n": sizes[member]})
-    return pd.concat([out, rest], ignore_index=True).astype({"kind": "int32", "key": "int64", "a": "int64", "b": "int64", "n": "int64"})
+    out = [ties.assign(kind=0, key=0), pd.DataFrame({"kind": 1, "key": keys[rest] | int(key[0]) << 40, "a": classes[rest], "b": 0})]
+    return pd.concat(out, ignore_index=True)[["kind", "key", "a", "b"]].astype({"kind": "int32", "key": "int64", "a": "int64", "b": "int64"})
 
 
 # ------------------------------------------------------------------ overlaps
@@ -260,10 +253,28 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "na": batch["n"], "nb": batch["nb"], "partial": counts})
 
 
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sets = {set_hash(s): s for s in map(shingle_set, batch["text"]) if len(s)}
-        yield pd.DataFrame({"cls": list(sets), "n": [len(s) for s in sets.values()], "tokens": [s.astype(np.int64) for s in sets.values()]})
+        yield pd.DataFrame({"cls": list(sets), "grams": [s.tobytes() for s in sets.values()]})
+
+
+def buckets_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (grams % np.uint64(buckets)).astype(np.int64)
+
+
+def bucket_counts(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+    """(bucket, df, low, high): n-grams of a batch in each bucket, with the smallest and largest component that has one."""
+    for batch in batches:
+        sets = [buckets_of(np.frombuffer(g, dtype=np.uint64), buckets) for g in batch["grams"]]
+        at = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
+        root = np.repeat(batch["root"].to_numpy(dtype=np.int64), [len(x) for x in sets])
+        order = np.argsort(at, kind="stable")
+        at, root = at[order], root[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, dtype=np.int64)
+        yield pd.DataFrame({"bucket": at[first], "df": np.diff(np.r_[first, len(at)]),
+                            "low": np.minimum.reduceat(root, first) if len(at) else [], "high": np.maximum.reduceat(root, first) if len(at) else []}
+                           ).astype("int64")
 
 
 def texts_of(wanted: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFrame:
@@ -274,39 +285,53 @@ def texts_of(wanted: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFr
     return texts.join(ids.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
 
 
-def _frequencies(rows: pd.DataFrame) -> pd.DataFrame:
-    """Adds df: how many members hold an n-gram. A fragment holds all postings of its n-grams."""
-    _, which, often = np.unique(rows["token"].to_numpy(), return_inverse=True, return_counts=True)
-    return rows.drop(columns="fragment").assign(df=often[which])
-
-
-def cross_pairs(members: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFrame:
+def cross_pairs(members: DataFrame, documents: DataFrame, sets: DataFrame, buckets: int = GRAM_BUCKETS) -> DataFrame:
     """(a, b): pairs of members (cls, root) of different components that may still link.
 
-    The members' n-grams are ordered from rare to frequent. Similar sets share
-    one of the first n - ceil(0.8 n) + 1 n-grams of either, and behind the first
-    shared one there must be room for the whole least overlap; what a set has
-    alone comes first in its order, so edited copies that are too far from all
-    others give no pair.
+    Only n-grams held in two components or more can be shared across; a member
+    with fewer of them than ceil(0.8 n) links with nothing. The others' n-grams
+    of this kind are ordered from rare to frequent: similar sets share one of
+    the first m - ceil(0.8 n) + 1 of either (m of n n-grams are of the kind),
+    and behind the first shared one there must be room for the whole least
+    overlap. Frequencies and components are counted per bucket of n-grams, a
+    table of fixed size: an n-gram that meets others in its bucket only counts
+    as more frequent or as held across, which adds candidates and loses none.
     """
-    found = texts_of(members.select("cls"), documents, sets).mapInPandas(_tokens, "cls long, n long, tokens array<long>").dropDuplicates(["cls"])
-    rows = materialize(found.join(members, "cls").select("cls", "root", "n", F.explode("tokens").alias("token")), "member-grams")
-    # n-grams are hashes, so fragments by remainder are equally large and a frequent n-gram is a small part of one
-    fragments = max(64, rows.count() // MEMBER_GRAMS)
-    counted = rows.withColumn("fragment", F.pmod("token", F.lit(fragments))).groupBy("fragment").applyInPandas(
-        _frequencies, "cls long, root long, n long, token long, df long")
-    order = Window.partitionBy("cls").orderBy("df", "token")
-    placed = counted.withColumn("pos", F.row_number().over(order) - 1)
-    first = placed.filter((F.col("df") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)))
-    first = materialize(first.select("token", "cls", "root", "n", "pos"), "member-prefixes")
-    mixed = first.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    first = first.join(mixed, "token", "left_semi")
-    one, two = (first.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "root", "n", "pos")]) for side in "ab")
-    room = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
-    enough = (100 + PERCENT) * room >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    found = texts_of(members.select("cls"), documents, sets).mapInPandas(_sets, "cls long, grams binary").dropDuplicates(["cls"])
+    held = materialize(found.join(members, "cls").select("cls", "root", "grams"), "member-sets")
+    counts = held.select("root", "grams").mapInPandas(lambda batches: bucket_counts(batches, buckets), "bucket long, df long, low long, high long").groupBy("bucket") \
+                 .agg(F.sum("df").alias("df"), F.min("low").alias("low"), F.max("high").alias("high"))
+    across = counts.filter("low <> high").select(F.col("bucket").cast("int").alias("bucket"), F.least("df", F.lit(2**31 - 1)).cast("int").alias("df")).toPandas()
+    table = np.zeros(buckets, dtype=np.int32)
+    table[across["bucket"].to_numpy()] = across["df"].to_numpy()
+    sent = documents.sparkSession.sparkContext.broadcast(table)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for cls, root, grams in zip(batch["cls"], batch["root"], batch["grams"], strict=True):
+                s = np.frombuffer(grams, dtype=np.uint64)
+                df = sent.value[buckets_of(s, buckets)]
+                mine, df = s[df > 0], df[df > 0]
+                count = len(mine) - -(-PERCENT * len(s) // 100) + 1
+                if count > 0:
+                    mine = mine[np.lexsort((mine, df))[:count]]
+                    rows.append(pd.DataFrame({"token": mine.astype(np.int64), "cls": cls, "root": root, "n": len(s),
+                                              "room": len(df) - np.arange(count)}))
+            if rows:
+                yield pd.concat(rows, ignore_index=True)
+    first = materialize(held.mapInPandas(prefixes, "token long, cls long, root long, n long, room long"), "member-prefixes")
+    # an n-gram's rows of its most frequent component meet those of other components only
+    by_root = first.groupBy("token", "root").agg(F.count(F.lit(1)).alias("rows"))
+    main = by_root.groupBy("token").agg(F.max(F.struct("rows", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("roots")) \
+                  .filter("roots > 1").select("token", "main")
+    mixed = first.join(main, "token")
+    one, two = (x.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "root", "n", "room")])
+                for side, x in (("a", mixed.filter("root <> main")), ("b", mixed)))
+    enough = (100 + PERCENT) * F.least("room_a", "room_b") >= PERCENT * (F.col("n_a") + F.col("n_b"))
     near = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    met = one.join(two, "token").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & near & enough)
-    return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    met = one.join(two, "token").filter((F.col("root_a") != F.col("root_b")) & near & enough)
+    return met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
 def linked(pairs: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFrame:
@@ -343,22 +368,24 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def jaccard_groups(documents: DataFrame) -> DataFrame:
+def jaccard_groups(documents: DataFrame, ties: int = TIES, buckets: int = GRAM_BUCKETS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document row, with its text hash h and its component's root class."""
+    def tied(key, rows: pd.DataFrame) -> pd.DataFrame:
+        return fragment_ties(key, rows, ties)
     sets = document_sets(documents)
     total = sets.agg(F.sum("n")).first()[0] or 0
     bits = max(0, (total // FRAGMENT_POSTINGS).bit_length())
-    found = materialize(post(documents, bits).groupBy("fragment").applyInPandas(_fragment_pairs, "kind int, key long, a long, b long, n long"), "fragment-pairs")
-    pairs = materialize(found.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared")), "pairs")
+    found = materialize(post(documents, bits).groupBy("fragment").applyInPandas(tied, "kind int, key long, a long, b long"), "fragment-pairs")
+    pairs = materialize(found.filter("kind = 0").select("a", "b").distinct(), "pairs")
     links = linked(pairs, documents, sets)
     roots = materialize(components(links), "roots")
-    # lists that were not expanded: cross pairs of different components
-    lists = found.filter("kind = 1").select("key", F.col("a").alias("node"), "n").join(roots, "node", "left") \
-                 .select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    # lists that their ties have not settled: cross pairs of different components
+    lists = found.filter("kind = 1").select("key", F.col("a").alias("node")).join(roots, "node", "left") \
+                 .select("key", "node", F.coalesce("root", "node").alias("root"))
     lists = materialize(lists, "long-lists")
     split = lists.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
     members = materialize(lists.join(split, "key", "left_semi").select(F.col("node").alias("cls"), "root").distinct(), "members")
-    cross = materialize(cross_pairs(members, documents, sets).join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
+    cross = materialize(cross_pairs(members, documents, sets, buckets).join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
     if cross.limit(1).count():
         more = linked(cross, documents, sets)
         if more.limit(1).count():

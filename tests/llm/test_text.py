@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from riverlens.llm import op3_jaccard as J
 from riverlens.llm import op5_line_dedup as L
@@ -125,10 +126,8 @@ def test_groups_equal_brute_force(spark, odd_documents, no_documents):
     assert J.op3_ngram_jaccard(spark, no_documents).count() == 0
 
 
-def test_long_lists_lose_no_link(spark, monkeypatch):
-    """With every list tied to one member, the cross pairs of the last step must still find all links."""
-    monkeypatch.setattr(J, "ALL_PAIRS", 2)
-    monkeypatch.setattr(J, "TIES", 1)
+def test_long_lists_lose_no_link(spark):
+    """With every list tied to one representative and few counters, the cross pairs of the last step must still find all links."""
     rng = random.Random(8)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -136,8 +135,31 @@ def test_long_lists_lose_no_link(spark, monkeypatch):
         base = edited(rng, base, 0.012)
         rows.append((i, " ".join(base)))
     rng.shuffle(rows)
-    got = Counter(tuple(r) for r in J.op3_ngram_jaccard(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == brute_groups(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for ties, buckets in ((1, 1 << 20), (1, 16), (3, 1 << 20)):
+        got = J.jaccard_groups(docs, ties, buckets).select("doc_id", "n_shingles", "component_id")
+        assert Counter(tuple(r) for r in got.collect()) == brute_groups(rows)
+
+
+def packed(sets):
+    """A fragment's row with the given posting keys (below 2^32) of each class, all sets of 100."""
+    rows = sorted((k, c) for c, keys in enumerate(sets) for k in keys)
+    as_bytes = lambda x, kind: np.array(x, dtype=kind).tobytes()
+    return {"high": as_bytes([k for k, _ in rows], np.uint32), "low": as_bytes([0] * len(rows), np.uint8), "at": as_bytes([c for _, c in rows], np.uint16),
+            "cls": as_bytes(range(len(sets)), np.int64), "n": as_bytes([100] * len(sets), np.uint32)}
+
+
+def test_ties_are_linear_in_the_postings():
+    rng = random.Random(4)
+    sets = [{7, *rng.sample(range(10, 60), 20)} for _ in range(400)] + [{5000, 5001}, {5001}, {9000}]
+    out = J.fragment_ties((0,), pd.DataFrame([packed(sets)]), 2)
+    ties = {(r.a, r.b) for r in out[out.kind == 0].itertuples()}
+    postings = sum(map(len, sets))
+    assert len(ties) <= 2 * postings and (400, 401) in ties and not any(402 in t for t in ties)
+    assert all(a < b and sets[a] & sets[b] for a, b in ties)
+    # every list longer than three classes is handed on whole; shorter ones are settled by their ties
+    assert len(out[out.kind == 1]) == postings - 4
+    assert set(range(400)) == {c for t in ties for c in t if c < 400}
 
 
 def test_posted_stretches_always_meet():
