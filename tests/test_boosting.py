@@ -146,3 +146,16 @@ def test_odd_rows(spark, table):
     with pytest.raises(ValueError, match="no row"):
         B.fit_many(table, FEATURES, F.col("y"), {"m": (small("boosted"), F.col("y") > 7)}, 3)
     assert fitted.predict(odd.limit(0), ["reading_id"]).count() == 0
+
+
+def test_rows_beyond_one_block_are_dealt_over_all_cores(spark, table, monkeypatch):
+    """A little more than one block: every core gets rows, also where the input is one partition."""
+    monkeypatch.setattr(B, "BLOCK_ROWS", 400)
+    monkeypatch.setattr(B, "SMALL_BLOCK", 8, raising=False)
+    cuts, cores = B.find_cuts(table, FEATURES), spark.sparkContext.defaultParallelism
+    blocks = B.bin_rows(table.coalesce(1), cuts, "reading_id", F.col("y"), [F.lit(True)])
+    assert blocks.count() >= 2 * cores and len(blocks.inputFiles()) >= cores and blocks.agg(F.sum("n")).first()[0] == 600
+    fits = {kind: (small(kind), F.col("reading_id") % 3 != 1) for kind in B.LEARNERS}
+    many = B.fit_many(table, FEATURES, F.col("y"), fits, 3, cuts=cuts)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 1000)
+    same(B.fit_many(table, FEATURES, F.col("y"), fits, 3, cuts=cuts), many)
