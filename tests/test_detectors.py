@@ -65,3 +65,34 @@ def test_one_class_equals_the_exact_kernel_solution(spark, nu):
     exact = -(k @ exact_dual(k, nu))
     assert np.corrcoef(exact, got["ocsvm_score"])[0, 1] > 0.99
     assert abs((got["ocsvm_score"] > 0).mean() - nu) <= 0.1 * nu
+
+
+def test_several_nu_share_one_pass_an_iteration_and_get_the_same_models(spark, monkeypatch):
+    """A pass reads every row once, whatever the number of nu; scores are written before their quantiles are taken."""
+    feats = features_no_leak()[:5]
+    df = Q.model_input(spark, SMALL).filter("anomaly = 0")
+    rows = Q.materialize(P.apply_standardizer(df, P.fit_standardizer(df, feats), feats).select("reading_id", *feats), "normal")
+    nus = (0.05, 0.1, 0.3)
+    models = ML.fit_one_classes(rows, feats, nus, n_components=64, iterations=4)
+    for nu, model in zip(nus, models, strict=True):
+        alone = ML.fit_one_class(rows, feats, nu, n_components=64, iterations=4)
+        assert np.allclose(alone["w"], model["w"], atol=1e-9) and abs(alone["rho"] - model["rho"]) < 1e-9
+        x = np.array(rows.select(*feats).collect(), dtype=float)
+        assert np.allclose(model["kernel"].scores(x, model["w"]), model["kernel"](x) @ model["w"])
+
+
+def test_forest_scores_equal_a_walk_through_each_tree(spark):
+    feats = features_no_leak()[:4]
+    rows = Q.model_input(spark, SMALL).select("reading_id", *feats).limit(300)
+    trees = ML.fit_isolation_forest(rows, feats, n_trees=7, sample_size=32)
+    nodes = {(r.tree, r.node): r for r in trees.collect()}
+    psi = trees.first().psi
+
+    def path(x, tree):
+        at = nodes[tree, 0]
+        while at.feature >= 0:
+            at = nodes[tree, at.left if x[at.feature] < at.threshold else at.right]
+        return at.depth + ML._c(at["size"])
+    for r in ML.score_isolation_forest(rows, trees, feats).collect():
+        x = [r[f] for f in feats]
+        assert abs(r.iso_score - 2 ** (-np.mean([path(x, t) for t in range(7)]) / ML._c(psi))) < 1e-12
