@@ -159,3 +159,15 @@ def test_rows_beyond_one_block_are_dealt_over_all_cores(spark, table, monkeypatc
     many = B.fit_many(table, FEATURES, F.col("y"), fits, 3, cuts=cuts)
     monkeypatch.setattr(B, "BLOCK_ROWS", 1000)
     same(B.fit_many(table, FEATURES, F.col("y"), fits, 3, cuts=cuts), many)
+
+
+def test_fits_that_one_task_can_hold_are_binned_over_all_cores_and_need_no_job_per_level(spark, table, monkeypatch):
+    """Below BLOCK_ROWS rows the blocks are many, and each fit meets in a task of its own; trees with early leaves are the same."""
+    monkeypatch.setattr(B, "SMALL_BLOCK", 8)
+    cuts = B.find_cuts(table, FEATURES)
+    blocks = B.bin_rows(table.coalesce(1), cuts, "reading_id", F.col("y"), [F.lit(True)])
+    assert blocks.count() >= 2 * spark.sparkContext.defaultParallelism
+    fits = {kind: (small(kind, rounds=2, depth=6, rows=1.0), F.col("reading_id") % 5 != 1) for kind in B.LEARNERS}
+    many = B.fit_many(table, FEATURES, F.col("y"), fits, 3, cuts=cuts, block_rows=64)
+    monkeypatch.setattr(B, "_in_lockstep", None)
+    same(B.fit_many(table, FEATURES, F.col("y"), fits, 3, cuts=cuts), many)

@@ -75,3 +75,10 @@ def test_prefix_sums_survive_ranges_that_are_sampled_anew(spark):
         assert abs(auc - (ranks[pdf["y"] == 1].sum() - p * (p + 1) / 2) / (p * n)) < 1e-12
     finally:
         spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", old)
+
+
+def test_written_table_is_dealt_over_files(spark):
+    """A table of few partitions is read again by many tasks."""
+    from riverlens.session import materialize
+    back = materialize(spark.range(600).coalesce(1), "dealt", file_rows=100)
+    assert len(back.inputFiles()) == 6 and back.count() == 600
