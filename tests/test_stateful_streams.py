@@ -123,3 +123,41 @@ def test_scores_of_one_chained_query_equal_batch_scores(spark, monkeypatch):
     batch, stream = (t.sort_values("reading_id").reset_index(drop=True) for t in (batch, stream))
     assert len(batch) == len(stream) > 900 and (batch[cols[3:]] == stream[cols[3:]]).all().all()
     assert np.allclose(batch[cols[:3]].to_numpy(float), stream[cols[:3]].to_numpy(float), atol=1e-9)
+
+
+def test_pending_readings_are_pieces_and_due_ones_come_in_slices(monkeypatch):
+    """The state holds a piece per batch, not a row per reading; slices give the order, nulls first, and leave what is not due."""
+    import pandas as pd
+    from types import SimpleNamespace
+    from pyspark.sql import types as T
+    monkeypatch.setattr(ST, "SLICE", 4)
+
+    class State(list):
+        appendValue = list.append
+
+        def get(self):
+            return iter(list(self))
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Keep(ST.InOrder):
+        def ordered(self, key, rows, passed):
+            return rows.to_pandas(integer_object_nulls=True)
+
+    schema = T.StructType([T.StructField("reading_id", T.LongType()), T.StructField("station_id", T.StringType()),
+                           T.StructField("ts", T.TimestampType()), T.StructField("ph", T.DoubleType())])
+    state = Keep(schema)
+    state.pending, state.handle = State(), SimpleNamespace(registerTimer=lambda at: None)
+    minutes = [5, 3, 3, 3, 9, 1, 2, 4, 60, None]
+    batch = pd.DataFrame({"reading_id": pd.array([1, 8, None, 4, 5, 6, 7, 2, 9, 10], dtype="Int64"), "station_id": "a",
+                          "ts": pd.to_datetime([None if m is None else f"2024-01-01 00:{m % 60:02d}:00" if m < 60 else "2024-01-01 01:00:00" for m in minutes]),
+                          "ph": [1.0, None, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0]})
+    list(state.handleInputRows(("a",), iter([batch[:4], batch[4:]]), None))
+    assert len(state.pending) == 2
+    watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: int(pd.Timestamp("2024-01-01 00:30:00").timestamp() * 1000))
+    out = list(state.handleExpiredTimer(("a",), watermark, None))
+    assert [len(o) for o in out] == [4, 4]
+    ids = pd.concat(out)["reading_id"].tolist()
+    assert ids[:2] == [6, 7] and pd.isna(ids[2]) and ids[3:] == [4, 8, 2, 1, 5]
+    assert len(state.pending) == 1 and [r for _, r in state.pending] and state.pending[0][0] == int(pd.Timestamp("2024-01-01 01:00:00").value // 1000)
