@@ -54,3 +54,23 @@ def test_isolation_forest_scores(spark):
     s = ML.score_isolation_forest(f, trees, feats)
     lo, hi = s.agg(F.min("iso_score"), F.max("iso_score")).first()
     assert 0 < lo <= hi <= 1
+
+
+def test_forest_rows_are_dealt_over_all_cores(spark):
+    """Rows of one partition are dealt evenly over parts of bounded size; a small table stays as it is."""
+    cores = spark.sparkContext.defaultParallelism
+    parts = ML.dealt(spark.range(0, 100_000, 1, 1)).rdd.glom().map(len).collect()
+    assert len(parts) >= 3 * cores and sum(parts) == 100_000 and max(parts) < 2 * 100_000 / len(parts)
+    assert ML.dealt(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 1
+
+
+def test_noise_moments_need_one_row_per_draw(spark, monkeypatch):
+    from riverlens.plans import queries_models as Q
+    monkeypatch.setattr(Q, "feature_frame", lambda spark, sf_dir: spark.range(50).withColumnRenamed("id", "reading_id"))
+    out = Q.split_noise(spark, "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Aggregate", 1)[1].count("Generate") == 1     # one row per draw is summed, not one per draw and sigma
+    rows = out.collect()
+    assert len(rows) == len(Q.CLASS_SIGMAS) and {r.n for r in rows} == {50 * 26}
+    monkeypatch.setattr(Q, "feature_frame", lambda spark, sf_dir: spark.range(0).withColumnRenamed("id", "reading_id"))
+    assert Q.split_noise(spark, "").count() == 0
