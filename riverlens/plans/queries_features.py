@@ -77,12 +77,19 @@ def feature_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.leakage_report(FE.build_features(load_readings(spark, sf_dir)), feature_cols=features_full())
 
 
+#: What the alert rules and reports read of the feature table.
+SCORED_COLUMNS = ["reading_id", "station_id", "ts", *SENSORS, "wqi", "quality_class", "anomaly", "turbidity_delta1_abs", "ph_delta1", "prob_rule", "raw_score"]
+
+
 def scored_frame(spark: SparkSession, sf_dir: str, dropna: bool = True) -> DataFrame:
-    """Features + a rule probability and a min-max rule score standing in for models."""
+    """Readings with their label and changes, a rule probability and a min-max rule score standing in for models.
+
+    Written once: the score's bounds come from all rows, so the windows would be computed for them and again for the rows.
+    """
     feats = FE.build_features(load_readings(spark, sf_dir), dropna=dropna)
     feats = (feats.withColumn("prob_rule", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (85 - F.col("wqi")) / 20)))
                   .withColumn("raw_score", F.abs(F.col("ph") - 7.5) + F.abs(F.col("dissolved_oxygen") - 9.0) / 3))
-    return A.with_min_max_score(feats, "raw_score", "anomaly_score")
+    return A.with_min_max_score(materialize(feats.select(*SCORED_COLUMNS), "scored"), "raw_score", "anomaly_score")
 
 
 def scored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
