@@ -13,7 +13,8 @@ order is the global order of n-grams, and it is cut into fragments twice:
    hash range, each fragment finds its own pairs, and the counts are summed
    per pair. Unlike single n-grams, stretches of r n-grams are rarely shared
    by documents that have only a passage in common.
-2. Overlaps. The sets of candidate classes are cut into fragments of the
+2. Overlaps. Pairs whose sketches (counts in fixed buckets) bound their overlap
+   below the least one go. The sets of the others are cut into fragments of the
    global order, partial overlaps are counted in each fragment separately, and
    their sum decides, in whole numbers, whether two classes link.
 
@@ -53,6 +54,7 @@ STRETCHES = ((64, 4), (8, 2), (0, 1))   # smallest size of the smaller set, r
 TIES = 2                     # representatives that a list's classes are tied to
 FRAGMENT_POSTINGS = 4_000_000
 OVERLAP_FRAGMENTS = 4
+SKETCH = 256                 # counters by which pairs that cannot link are told
 GRAM_BUCKETS = 1 << 20       # counters of the members' n-grams: 12 MB to the driver and 4 MB broadcast at most
 CACHE_WORDS = 200_000
 
@@ -242,8 +244,26 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(s) and c not in seen:
                 seen.add(c)
                 cuts = np.searchsorted(s, np.arange(1, OVERLAP_FRAGMENTS, dtype=np.uint64) << np.uint64(62))
-                rows += [(c, i, len(s), part.tobytes()) for i, part in enumerate(np.split(s, cuts))]
-        yield pd.DataFrame(rows, columns=["cls", "fragment", "n", "part"])
+                rows += [(c, i, len(s), part.tobytes(), b"" if i else sketch(s)) for i, part in enumerate(np.split(s, cuts))]
+        yield pd.DataFrame(rows, columns=["cls", "fragment", "n", "part", "sketch"])
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements of a set fall into each of ``SKETCH`` buckets; nothing for a set that two bytes could not count."""
+    if len(s) >= 1 << 16:
+        return b""
+    return np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8 if len(s) < 256 else np.uint16).tobytes()
+
+
+def _may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose sets may share the least overlap: no more elements than the smaller counts of their buckets add up to."""
+    def counts(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, dtype=np.uint8 if len(x) == SKETCH else np.uint16)
+    for batch in batches:
+        least = least_overlap(batch["n"].to_numpy(), batch["nb"].to_numpy())
+        keep = [not (x and y) or int(np.minimum(counts(x), counts(y)).sum(dtype=np.int64)) >= o
+                for x, y, o in zip(batch["sketch"], batch["sketch_b"], least, strict=True)]
+        yield batch.loc[keep, ["a", "b"]]
 
 
 def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,14 +354,23 @@ def cross_pairs(members: DataFrame, documents: DataFrame, sets: DataFrame, bucke
     return met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
+def may_link(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches leave room for a link; only these meet by fragments."""
+    small = parts.filter("fragment = 0").select("cls", "n", "sketch")
+    met = pairs.select("a", "b").join(small.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b")), "b") \
+               .join(small.withColumnRenamed("cls", "a"), "a")
+    return met.select("a", "b", "n", "nb", "sketch", "sketch_b").mapInPandas(_may_link, "a long, b long")
+
+
 def linked(pairs: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFrame:
     """Written table (a, b) of the pairs of classes that link, by overlaps summed over fragments."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     texts = texts_of(wanted, documents, sets)
-    parts = materialize(texts.mapInPandas(_segments, "cls long, fragment int, n long, part binary")
+    parts = materialize(texts.mapInPandas(_segments, "cls long, fragment int, n long, part binary, sketch binary")
                              .dropDuplicates(["cls", "fragment"]), "set-segments")
+    pairs = materialize(may_link(pairs, parts), "near-pairs")
     side = parts.select(F.col("cls").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("part_b"))
-    met = pairs.select("a", "b").join(side, "b").join(parts.withColumnRenamed("cls", "a"), ["a", "fragment"])
+    met = pairs.join(side, "b").join(parts.drop("sketch").withColumnRenamed("cls", "a"), ["a", "fragment"])
     sums = (met.select("a", "b", "n", "nb", "part", "part_b").mapInPandas(_partial, "a long, b long, na long, nb long, partial long")
                .groupBy("a", "b").agg(F.sum("partial").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb")))
     return materialize(sums.filter(100 * F.col("o") >= PERCENT * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"), "links")

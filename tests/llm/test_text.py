@@ -174,6 +174,22 @@ def test_posted_stretches_always_meet():
                 assert need[0] + shared > n - r + 1 and need[1] + shared > m - r + 1
 
 
+def test_only_pairs_with_room_for_a_link_meet_by_fragments(spark):
+    """A hub and 60 sets that share half of it: their ties are told by sketches, no pair that links is."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64, endpoint=False)
+    hub = draw(200)
+    sets = [np.unique(hub)] + [np.unique(np.concatenate([hub[:100], draw(100)])) for _ in range(60)]
+    sets += [np.unique(np.concatenate([hub[k:], draw(k)])) for k in (5, 15, 25)] + [np.unique(draw(70_000)), np.unique(draw(70_000))]
+    overlap = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    pairs = [(0, i) for i in range(1, len(sets))] + [(64, 65), (0, 0)]
+    parts = spark.createDataFrame([(i, 0, len(s), J.sketch(s)) for i, s in enumerate(sets)], "cls long, fragment int, n long, sketch binary")
+    kept = {tuple(r) for r in J.may_link(spark.createDataFrame(pairs, "a long, b long"), parts).collect()}
+    assert {(a, b) for a, b in pairs if overlap(a, b) >= J.least_overlap(len(sets[a]), len(sets[b]))} <= kept
+    assert (64, 65) in kept and not any(1 <= b <= 60 for _, b in kept)      # sets too large for a sketch stay
+    assert J.sketch(np.zeros(0, dtype=np.uint64)) == bytes(J.SKETCH)
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]

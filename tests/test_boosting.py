@@ -171,3 +171,20 @@ def test_fits_that_one_task_can_hold_are_binned_over_all_cores_and_need_no_job_p
     many = B.fit_many(table, FEATURES, F.col("y"), fits, 3, cuts=cuts, block_rows=64)
     monkeypatch.setattr(B, "_in_lockstep", None)
     same(B.fit_many(table, FEATURES, F.col("y"), fits, 3, cuts=cuts), many)
+
+
+@pytest.mark.parametrize("slots,width,picked", [(1, 5, False), (3, 4, True), (2, 1, False)])
+def test_histograms_of_column_pairs_are_exact_and_halve_the_sums(monkeypatch, slots, width, picked):
+    rng = np.random.default_rng(5)
+    n = 60_000
+    bins, slot = rng.integers(0, B.BINS, (width + 2, n)).astype(np.uint8), rng.integers(0, slots, n)
+    columns, weights = np.sort(rng.permutation(width + 2)[:width]), np.rint(rng.normal(size=(2, n)) / B.QUANTUM)
+    rows = np.sort(rng.permutation(n)) if picked else None
+    want = np.zeros((2, slots, width, B.BINS), dtype=np.int64)
+    for c in range(2):
+        for j, column in enumerate(columns):
+            np.add.at(want[c, :, j], (slot, bins[column]), weights[c].astype(np.int64))
+    calls, plain = [], np.bincount
+    monkeypatch.setattr(B.np, "bincount", lambda at, *rest: (calls.append(len(at)), plain(at, *rest))[1])
+    assert (B.histogram(bins.T, rows, columns, slot, slots, weights) == want).all()
+    assert sum(calls) <= 2 * n * -(-width // 2)

@@ -95,3 +95,11 @@ def test_factor_adequacy_of_known_matrices(spark, items, expected):
     assert fs["kmo"] == pytest.approx(0.5) and fs["eigenvalues"] == pytest.approx([1 + r, 1 - r])
     assert fs["bartlett_chi2"] == pytest.approx(-(400 - 1 - (2 * 2 + 5) / 6) * np.log(1 - r * r)) and fs["bartlett_dof"] == 1
     assert np.abs(fs["loadings"][:, 0]) == pytest.approx([np.sqrt((1 + r) / 2)] * 2) and sum(fs["proportion"]) <= expected
+
+
+def test_scores_are_taken_from_written_rows(spark, capsys):
+    """The score's bounds and the rows are read from one table; the windows are not planned a second time."""
+    from riverlens.plans import queries_features as QF
+    alerts = QF.scored_alerts(spark, SMALL)
+    alerts.explain()
+    assert "Window" not in capsys.readouterr().out and all("/scored-" in f for f in alerts.inputFiles())

@@ -103,3 +103,12 @@ def test_release_deletes_all_that_queries_wrote(spark, tmp_path):
         assert os.path.isdir(f"{root}/{name}")
     release_tables(spark)
     assert not any(os.path.isdir(f"{root}/{name}") for name in WRITTEN) and os.path.isdir(root)
+
+
+def test_studies_side_by_side_share_one_feature_table(spark, monkeypatch):
+    release_tables(spark)
+    made, plain = [], Q.model_input
+    monkeypatch.setattr(Q, "model_input", lambda *at: (made.append(at), plain(*at))[1])
+    assert Q.validation_cv_summary(spark, SMALL).count() == 6 and Q.validation_noise(spark, SMALL).count() == 3
+    assert len(made) == 1
+    release_tables(spark)
