@@ -56,7 +56,6 @@ FRAGMENT_POSTINGS = 4_000_000
 OVERLAP_FRAGMENTS = 4
 SKETCH = 256                 # counters by which pairs that cannot link are told
 GRAM_BUCKETS = 1 << 20       # counters of the members' n-grams: 12 MB to the driver and 4 MB broadcast at most
-CACHE_WORDS = 200_000
 
 # ------------------------------------------------------------------- hashing
 MULTIPLIERS = (np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -80,15 +79,17 @@ def stretch(x: np.ndarray, r: int, seed: int) -> np.ndarray:
     return mix(out)
 
 
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = h
-        return h
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A hash per word; looking words up in a table costs more than hashing them again."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=">u8").astype(np.uint64)
 
 
-_words = WordHash()
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 def shingle_set(text: str, k: int = SHINGLE) -> np.ndarray:
@@ -96,8 +97,8 @@ def shingle_set(text: str, k: int = SHINGLE) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    return np.unique(stretch(h, min(k, len(h)), len(h) if len(h) < k else k))
+    h = word_hashes(words)
+    return distinct(stretch(h, min(k, len(h)), len(h) if len(h) < k else k))
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -176,7 +177,7 @@ def post(documents: DataFrame, bits: int) -> DataFrame:
             at = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(k) for k in keys])
             n = np.array([len(s) for s in sets.values()], dtype=np.uint32)
             keys = np.concatenate(keys)
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             keys, at = keys[order], at[order]
             fragment = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
             tail = (keys << np.uint64(bits)) >> np.uint64(24)
@@ -185,7 +186,9 @@ def post(documents: DataFrame, bits: int) -> DataFrame:
             for f in range(1 << bits):
                 a, b = cuts[f], cuts[f + 1]
                 if b > a:
-                    used, where = np.unique(at[a:b], return_inverse=True)
+                    seen = np.zeros(len(sets), dtype=bool)
+                    seen[at[a:b]] = True
+                    used, where = np.flatnonzero(seen), (np.cumsum(seen) - 1)[at[a:b]]
                     rows.append((f, (tail[a:b] >> np.uint64(8)).astype(np.uint32).tobytes(), (tail[a:b] & np.uint64(255)).astype(np.uint8).tobytes(),
                                  where.astype(np.uint16 if len(used) <= 65536 else np.uint32).tobytes(), cls[used].tobytes(), n[used].tobytes()))
             yield pd.DataFrame(rows, columns=["fragment", "high", "low", "at", "cls", "n"])
@@ -203,13 +206,20 @@ def fragment_ties(key, rows: pd.DataFrame, heads_each: int) -> pd.DataFrame:
         classes.append(cls[at])
         sizes.append(n[at])
     keys, classes, sizes = map(np.concatenate, (keys, classes, sizes))
+    order = np.argsort(keys)
+    keys = keys[order]
+    again = np.r_[False, keys[1:] == keys[:-1]]       # a fragment has a posting at least
+    many = again | np.r_[again[1:], False]            # most keys are there once and need no second sort
+    keys, order = keys[many], order[many]
+    classes, sizes = classes[order], sizes[order]
     order = np.lexsort((classes, keys))
     keys, classes, sizes = keys[order], classes[order], sizes[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])
     keys, classes, sizes = keys[new], classes[new], sizes[new].astype(np.int64)
-    first = np.r_[True, keys[1:] != keys[:-1]]
-    shared = ~(first & np.r_[first[1:], True])       # postings of lists with two classes or more
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = keys[1:] != keys[:-1]
+    shared = ~(first & np.r_[first[1:], np.ones(min(1, len(keys)), dtype=bool)])       # postings of lists with two classes or more
     keys, classes, sizes, first = keys[shared], classes[shared], sizes[shared], np.flatnonzero(first[shared])
     length = np.diff(np.r_[first, len(keys)])
     # an unedited copy is in more lists than an edited one, so it is near the middle of its group

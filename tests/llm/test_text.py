@@ -266,3 +266,27 @@ def test_every_line_of_a_long_training_text_counts(spark):
     docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     assert sorted(len(f) for f, _ in Q.training_lines(docs, labels)) == [1, 5000]
+
+
+def test_postings_of_unshared_keys_are_not_sorted_by_class(monkeypatch):
+    """Only keys that come up again need the order by class; a fragment without any has no ties."""
+    import pandas as pd
+
+    from riverlens.llm import op3_jaccard as J
+    rng = np.random.default_rng(1)
+
+    def row(keys, classes):
+        keys, (cls, at) = np.array(keys, dtype=np.int64), np.unique(np.array(classes, dtype=np.int64), return_inverse=True)
+        return ((keys >> 8).astype(np.uint32).tobytes(), (keys & 255).astype(np.uint8).tobytes(), at.astype(np.uint16).tobytes(),
+                cls.tobytes(), np.full(len(cls), 50, dtype=np.uint32).tobytes())
+
+    def ties(*rows):
+        out = J.fragment_ties((0,), pd.DataFrame(rows, columns=["high", "low", "at", "cls", "n"]), 1)
+        return set(out.loc[out["kind"] == 0, ["a", "b"]].itertuples(index=False, name=None))
+    sizes, sort = [], np.lexsort
+    monkeypatch.setattr(J.np, "lexsort", lambda keys: (sizes.append(len(keys[0])), sort(keys))[1])
+    alone = [int(x) for x in rng.permutation(1000) + 1000]
+    assert ties(row(alone, range(1000))) == set()
+    assert ties(row([*alone[:500], 5], range(501)), row([*alone[500:], 5], range(1000, 1501))) == {(500, 1500)}
+    assert ties(row([5, 7], [1, 1]), row([5, 7], [1, 1])) == set()      # one class, posted by two batches
+    assert max(sizes) <= 4
