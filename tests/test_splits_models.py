@@ -74,3 +74,28 @@ def test_noise_moments_need_one_row_per_draw(spark, monkeypatch):
     assert len(rows) == len(Q.CLASS_SIGMAS) and {r.n for r in rows} == {50 * 26}
     monkeypatch.setattr(Q, "feature_frame", lambda spark, sf_dir: spark.range(0).withColumnRenamed("id", "reading_id"))
     assert Q.split_noise(spark, "").count() == 0
+
+
+def test_noisy_rows_are_drawn_and_written_once(spark):
+    """Every level holds the rows of ``with_noise``; models read them without drawing again, also where keys are null or come twice."""
+    from riverlens.plans import queries_models as Q
+    columns = [*features_no_leak()[:3], "turbidity"]
+    rows = spark.createDataFrame([(1, 0.5, None, -1.0, 2.0), (2, 1.5, 0.0, 3.0, 4.0), (2, 1.5, 0.0, 3.0, 4.0), (None, 2.5, 1.0, 0.0, 6.0)],
+                                 "reading_id long, " + ", ".join(f"{c} double" for c in columns))
+    out = P.with_noises(rows, columns[:3], [0.0, 0.01, 0.1])
+    for s in (0.0, 0.01, 0.1):
+        want = P.with_noise(rows, columns[:3], s).select("reading_id", *columns)
+        got = out.filter(F.col("sigma") == s).select("reading_id", *columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert P.with_noises(rows.limit(0), columns[:3], [0.0, 0.1]).count() == 0 and out.count() == 12
+    full = _feats(spark).limit(20)
+    noisy = Q._noisy(full, [0.0, 0.05], ["quality_class", *features_no_leak()])
+    assert noisy.count() == 40 and "md5" not in noisy._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_a_forest_part_are_sorted(spark):
+    """Like rows follow each other in every part; no row is lost."""
+    rows = spark.range(0, 40_000, 1, 1).select((F.col("id") % 3).alias("y"), F.col("id"))
+    parts = ML.dealt(rows, "y", "id").rdd.glom().map(lambda p: [tuple(r) for r in p]).collect()
+    assert sum(map(len, parts)) == 40_000 and all(p == sorted(p) for p in parts)
+    assert ML.dealt(rows.limit(10), "y", "id").collect() == rows.limit(10).collect()
