@@ -112,3 +112,14 @@ def test_studies_side_by_side_share_one_feature_table(spark, monkeypatch):
     assert Q.validation_cv_summary(spark, SMALL).count() == 6 and Q.validation_noise(spark, SMALL).count() == 3
     assert len(made) == 1
     release_tables(spark)
+
+
+def test_anomaly_forest_of_dealt_rows(spark, monkeypatch):
+    """Beyond ``FEW_ROWS`` a forest's rows are sorted, which must go by a column that the anomaly forest has."""
+    release_tables(spark)
+    monkeypatch.setattr(ML, "FEW_ROWS", 100)
+    monkeypatch.setattr(ML, "fit_one_class", lambda normal, feats, nu, plain=ML.fit_one_class: plain(normal, feats, nu, n_components=32, iterations=1))
+    assert {r.model for r in Q.model_anomaly_comparison(spark, SMALL).collect()} == {"isolation_forest", "rf_smote", "one_class"}
+    timeline = Q.model_anomaly_timeline(spark, SMALL)
+    assert Q.model_anomaly_events(spark, SMALL).count() == timeline.filter("y = 1").count() and timeline.count() > 0
+    release_tables(spark)
