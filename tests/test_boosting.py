@@ -188,3 +188,37 @@ def test_histograms_of_column_pairs_are_exact_and_halve_the_sums(monkeypatch, sl
     monkeypatch.setattr(B.np, "bincount", lambda at, *rest: (calls.append(len(at)), plain(at, *rest))[1])
     assert (B.histogram(bins.T, rows, columns, slot, slots, weights) == want).all()
     assert sum(calls) <= 2 * n * -(-width // 2)
+
+
+def test_leaf_weights_are_summed_by_node_and_not_by_column(monkeypatch):
+    """Alone, a residual class fit sums two channels by column and bin; counts need no weights, and leaves are those of all three channels."""
+    rng = np.random.default_rng(3)
+    n, fit = 3000, replace(B.Fit("m", B.LEARNERS["gradient_boosting"], 0, 3, (0.0, 0.1, -0.1), 1.0, 3000), learner=small("gradient_boosting", rounds=3, rows=1.0))
+    bins, y = rng.integers(0, B.BINS, (4, n)).astype(np.uint8), rng.integers(0, 3, n).astype(float)
+    seen, plain, weighted = [], B.histogram, []
+    monkeypatch.setattr(B, "histogram", lambda *args: (seen.append(len(args[-1])), plain(*args))[1])
+    counted = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, weights=None, minlength=0: (weighted.append(weights is not None), counted(x, weights, minlength))[1])
+    trees = B.grow_alone(fit, np.arange(n), bins, y)
+    assert set(seen) == {2} and weighted.count(False) > len(weighted) / 3
+    monkeypatch.setattr(np, "bincount", counted)
+    margins, checked = B.first_margins(fit, n), 0
+    for r in range(3):
+        said = B.expected(fit, margins)
+        for k in range(3):
+            at, weights = trees.route(bins.T, r, k, np.arange(n), fit.learner.depth), B.channels(fit, y, said, k)
+            for leaf in np.unique(at):
+                assert trees.value[r, k, leaf] == float(B.leaf_values(fit, weights[:, at == leaf].sum(axis=1)))
+                checked += 1
+        trees.add(margins, bins.T, fit, [r])
+    assert checked > 9
+
+
+def test_every_block_is_a_file_of_its_own(spark, table, monkeypatch):
+    """Readers share blocks out by size, also where a task has written several."""
+    cuts = B.find_cuts(table, FEATURES)
+    blocks = B.bin_rows(table.coalesce(1), cuts, "reading_id", F.col("y"), [F.lit(True)], block_rows=50)
+    assert len(blocks.inputFiles()) == blocks.count() == 12
+    fit = B.prepared(blocks, [B.Fit("m", small("boosted"), 0, 3)], len(FEATURES))
+    state = B._written(blocks, fit, [B.Trees.empty(fit[0])], len(FEATURES), 0, 1)
+    assert len(state.inputFiles()) == state.count() == 12
